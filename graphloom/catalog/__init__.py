@@ -1,0 +1,14 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+from graphloom.catalog import graphs  # noqa: F401
+from graphloom.catalog.registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracles():
+    return dict(ORACLES)

@@ -29,6 +29,12 @@ def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(li, "l_orderkey", F.col("l_partkey") % 8, F.col("l_suppkey") % 8)
 
 
+def supplier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 128-vertex graphs, one graph per supplier; may repeat a link."""
+    li = table(spark, sf_dir, "lineitem")
+    return _edges(li, "l_suppkey", F.col("l_orderkey") % 128, F.col("l_partkey") % 128)
+
+
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_links(spark, sf_dir).distinct()
 

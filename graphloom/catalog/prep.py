@@ -77,10 +77,10 @@ def cost_deltas(spark, sf_dir):
 
 
 @query("p08_round_and_blank", f"""with {DEC} select graph_id, case when f_items = f_supp then null
-  else round(f_disc / ((f_items - f_supp) * 7.0::double), 6) end as ratio from dec""")
+  else round(f_disc / ((f_items - f_supp) * pi()), 6) end as ratio from dec""")
 def round_and_blank(spark, sf_dir):
     gap = (F.col("f_items") - F.col("f_supp")).cast("double")
-    ratio = F.when(gap == 0, F.lit(float("nan"))).otherwise(F.col("f_disc") / (gap * 7.0))
+    ratio = F.when(gap == 0, F.lit(float("nan"))).otherwise(F.col("f_disc") / (gap * F.pi()))
     return fx.decisions(spark, sf_dir).select("graph_id", F.round(F.when(~F.isnan(ratio), ratio), 6).alias("ratio"))
 
 

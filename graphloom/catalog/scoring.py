@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog.prep import LABELLED, _split42, _SPLIT42, labelled_decisions
 from graphloom.catalog.registry import query
 from graphloom.catalog.sqltext import DEC, FEATURES, PRED, mix
+from graphloom.session import written
 from graphloom.operators import labelfree, linear, metrics, neighbors, reports, scaling
 from graphloom.sources import fixtures as fx
 
@@ -135,13 +136,10 @@ def selective(spark, sf_dir):
     return _round(metrics.selective(fx.predictions(spark, sf_dir), ["model", "n_vertices"]), ["mean_confidence", "accuracy_all", "coverage", "accuracy_conf"])
 
 
-_ATC = """va as (select *, greatest(score, 1 - score) as conf from pr where seed = 0 and graph_id % 5 = 0),
- th as (select model, quantile_cont(conf, greatest(0, 1 - avg_hit)) as threshold from va join (select model as m2, avg(cast(pred = y as int)) as avg_hit from va group by 1) h on h.m2 = va.model group by model, avg_hit),
- ta as (select t.*, greatest(score, 1 - score) as conf, threshold from pr t join th using (model) where seed = 0 and graph_id % 5 <> 0)"""
 # A quantile level must be constant in DuckDB, so it is spelled out by rank.
 _ATC = """va as (select *, greatest(score, 1 - score) as conf from pr where seed = 0 and graph_id % 5 = 0),
- vr as (select model, conf, row_number() over (partition by model order by conf) - 1 as i, greatest(0, 1 - avg(cast(pred = y as int)) over (partition by model)) * (count(*) over (partition by model) - 1) as at from va),
- th as (select model, max(conf) filter (where i = floor(at)) + (max(conf) filter (where i = ceil(at)) - max(conf) filter (where i = floor(at))) * (max(at) - floor(max(at))) as threshold from vr group by model),
+ vr as (select model, conf, row_number() over (partition by model order by conf) - 1 as i, greatest(0, 1 - avg(cast(pred = y as int)) over (partition by model)) * (count(*) over (partition by model) - 1) as pos from va),
+ th as (select model, max(conf) filter (where i = floor(pos)) + (max(conf) filter (where i = ceil(pos)) - max(conf) filter (where i = floor(pos))) * (max(pos) - floor(max(pos))) as threshold from vr group by model),
  ta as (select t.*, greatest(score, 1 - score) as conf, threshold from pr t join th using (model) where seed = 0 and graph_id % 5 <> 0)"""
 
 
@@ -204,7 +202,7 @@ KEYS = ["source_dataset", "n_vertices"]
 
 def _points(spark, sf_dir):
     z = scaling.standardize(labelled_decisions(spark, sf_dir), FEATURES, KEYS)
-    return z.select(*KEYS, "graph_id", "y", neighbors.feature_point([f"{f}_z" for f in FEATURES]).alias("__x"))
+    return written(z.select(*KEYS, "graph_id", "y", neighbors.feature_point([f"{f}_z" for f in FEATURES]).alias("__x")), "points")
 
 
 @query("j08_nearest_neighbours", f"with {LABELLED}, {_PAIRS} select {G}, qid, rank, nid, round(dist, 6) as dist, ny::bigint as ny from nn")
@@ -330,8 +328,8 @@ def permutation_importance(spark, sf_dir):
 
 @query("w07_interleaved_rankings", f"""with {DEC}, im as ({' union all '.join(f"select source_dataset as dataset, '{f}' as feature, round(abs(corr({f}, delta_cx)), 9) as importance from dec group by 1" for f in FEATURES)}),
  r as (select *, row_number() over (partition by dataset order by importance desc, feature) as place, case dataset when 'a' then 0 else 1 end as turn from im),
- f as (select feature, min(place * 10 + turn) as at from r group by 1)
-select cast(row_number() over (order by at) as int) as position, feature from f order by at limit 4""")
+ f as (select feature, min(place * 10 + turn) as pos from r group by 1)
+select cast(row_number() over (order by pos) as int) as position, feature from f order by pos limit 4""")
 def interleaved(spark, sf_dir):
     d = fx.decisions(spark, sf_dir)
     imp = reports.correlation(d, [*FEATURES, "delta_cx"], ["source_dataset"]).where("b = 'delta_cx' and a <> 'delta_cx'").select(

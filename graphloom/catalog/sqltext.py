@@ -53,9 +53,9 @@ DEC = """dec as (select p.p_partkey as graph_id,
   p.p_size as f_size, p.p_retailprice as f_price, a.f_items, a.f_disc, a.f_var, a.f_supp,
   a.cx_matching, a.cx_pauli, a.cx_pauli - a.cx_matching as delta_cx
   from part p join (select l_partkey, count(*) as f_items,
-    round(sum(cast(round(l_discount * 100) as bigint)) / (cast(count(*) as double) * 100), 6) as f_disc,
-    round((cast(count(*) as double) * sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity))
-      / (cast(count(*) as double) * cast(count(*) as double)), 6) as f_var,
+    sum(cast(round(l_discount * 100) as bigint)) / (cast(count(*) as double) * 100) as f_disc,
+    (cast(count(*) as double) * sum(l_quantity * l_quantity) - sum(l_quantity) * sum(l_quantity))
+      / (cast(count(*) as double) * cast(count(*) as double)) as f_var,
     count(distinct l_suppkey) as f_supp,
     cast(sum(case when l_returnflag = 'A' then l_quantity else 0 end) as bigint) as cx_matching,
     cast(sum(case when l_returnflag = 'R' then l_quantity else 0 end) as bigint) as cx_pauli

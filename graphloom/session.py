@@ -46,11 +46,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of an iterated frame in the shared folder, so that a
-    lost executor costs one stage and not the whole chain of rounds."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def written(df, name: str = "stage"):
+    """The frame as a table in the shared folder, computed once.
+
+    For frames that a plan would otherwise repeat many times over. A lost executor
+    costs the stages after the table and not those before it."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

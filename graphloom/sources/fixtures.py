@@ -53,10 +53,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("f_items"),
         # Whole-number sums with one division at the end: the same value whatever
         # the order in which partial sums are merged.
-        F.round(F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / (count * 100), 6).alias("f_disc"),
-        F.round(
-            (count * F.sum(quantity * quantity) - F.sum(quantity) * F.sum(quantity)) / (count * count), 6
-        ).alias("f_var"),
+        (F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / (count * 100)).alias("f_disc"),
+        ((count * F.sum(quantity * quantity) - F.sum(quantity) * F.sum(quantity)) / (count * count)).alias("f_var"),
         F.countDistinct("l_suppkey").alias("f_supp"),
         F.sum(F.when(flag == "A", quantity).otherwise(0)).cast("bigint").alias("cx_matching"),
         F.sum(F.when(flag == "R", quantity).otherwise(0)).cast("bigint").alias("cx_pauli"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.catalog import graphs, prep, scoring  # noqa: F401
+from graphloom.catalog import graphs, prep, scoring, text  # noqa: F401
 from graphloom.catalog.registry import ORACLES, QUERIES
 
 

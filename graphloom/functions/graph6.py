@@ -55,13 +55,14 @@ def fault(g6: str = "g6", n: str = "n") -> Column:
 def packed_triangle(g6: str = "g6") -> Column:
     """`tri` words of valid text whose vertex count is in column n; padding bits
     at the end of the last character are ignored."""
-    return F.expr(
+    return F.expr(bind(
+        "n",
         f"""if(n < 2, cast(array() as array<bigint>),
           transform(array(transform(split({body(g6)}, ''), c -> cast(ascii(c) - {OFFSET} as bigint))), sextets ->
             transform(sequence(0, cast(ceil((n * (n - 1) / 2) / {WORD}) as int) - 1), w ->
               aggregate(sequence(0, 9), 0L, (acc, k) -> shiftleft(acc, 6) | coalesce(get(sextets, w * 10 + k), 0L))
-              & shiftleft(-1L, cast(greatest(0, {WORD} - (n * (n - 1) div 2 - w * {WORD})) as int))))[0])"""
-    )
+              & shiftleft(-1L, cast(greatest(0, {WORD} - (n * (n - 1) div 2 - w * {WORD})) as int))))[0])""",
+    ))
 
 
 def to_text() -> Column:

@@ -10,7 +10,7 @@ import math
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -28,9 +28,17 @@ def moments(df: DataFrame, features: list[str], keys: list[str] | None = None, d
     return df.groupBy(*keys).agg(*cols)
 
 
-def apply_moments(df: DataFrame, fitted: DataFrame, features: list[str], keys: list[str] | None = None,
+def fixed(fitted: DataFrame) -> Row:
+    """The one row of moments as numbers on the driver (two per feature)."""
+    return fitted.first()
+
+
+def apply_moments(df: DataFrame, fitted: DataFrame | Row, features: list[str], keys: list[str] | None = None,
                   suffix: str = "_z") -> DataFrame:
     """Scale by moments fitted elsewhere, adding `<feature><suffix>`."""
+    if isinstance(fitted, Row):
+        return df.withColumns({
+            f"{f}{suffix}": (F.col(f).cast("double") - fitted[f"__mu_{f}"]) / fitted[f"__sd_{f}"] for f in features})
     joined = df.join(fitted, keys) if keys else df.crossJoin(F.broadcast(fitted))  # one row of moments
     scaled = {f"{f}{suffix}": (F.col(f).cast("double") - F.col(f"__mu_{f}")) / F.col(f"__sd_{f}") for f in features}
     return joined.withColumns(scaled).drop(*[f"__{m}_{f}" for f in features for m in ("mu", "sd")])

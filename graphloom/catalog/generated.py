@@ -10,6 +10,7 @@ from graphloom.catalog.sqltext import GS, directed
 from graphloom.functions.scalars import is_power_of_two
 from graphloom.operators import generate, refinement, topology
 from graphloom.operators.packed import unpack_edges
+from graphloom.session import spread
 from graphloom.sources import fixtures as fx
 
 
@@ -33,7 +34,7 @@ def _er_attempts(spark, sf_dir):
         k.alias("seq"), F.when(k % 2 == 0, 8).otherwise(16).alias("n"), (k % 4 + 1).alias("tenths"))
     a = a.withColumn("p", F.col("tenths") / F.lit(10.0)).withColumn("seed", generate.cell_seed(F.lit(100), F.col("n"), F.col("p")))
     want = a.groupBy("n", "tenths").agg(F.expr("count(*) div 4").alias("want"))
-    return a.join(want, ["n", "tenths"]).withColumn("tri", generate.random_graph(graph="seq")).drop("p", "seed")
+    return spread(a.join(want, ["n", "tenths"]), "seq").withColumn("tri", generate.random_graph(graph="seq")).drop("p", "seed")
 
 
 @query("g01_random_links", f"with {_ER} select graph_id, cast(u as int) as u, cast(v as int) as v from er")
@@ -93,8 +94,8 @@ _PP = "pp as (select p_partkey as graph_id, cast(case p_partkey % 3 when 0 then
 
 def _parts(spark, sf_dir):
     k = F.col("p_partkey")
-    return fx.table(spark, sf_dir, "part").select(
-        k.alias("graph_id"), F.when(k % 3 == 0, 8).when(k % 3 == 1, 16).otherwise(32).alias("n"))
+    return spread(fx.table(spark, sf_dir, "part").select(
+        k.alias("graph_id"), F.when(k % 3 == 0, 8).when(k % 3 == 1, 16).otherwise(32).alias("n")), "graph_id")
 
 
 def _path_sql(orders: str) -> str:

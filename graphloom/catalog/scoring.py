@@ -248,7 +248,7 @@ _KNN = f"""{_SPLIT42}, mo as (select {', '.join(f'avg({f}) as m_{f}, stddev_pop(
 
 def _knn(spark, sf_dir, weighted):
     sp = _split42(spark, sf_dir)
-    z = scaling.apply_moments(sp, scaling.moments(sp.where("split = 'train'"), FEATURES), FEATURES)
+    z = written(scaling.apply_moments(sp, scaling.moments(sp.where("split = 'train'"), FEATURES), FEATURES), "points")
     point = neighbors.feature_point([f"{f}_z" for f in FEATURES])
     out = neighbors.knn_vote(z.where("split = 'test'"), z.where("split = 'train'"), [], "graph_id", point, 5, weighted)
     return _round(out, ["score"])

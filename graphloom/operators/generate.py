@@ -13,7 +13,7 @@ from graphloom.functions.scalars import HASH_MODULUS, is_power_of_two
 from graphloom.operators import refinement, topology
 from graphloom.operators.ordering import rank_in_group
 from graphloom.operators.packed import WORD, bind, words_needed
-from graphloom.session import written
+from graphloom.session import spread, written
 
 
 def draw(seed: str, graph: str, place: str) -> str:
@@ -144,7 +144,7 @@ def structured_attempts(sizes: DataFrame, want: str, seed: str = "seed") -> Data
     base = "cast(sequence(0, n - 1) as array<int>)"
 
     def tries(count: str, priority: int, step: int = 1, at: int = 0) -> DataFrame:
-        k = sizes.withColumn("k", F.explode(F.expr(f"sequence(0L, cast({count} as bigint) - 1)")))
+        k = spread(sizes.withColumn("k", F.explode(F.expr(f"sequence(0L, cast({count} as bigint) - 1)"))), "n", "k")
         return k.withColumn("seq", F.expr(f"{priority} * 1000000000L + k * {step} + {at}"))
 
     variants = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.metrics import confidence
 from graphloom.operators.ordering import exact_quantiles
+from graphloom.session import written
 
 
 def confidence_thresholds(validation: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,7 +16,8 @@ def confidence_thresholds(validation: DataFrame, keys: list[str]) -> DataFrame:
     c = validation.withColumn("__conf", confidence("score"))
     hit = (F.col("pred") == F.col("y")).cast("double")
     levels = c.groupBy(*keys).agg(F.greatest(F.lit(0.0), 1.0 - F.avg(hit)).alias("level"))
-    return exact_quantiles(c, keys, "__conf", levels).select(*keys, F.col("quantile").alias("threshold"))
+    found = exact_quantiles(c, keys, "__conf", levels).select(*keys, F.col("quantile").alias("threshold"))
+    return written(found, "thresholds")  # one row per model, its size known to later joins
 
 
 def estimated_accuracy(target: DataFrame, thresholds: DataFrame, model_keys: list[str], keys: list[str]) -> DataFrame:

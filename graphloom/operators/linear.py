@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import mix, sigmoid
 from graphloom.operators import metrics
 from graphloom.operators.ordering import rank_by_hash
+from graphloom.session import written
 
 INTERCEPT = "(intercept)"
 
@@ -32,7 +33,10 @@ def linear_score(features: list[str], weights: str = "__w") -> Column:
 
 def apply_linear(df: DataFrame, coefficients: DataFrame, features: list[str], keys: list[str], name: str = "score") -> DataFrame:
     rows = coefficient_row(coefficients, features, keys)
-    joined = df.join(rows, keys) if keys else df.crossJoin(F.broadcast(rows))  # one row of weights
+    if keys:
+        joined = df.join(written(rows, "weights"), keys)  # one row per model, its size known to the planner
+    else:
+        joined = df.crossJoin(F.broadcast(rows))  # one row of weights
     return joined.withColumn(name, linear_score(features)).drop("__w")
 
 

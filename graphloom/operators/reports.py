@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.ordering import exact_quantiles
+from graphloom.session import written
 
 # The verdict bounds and the share that marks a feature near-constant.
 SEVERE, IMBALANCED, DEGENERATE = 0.05, 0.20, 0.90
@@ -101,7 +102,8 @@ def histogram(df: DataFrame, value: Column, bins: int, keys: list[str], shared:
     largest value, of all rows or of each group; the last bin takes its right edge."""
     rows = df.select(*keys, value.cast("double").alias("__x")).where("__x is not null")
     ends = rows.groupBy(*([] if shared else keys)).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    placed = rows.crossJoin(F.broadcast(ends)) if shared else rows.join(ends, keys)  # shared: one row
+    # One row, or one row per group as a table whose size the planner knows.
+    placed = rows.crossJoin(F.broadcast(ends)) if shared else rows.join(written(ends, "ends"), keys)
     width = F.col("__hi") - F.col("__lo")
     b = F.when(width == 0, 0).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__lo")) / width * bins), F.lit(bins - 1))

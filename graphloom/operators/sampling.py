@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import mix
 from graphloom.operators.ordering import rank_by_hash
+from graphloom.session import written
 
 
 def label(df: DataFrame, delta: str = "delta_cx") -> DataFrame:
@@ -29,7 +30,7 @@ def balance_within(df: DataFrame, group: str, y: str, key: str, seed: int = 0) -
 
 def sample_rows(df: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly `size` rows (or all, if fewer), the first in hash order."""
-    return df.orderBy(mix(key, seed), key).limit(size)
+    return rank_by_hash(df, [], mix(key, seed), key, "__rank").where(F.col("__rank") <= size).drop("__rank")
 
 
 def stratum(df: DataFrame, parts: list[str], name: str = "stratum") -> DataFrame:
@@ -59,7 +60,7 @@ def split_three(df: DataFrame, key: str, parts: list[str], seed: Column | int =
     sizes = named.groupBy(*within, "__stratum").agg(F.count("*").alias("__c"))
     if within:
         small = sizes.groupBy(*within).agg(F.min("__c").alias("__least"))
-        named = named.join(small, within)
+        named = named.join(written(small, "sizes"), within)  # one row per group, its size known to the planner
     else:
         named = named.crossJoin(F.broadcast(sizes.agg(F.min("__c").alias("__least"))))  # one row
     named = named.withColumn("__stratum", F.when(F.col("__least") >= 2, F.col("__stratum")).otherwise("all"))

@@ -1,7 +1,7 @@
 """Standardisation, range checks, distance to a fitted distribution, two axes.
 
-Moments come from one grouped aggregation joined back to the rows (a broadcast when
-the planner finds it small), so no group is gathered in one task."""
+Moments come from one grouped aggregation joined back to the rows, so no group is
+gathered in one task."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from graphloom.session import written
+
 
 def moments(df: DataFrame, features: list[str], keys: list[str] | None = None, ddof: int = 0) -> DataFrame:
     """`(keys, __mu_f, __sd_f)`, a deviation of zero given as one."""
@@ -39,7 +41,12 @@ def apply_moments(df: DataFrame, fitted: DataFrame | Row, features: list[str], k
     if isinstance(fitted, Row):
         return df.withColumns({
             f"{f}{suffix}": (F.col(f).cast("double") - fitted[f"__mu_{f}"]) / fitted[f"__sd_{f}"] for f in features})
-    joined = df.join(fitted, keys) if keys else df.crossJoin(F.broadcast(fitted))  # one row of moments
+    if keys:
+        # One row per group, as a table: the planner knows its size before it decides
+        # between a broadcast and a shuffle of all rows.
+        joined = df.join(written(fitted, "moments"), keys)
+    else:
+        joined = df.crossJoin(F.broadcast(fitted))  # one row of moments
     scaled = {f"{f}{suffix}": (F.col(f).cast("double") - F.col(f"__mu_{f}")) / F.col(f"__sd_{f}") for f in features}
     return joined.withColumns(scaled).drop(*[f"__{m}_{f}" for f in features for m in ("mu", "sd")])
 

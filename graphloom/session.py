@@ -46,6 +46,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df, *keys: str):
+    """Rows dealt out over all cores by key, before work that is heavy per row. The
+    number is given outright: AQE would merge partitions by their few bytes."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def written(df, name: str = "stage"):
     """The frame as a table in the shared folder, computed once.
 

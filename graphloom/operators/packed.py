@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 WORD = 60
 NARROW_MAX = 64
 
@@ -122,6 +124,12 @@ def with_adjacency(packed: DataFrame, wide: bool = False) -> DataFrame:
     return packed.withColumn("adj", _wide_adjacency() if wide else _narrow_adjacency())
 
 
+def spread_large(packed: DataFrame) -> DataFrame:
+    """Large graphs dealt over all cores: few bytes each, but seconds of work. All
+    columns are hashed, so copies of one graph do not meet in one task."""
+    return spread(packed, *packed.columns)
+
+
 def by_width(packed: DataFrame, compute, max_n: int | None = None) -> DataFrame:
     """Apply `compute(frame, wide)` to the graphs of each width.
 
@@ -131,5 +139,5 @@ def by_width(packed: DataFrame, compute, max_n: int | None = None) -> DataFrame:
     if max_n is not None and max_n <= NARROW_MAX:
         return compute(packed, False)
     narrow = compute(packed.where(F.col("n") <= NARROW_MAX), False)
-    wide = compute(packed.where(F.col("n") > NARROW_MAX), True)
+    wide = compute(spread_large(packed.where(F.col("n") > NARROW_MAX)), True)
     return narrow.unionByName(wide)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.dense import pauli_sums
-from graphloom.operators.packed import NARROW_MAX, links_of
+from graphloom.operators.packed import NARROW_MAX, links_of, spread_large
 
 
 def _sums_narrow(packed: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def pauli_columns(packed: DataFrame, max_n: int | None = None) -> DataFrame:
         sums = _sums_narrow(power)
     else:
         sums = _sums_narrow(power.where(F.col("n") <= NARROW_MAX)).unionByName(
-            pauli_sums(power.where(F.col("n") > NARROW_MAX))
+            pauli_sums(spread_large(power.where(F.col("n") > NARROW_MAX)))
         )
     return (
         sums.withColumn("pauli_num_terms", F.col("terms").cast("double"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.bitset import sets
 from graphloom.session import spread
 
 WORD = 60
@@ -96,34 +97,42 @@ def unpack_edges(packed: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> Da
     return packed.select(*keys, F.explode(links_of()).alias("e")).select(*keys, "e.u", "e.v")
 
 
+# The bit of the link i-j, j < i: row i of the triangle is one run of positions.
+_BIT = (f"(shiftright(tri[cast((shiftright(i * (i - 1), 1) + j) div {WORD} as int)], "
+        f"cast({WORD - 1} - (shiftright(i * (i - 1), 1) + j) % {WORD} as int)) & 1L)")
+
+
 def _narrow_adjacency() -> Column:
-    return F.expr(bind("tri",
-        f"""if(n < 1, cast(array() as array<bigint>), transform(sequence(0, n - 1), i ->
-          aggregate(sequence(0, n - 1), 0L, (acc, j) ->
-            if(i = j, acc, acc | shiftleft(
-              shiftright(
-                tri[cast((shiftright(greatest(i, j) * (greatest(i, j) - 1), 1) + least(i, j)) div {WORD} as int)],
-                cast({WORD - 1} - (shiftright(greatest(i, j) * (greatest(i, j) - 1), 1) + least(i, j)) % {WORD} as int)
-              ) & 1L, j)))))"""
-    ))
+    """Lower rows from the words, then each completed from the rows below it."""
+    low = f"""transform(sequence(0, n - 1), i -> if(i = 0, 0L,
+        aggregate(sequence(0, i - 1), 0L, (acc, j) -> acc | shiftleft({_BIT}, j))))"""
+    full = """transform(low, (l, i) -> if(i = n - 1, l,
+        aggregate(sequence(i + 1, n - 1), l, (acc, j) -> acc | shiftleft(shiftright(low[j], i) & 1L, j))))"""
+    return F.expr(bind("tri", f"if(n < 1, cast(array() as array<bigint>), transform(array({low}), low -> {full})[0])"))
 
 
 def _wide_adjacency() -> Column:
-    return F.expr(bind("tri",
-        f"""transform(sequence(0, n - 1), i -> transform(sequence(0, cast((n - 1) div 64 as int)), b ->
-          aggregate(sequence(cast(b * 64 as int), cast(least(n - 1, b * 64 + 63) as int)), 0L, (acc, j) ->
-            if(i = j, acc, acc | shiftleft(
-              shiftright(
-                tri[cast((shiftright(greatest(i, j) * (greatest(i, j) - 1), 1) + least(i, j)) div {WORD} as int)],
-                cast({WORD - 1} - (shiftright(greatest(i, j) * (greatest(i, j) - 1), 1) + least(i, j)) % {WORD} as int)
-              ) & 1L, cast(j % 64 as int))))))"""
-    ))
+    """The same with rows of several blocks."""
+    low = f"""transform(sequence(0, n - 1), i -> transform(sequence(0, cast((n - 1) div 64 as int)), b -> if(b * 64 >= i, 0L,
+        aggregate(sequence(b * 64, least(i - 1, b * 64 + 63)), 0L, (acc, j) -> acc | shiftleft({_BIT}, j & 63)))))"""
+    full = """transform(low, (l, i) -> transform(l, (w, b) -> if(greatest(i + 1, b * 64) > least(n - 1, b * 64 + 63), w,
+        aggregate(sequence(greatest(i + 1, b * 64), least(n - 1, b * 64 + 63)), w, (acc, j) ->
+          acc | shiftleft(shiftright(low[j][shiftright(i, 6)], i & 63) & 1L, j & 63)))))"""
+    return F.expr(bind("tri", f"transform(array({low}), low -> {full})[0]"))
 
 
 def with_adjacency(packed: DataFrame, wide: bool = False) -> DataFrame:
     return packed.withColumn("adj", _wide_adjacency() if wide else _narrow_adjacency())
 
 
+def with_around(df: DataFrame, wide: bool = False) -> DataFrame:
+    """Adds `around`, the neighbours of each vertex as lists, next to `adj`. Steps that
+    go over the links of a vertex again and again take these."""
+    has = sets(wide).has("a", "j")
+    return df.withColumn("around", F.expr(bind(
+        "adj", f"if(n < 1, cast(array() as array<array<int>>), transform(adj, a -> filter(sequence(0, n - 1), j -> {has})))")))
+
+
 def spread_large(packed: DataFrame) -> DataFrame:
     """Large graphs dealt over all cores: few bytes each, but seconds of work. All
     columns are hashed, so copies of one graph do not meet in one task."""

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.bitset import sets
-from graphloom.operators.packed import bind, by_width, with_adjacency
+from graphloom.operators.packed import bind, by_width, with_adjacency, with_around
 
 ROUNDS = 3
 
@@ -21,11 +20,7 @@ def refine(packed: DataFrame, rounds: int = ROUNDS, max_n: int | None = None) ->
     """Adds `colours` (last round, by vertex), `wl_key` and `n_colours`."""
 
     def compute(df: DataFrame, wide: bool) -> DataFrame:
-        s = sets(wide)
-        df = with_adjacency(df, wide).withColumn(
-            "around",
-            F.expr(bind("adj", f"transform(adj, a -> filter(sequence(0, n - 1), j -> {s.has('a', 'j')}))")),
-        )
+        df = with_around(with_adjacency(df, wide), wide)
         df = df.withColumn("c0", F.expr("transform(around, a -> cast(size(a) as string))"))
         for r in range(1, rounds + 1):
             step = (f"transform(c{r - 1}, (own, i) -> md5(concat(own, ':', "

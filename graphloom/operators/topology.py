@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.bitset import sets
-from graphloom.operators.packed import bind, by_width, with_adjacency
+from graphloom.operators.packed import bind, by_width, with_adjacency, with_around
 
 SMALL_MATCHING = 16
 
@@ -48,10 +48,9 @@ def triangle_columns(df: DataFrame, wide: bool) -> DataFrame:
     """Triangles, and the mean over all vertices of 2T(v) / d(d-1)."""
     s = sets(wide)
     # Twice the triangles at each vertex: common neighbours over its own neighbours.
-    at_vertex = f"""transform(adj, a -> aggregate(sequence(0, n - 1), 0L, (acc, j) ->
-        if({s.has('a', 'j')}, acc + {s.size(s.meet('a', 'adj[j]'))}, acc)))"""
+    at_vertex = f"""transform(adj, (a, i) -> aggregate(around[i], 0L, (acc, j) -> acc + {s.size(s.meet('a', 'adj[j]'))}))"""
     return (
-        df.withColumn("tri2", F.expr(bind("adj", f"if(n < 1, cast(array() as array<bigint>), {at_vertex})")))
+        df.withColumn("tri2", F.expr(bind("adj", bind("around", at_vertex))))
         .withColumn("triangle_count", F.expr("cast(aggregate(tri2, 0L, (acc, t) -> acc + t) div 6 as bigint)"))
         .withColumn(
             "avg_clustering",
@@ -101,15 +100,14 @@ def distance_columns(df: DataFrame, wide: bool) -> DataFrame:
     """Diameter: rounds until every vertex has reached every other, NULL if that
     never happens. All sources advance together, one round per distance."""
     s = sets(wide)
-    step = f"""transform(st.reach, (r, i) -> aggregate(sequence(0, n - 1), r, (acc, j) ->
-        if({s.has('adj[i]', 'j')}, {s.union('acc', 'st.reach[j]')}, acc)))"""
+    step = f"""transform(st.reach, (r, i) -> aggregate(around[i], r, (acc, j) -> {s.union('acc', 'st.reach[j]')}))"""
     start = f"""named_struct('reach', transform(sequence(0, n - 1), i -> {s.single('i')}), 'rounds', 0, 'done', n = 1)"""
     round_ = f"""if(st.done, st, aggregate(array({step}), st, (old, reach) ->
         if(reach = old.reach, named_struct('reach', old.reach, 'rounds', old.rounds, 'done', true),
            named_struct('reach', reach, 'rounds', old.rounds + 1,
                         'done', forall(reach, x -> {s.size('x')} = n)))))"""
     walked = f"aggregate(sequence(1, n), {start}, (st, r) -> {round_})"
-    return df.withColumn("walk", F.expr(bind("adj", f"if(n < 1, null, {walked})"))).withColumn(
+    return df.withColumn("walk", F.expr(bind("around", f"if(n < 1, null, {walked})"))).withColumn(
         "diameter", F.expr(f"if({s.size('walk.reach[0]')} = n, walk.rounds, null)")
     ).drop("walk")
 
@@ -158,14 +156,14 @@ def topology(packed: DataFrame, max_n: int | None = None, with_clique: bool = Fa
     """All shape columns except the matching, for graphs of any size."""
 
     def compute(df: DataFrame, wide: bool) -> DataFrame:
-        df = _degrees(with_adjacency(df, wide), wide)
+        df = _degrees(with_around(with_adjacency(df, wide), wide), wide)
         df = degree_columns(size_columns(df))
         df = triangle_columns(df, wide)
         df = cycle_columns(component_columns(df, wide))
         df = distance_columns(df, wide)
         if with_clique:
             df = clique_column(df, wide)
-        return df.drop("adj", "deg", "tri2")
+        return df.drop("adj", "around", "deg", "tri2")
 
     return by_width(packed, compute, max_n)
 
@@ -181,7 +179,9 @@ def with_degrees(packed: DataFrame, max_n: int | None = None) -> DataFrame:
 def with_triangles(packed: DataFrame, max_n: int | None = None) -> DataFrame:
     return by_width(
         packed,
-        lambda df, wide: triangle_columns(_degrees(with_adjacency(df, wide), wide), wide).drop("adj", "deg", "tri2"),
+        lambda df, wide: triangle_columns(
+            _degrees(with_around(with_adjacency(df, wide), wide), wide), wide
+        ).drop("adj", "around", "deg", "tri2"),
         max_n,
     )
 
@@ -197,7 +197,11 @@ def with_components(packed: DataFrame, max_n: int | None = None) -> DataFrame:
 
 
 def with_diameter(packed: DataFrame, max_n: int | None = None) -> DataFrame:
-    return by_width(packed, lambda df, wide: distance_columns(with_adjacency(df, wide), wide).drop("adj"), max_n)
+    return by_width(
+        packed,
+        lambda df, wide: distance_columns(with_around(with_adjacency(df, wide), wide), wide).drop("adj", "around"),
+        max_n,
+    )
 
 
 def with_clique(packed: DataFrame, max_n: int = SMALL_MATCHING) -> DataFrame:

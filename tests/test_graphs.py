@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import graph6
 from graphloom.operators import dense, pauli, refinement, spectral, topology
-from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency
+from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency, with_around
 from graphloom.plans import features
 from graphloom.sources import g6
 
@@ -117,7 +117,7 @@ def test_wide_form_equals_narrow_form(spark):
     p = packed_of(spark, random_graphs([9, 40, 64], 6))
     parts = {}
     for wide in (False, True):
-        df = topology._degrees(with_adjacency(p, wide), wide)
+        df = topology._degrees(with_around(with_adjacency(p, wide), wide), wide)
         df = topology.triangle_columns(df, wide)
         df = topology.distance_columns(topology.component_columns(df, wide), wide)
         df = topology.clique_column(df.where("n < 41"), wide)

@@ -8,6 +8,7 @@ from graphloom.catalog.registry import query
 from graphloom.catalog.sqltext import DEC, FEAT, FEATURES, LAB, mix
 from graphloom.functions.scalars import bit_text, signed_log, tie_winner
 from graphloom.operators import ordering, prep, reports, sampling, scaling
+from graphloom.plans import balanced as plan
 from graphloom.sources import fixtures as fx
 
 FS = ", ".join(FEATURES)
@@ -174,9 +175,14 @@ def balanced(spark, sf_dir):
   union all select source_dataset, graph_id, n_vertices, {FS} from feat where graph_id not in (select graph_id from lab)""")
 def balanced_with_unlabelled(spark, sf_dir):
     cols = ["source_dataset", "graph_id", "n_vertices", *FEATURES]
-    picked = sampling.balance_within(_labelled(spark, sf_dir), "n_vertices", "y", "graph_id").select(*cols)
-    rest = prep.unlabelled(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir)).select(*cols)
-    return picked.unionByName(rest)
+    rows, _, _ = plan.build(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir))
+    return rows.select(*cols)
+
+
+@query("u02_balanced_labels", f"with {_D1}, {_BAL} select b.source_dataset, l.* from bal b join lab l using (graph_id)")
+def balanced_labels(spark, sf_dir):
+    _, rows, _ = plan.build(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir))
+    return rows
 
 
 @query("a19_composition", f"""with {_D1}, s as (select n_vertices, source_dataset, count(*) filter (where y = 1) as m, count(*) filter (where y = 0) as p from d1 group by 1, 2)
@@ -185,7 +191,7 @@ select n_vertices, cast(sum(m) as bigint) as matching_avail, cast(sum(p) as bigi
   '{{' || string_agg('"' || source_dataset || '":' || p, ',' order by source_dataset) filter (where p > 0) || '}}' as pauli_from,
   cast(2 * least(sum(m), sum(p)) as bigint) as total from s group by n_vertices""")
 def composition(spark, sf_dir):
-    return reports.composition(_labelled(spark, sf_dir), "n_vertices", "source_dataset")
+    return plan.build(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir))[2]
 
 
 _FIFTH = "cast(floor(({} * 2 + 5) / 10.0) as bigint)"

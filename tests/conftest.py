@@ -10,7 +10,7 @@ from graphloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(8)
+    s = local_session(8, shuffle_partitions=4)
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()

@@ -61,27 +61,31 @@ def split_three(df: DataFrame, key: str, parts: list[str], seed: Column | int =
     if within:
         small = sizes.groupBy(*within).agg(F.min("__c").alias("__least"))
         named = named.join(written(small, "sizes"), within)  # one row per group, its size known to the planner
-    else:
-        named = named.crossJoin(F.broadcast(sizes.agg(F.min("__c").alias("__least"))))  # one row
-    named = named.withColumn("__stratum", F.when(F.col("__least") >= 2, F.col("__stratum")).otherwise("all"))
-    return _split_by(named, [*within, "__stratum"], key, seed).drop("__stratum", "__least")
+        named = named.withColumn("__stratum", F.when(F.col("__least") >= 2, F.col("__stratum")).otherwise("all")).drop("__least")
+    elif _least(sizes) < 2:
+        named = named.withColumn("__stratum", F.lit("all"))
+    return _split_by(named, [*within, "__stratum"], key, seed).drop("__stratum")
+
+
+def _least(sizes: DataFrame) -> int:
+    """Rows of the smallest stratum: one number."""
+    return sizes.agg(F.min("__c")).first()[0] or 0
 
 
 def split_three_tiers(df: DataFrame, key: str, size: str, y: str, seed: int = 0) -> DataFrame:
     """As above with three tiers: (size, class) if each stratum has two rows, else
     class if each class has four, else none; the second cut goes by class alone."""
     named = stratum(df, [size, y], "__stratum")
-    least = named.groupBy("__stratum").agg(F.count("*").alias("__c")).agg(F.min("__c").alias("__least"))
-    least_y = df.groupBy(y).agg(F.count("*").alias("__c")).agg(F.min("__c").alias("__least_y"))
-    tiers = least.crossJoin(least_y)  # one row by one row
-    named = named.crossJoin(F.broadcast(tiers)).withColumn(
-        "__first",
-        F.when(F.col("__least") >= 2, F.col("__stratum"))
-        .when(F.col("__least_y") >= 4, F.concat(F.lit("y"), F.col(y).cast("string")))
-        .otherwise("all"),
-    )
+    if _least(named.groupBy("__stratum").agg(F.count("*").alias("__c"))) >= 2:
+        first = F.col("__stratum")
+    elif _least(df.groupBy(y).agg(F.count("*").alias("__c"))) >= 4:
+        first = F.concat(F.lit("y"), F.col(y).cast("string"))
+    else:
+        first = F.lit("all")
+    named = named.withColumn("__first", first)
     ranked = rank_by_hash(named, ["__first"], mix(key, seed), key, "__rank", "__size")
-    cut = ranked.withColumn("__test", F.col("__rank") <= _fifth(F.col("__size"))).drop("__rank", "__size")
+    # Read for both parts below.
+    cut = written(ranked.withColumn("__test", F.col("__rank") <= _fifth(F.col("__size"))).drop("__rank", "__size"), "cut")
     dev = cut.where(~F.col("__test")).withColumn(
         "__second", F.when(F.col("__first") == "all", "all").otherwise(F.col(y).cast("string"))
     )

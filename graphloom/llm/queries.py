@@ -1,0 +1,17 @@
+"""One query per operator: its whole table, production parameters, the agreed columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.llm import decision_rules
+from graphloom.llm.common import query, table
+
+
+@query("op3_decision_rules")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = decision_rules.fit(docs, table(spark, sf_dir, "labels"))
+    out = decision_rules.judge(docs, rules)
+    counts = [c.split()[0] for c in decision_rules.COUNTS.split(", ")]
+    return out.select("doc_id", *[F.col(f"_stats.{c}").alias(c) for c in counts], "base_failed", "kept")

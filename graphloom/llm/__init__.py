@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import queries as _queries  # noqa: F401
+from graphloom.llm import registered as _registered  # noqa: F401
 from graphloom.llm.common import ORACLES, QUERIES
 
 

@@ -53,11 +53,11 @@ def schema_of(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, (KINDS | many)[kind]) for name, kind in pairs])
 
 
-def text_function(fields: str, fn: Callable[[Texts], dict[str, np.ndarray | pa.Array | list]]):
+def text_function(fields: str | T.StructType, fn: Callable[[Texts], dict[str, np.ndarray | pa.Array | list]]):
     """An Arrow function text -> struct: fn gets some texts at a time, whole ones, and
     returns an array per field. Marked as not deterministic, so that Spark computes it
     once and doesn't copy it into filters."""
-    schema = schema_of(fields)
+    schema = fields if isinstance(fields, T.StructType) else schema_of(fields)
     kind = to_arrow_type(schema)
 
     def run(column: pa.Array) -> pa.Array:

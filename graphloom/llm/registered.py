@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_windows, decision_rules, license_scan
-from graphloom.llm.common import query, table
+from graphloom.llm import chat_windows, crf_pii, decision_rules, license_scan, pu_quality
+from graphloom.llm.common import query, remainder, table
 
 
 @query("op3_decision_rules")
@@ -39,3 +39,28 @@ def op6(spark, sf_dir):
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     return chat_windows.digest(chat_windows.windows(turns.unionByName(more)))
+
+
+@query("op8_crf_personal_data")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = crf_pii.fit(crf_pii.labelled_lines(docs))
+    found = crf_pii.find(docs, field).select("doc_id", F.col("_pii.spans").alias("_spans"))
+    base = F.filter("_spans", lambda s: s.base)
+
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")],
+                        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+
+
+@query("op5_pu_quality")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

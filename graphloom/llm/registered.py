@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_windows, crf_pii, decision_rules, license_scan, pu_quality
+from graphloom.llm import chat_windows, crf_pii, decision_rules, decontaminate, license_scan, line_windows, pu_quality
 from graphloom.llm.common import query, remainder, table
 
 
@@ -64,3 +64,24 @@ def op5(spark, sf_dir):
     model = pu_quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = pu_quality.score(docs, model)
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+OP2_SQL = r"""with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i from documents),
+full_lines as (select doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as l from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+w as (select doc_id, i as a, l as l1, lead(l) over o as l2, lead(l, 2) over o as l3, lead(i, 2) over o as b from full_lines window o as (partition by doc_id order by i)),
+later as (select doc_id, a, b from (select *, row_number() over (partition by l1, l2, l3 order by doc_id, a) as k from w where b is not null) t where k > 1),
+gone as (select distinct l.doc_id, l.i from lines l join later r on l.doc_id = r.doc_id and l.i between r.a and r.b),
+kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.i) as text from lines l anti join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id),
+n as (select l.doc_id, count(*) as n_lines, count(g.i) as n_removed from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id)
+select n.doc_id, coalesce(k.text, '') as text, n.n_lines, n.n_removed from n left join kept k on n.doc_id = k.doc_id"""
+
+
+@query("op2_line_windows", OP2_SQL)
+def op2(spark, sf_dir):
+    return line_windows.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_benchmark_leaks")
+def op4(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")

@@ -1,4 +1,4 @@
-"""Documents to training mix: the dealt operators as stages, each on what the one before kept.
+"""Documents to training mix: five operators as stages, each on what the one before kept.
 
 run(spark, sf_dir) applies STAGES in order to the documents table; each result is
 written as Parquet in the shared folder and read again, so that a lost executor costs
@@ -7,7 +7,9 @@ one stage at most.
 
 from __future__ import annotations
 
-from graphloom.llm import decision_rules
+from pyspark.sql import functions as F
+
+from graphloom.llm import budget_mix, decision_rules, decontaminate, line_windows, probminhash
 from graphloom.llm.common import table
 from graphloom.session import fresh_path
 
@@ -20,9 +22,38 @@ def quality_rules(spark, docs, sf_dir):
     return decision_rules.judge(docs, rules).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark, docs, sf_dir):
+    """Lines of repeated three-line windows go, but for their first occurrence; texts
+    left without a word go; n_chars is counted anew."""
+    cut = line_windows.remove_repeated(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cut.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each class of near duplicates stays, that of the smallest doc_id."""
+    return probminhash.one_of_each(docs).select(*COLUMNS)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a copy of a benchmark item, edited or not, go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mixing(spark, docs, sf_dir):
+    """What the mix takes of each document that is left."""
+    return budget_mix.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-#: The learned stages have no SQL; tests/llm/test_pipeline.py checks the rows instead.
+#: The learned stage has no SQL; tests/llm/test_pipeline.py checks the rows instead.
 ORACLE_SQL = None
 
 

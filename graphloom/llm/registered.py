@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat_windows, crf_pii, decision_rules, decontaminate, license_scan, line_windows, pu_quality
+from graphloom.llm import budget_mix, chat_windows, crf_pii, ctw, decision_rules, decontaminate, license_scan, line_windows, probminhash, pu_quality
 from graphloom.llm.common import query, remainder, table
 
 
@@ -85,3 +85,19 @@ def op2(spark, sf_dir):
 @query("op4_benchmark_leaks")
 def op4(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_th")
+
+
+@query("op7_probminhash_classes")
+def op7(spark, sf_dir):
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query("op10_budget_mix")
+def op10(spark, sf_dir):
+    return budget_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_context_tree_weighting")
+def op1(spark, sf_dir):
+    got = ctw.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return got.select("doc_id", (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

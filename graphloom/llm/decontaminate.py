@@ -18,7 +18,7 @@ from graphloom.llm import bytewords as bw
 from graphloom.llm.common import schema_of, text_function, text_of
 from graphloom.session import written
 
-#: Lower case; ASCII marks part words.
+#: Texts come in lower case; ASCII marks part words.
 PLAIN = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
 
@@ -41,7 +41,7 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
             texts.append(" ".join(plain.buf[plain.offsets[i] : plain.offsets[i + 1]].tobytes().decode().split()))
         return {"item": texts, "words": counts, "grams": rows}
 
-    got = items.withColumn("_i", text_function("item string, words long, grams array<long>", run)(text_of()))
+    got = items.withColumn("_i", text_function("item string, words long, grams array<long>", run)(F.lower(text_of())))
     return got.select("item_id", F.col("_i.item").alias("_item"), F.col("_i.words").alias("_words"), F.col("_i.grams").alias("_grams"))
 
 
@@ -139,7 +139,7 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     slots = np.array(on, np.int64)
     np.bitwise_or.at(table, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     bitmap = spark.sparkContext.broadcast(table)
-    found = _regions(docs.select("doc_id", F.xxhash64(text_of()).alias("_th"), text_of().alias("text")), bitmap, n, reach)
+    found = _regions(docs.select("doc_id", F.xxhash64(text_of()).alias("_th"), F.lower(text_of()).alias("text")), bitmap, n, reach)
     regions = written(found.withColumn("_rid", F.monotonically_increasing_id()), "bench-regions")
     hits = regions.select("_rid", F.explode("_grams").alias("_gram"))
     often = written(hits.groupBy("_gram").agg(F.count("*").alias("_often")).join(seeds.select("_gram").distinct(), "_gram", "left_semi"), "bench-counts")

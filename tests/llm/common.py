@@ -1,10 +1,10 @@
 """A small awkward table: nulls, empty and long texts, ties, repeated rows, clashing names."""
 
 import random
-
-from pyspark.sql import Row
+from collections import namedtuple
 
 SYLLABLES = "an be cor du eth fi gan hol is jo ka lem mi nor ost pra qui ras sel tor u vel wy xan yo zu é ñ".split()
+Row = namedtuple("Row", "doc_id text lang source n_chars n_lines score size item_id kept n target class_id")
 
 
 def sentence(rng, n):

@@ -149,7 +149,8 @@ def test_near_duplicates(spark):
     left = probminhash.one_of_each(docs).collect()
     wordless = sum(not (r.text or "").split() for r in rows)
     want = {(c if c is not None else ("none", d)) for (d, c), r in zip(brute_classes(rows), rows, strict=True) if (r.text or "").split()}
-    assert len(left) == len(want) + wordless and "key" not in left[0].asDict() and "class_id" in left[0].asDict()
+    # doc_id 7 names two texts, so two classes have its number
+    assert len(left) == len(want) + 1 + wordless and "key" not in left[0].asDict() and "class_id" in left[0].asDict()
     assert probminhash.near_duplicates(common.empty(spark)).count() == 0 and probminhash.one_of_each(common.empty(spark)).count() == 0
 
 

@@ -132,9 +132,9 @@ def near_rows():
     rng = common.random.Random(8)
     rows = common.rows()
     original = common.sentence(rng, 150).split()
-    for i in range(60):  # copies of one original, each nearer to it than to each other
+    for i in range(90):  # copies of one original, each nearer to it than to each other
         words = list(original)
-        for k in rng.sample(range(150), 2):
+        for k in rng.sample(range(150), 1 + i % 6):  # those with many edits are near to none
             words[k] = f"edit{i}x{k}"
         rows.append(common.Row(100 + i, " ".join(words), None, None, None, *"abcdefgh"))
     rows.append(common.Row(99, " ".join(original), None, None, None, *"abcdefgh"))

@@ -10,7 +10,7 @@ from graphloom.catalog.sqltext import GS, directed
 from graphloom.functions.scalars import is_power_of_two
 from graphloom.operators import generate, refinement, topology
 from graphloom.operators.packed import unpack_edges
-from graphloom.session import spread
+from graphloom.session import spread, written
 from graphloom.sources import fixtures as fx
 
 
@@ -68,21 +68,43 @@ _ER_OUT = f"""with recursive {_ER}, {_judge('er', 'att')}, wa as (select n, tent
 
 @query("g01_g06_g07_random_graphs", f"{_ER_OUT} select cast(n as int) as n, tenths, seq from ta")
 def random_graphs(spark, sf_dir):
-    kept, _ = generate.accept(_er_attempts(spark, sf_dir), ["n", "tenths"], "seq", "want", max_n=16)
+    kept, _ = generate.accept(_er_attempts(spark, sf_dir), ["n", "tenths"], "seq", "want")
     return kept.select("n", "tenths", "seq")
 
 
 @query("g09_run_counters", f"""{_ER_OUT} select cast(st.n as int) as n, st.tenths, coalesce(o, case when ta.seq is not null then 'generated' else 'duplicate' end) as outcome, count(*) as n_graphs
 from st left join la on la.n = st.n and la.tenths = st.tenths left join ta on ta.seq = st.seq where la.last is null or st.seq <= la.last group by 1, 2, 3""")
 def run_counters(spark, sf_dir):
-    _, counters = generate.accept(_er_attempts(spark, sf_dir), ["n", "tenths"], "seq", "want", max_n=16)
+    _, counters = generate.accept(_er_attempts(spark, sf_dir), ["n", "tenths"], "seq", "want")
     return counters
 
 
+# A second run against a file that holds every third of the first run's graphs.
+_AGAIN = _ER_OUT.replace(" fi as (", """ ex as (select distinct st.n, st.k from st where st.o is null and st.seq % 3 = 0),
+ fi as (""").replace("from st where o is null group by", "from st where o is null and not exists (select 1 from ex where ex.n = st.n and ex.k = st.k) group by")
+
+
+def _accepted_again(spark, sf_dir):
+    attempts = _er_attempts(spark, sf_dir)
+    existing = generate.judged(attempts.where("seq % 3 = 0")).where("outcome is null").select("n", "wl_key").distinct()
+    return generate.accept(attempts, ["n", "tenths"], "seq", "want", existing=written(existing, "existing"))
+
+
+@query("g08_kept_beside_existing", f"{_AGAIN} select cast(n as int) as n, tenths, seq from ta")
+def kept_beside_existing(spark, sf_dir):
+    return _accepted_again(spark, sf_dir)[0].select("n", "tenths", "seq")
+
+
+@query("g09_counters_beside_existing", f"""{_AGAIN} select cast(st.n as int) as n, st.tenths, coalesce(o, case when ta.seq is not null then 'generated' else 'duplicate' end) as outcome, count(*) as n_graphs
+from st left join la on la.n = st.n and la.tenths = st.tenths left join ta on ta.seq = st.seq where la.last is null or st.seq <= la.last group by 1, 2, 3""")
+def counters_beside_existing(spark, sf_dir):
+    return _accepted_again(spark, sf_dir)[1]
+
+
 @query("g09_short_runs", f"""{_ER_OUT} select cast(wa.n as int) as n, wa.tenths, want, count(ta.seq) as n_graphs from wa left join ta using (n, tenths, want) group by 1, 2, 3 having count(ta.seq) < want""")
 def short_runs(spark, sf_dir):
     a = _er_attempts(spark, sf_dir)
-    _, counters = generate.accept(a, ["n", "tenths"], "seq", "want", max_n=16)
+    _, counters = generate.accept(a, ["n", "tenths"], "seq", "want")
     wanted = a.select("n", "tenths", "want").distinct()
     return generate.short_runs(counters, wanted, ["n", "tenths"], "want")
 
@@ -149,11 +171,11 @@ def isolated_vertices(spark, sf_dir):
 
 
 _ST = f"""sz as (select 16::bigint as n, count(*) // 40 as want, 21 as seed from part),
- att as materialized (select n, want, seed, 1000000000 + k.i as seq, 'counting_path' as variant, k.i as k from sz join range(32) k(i) on true
-  union all select n, want, seed, 2000000000 + k.i, 'xor_permuted', k.i from sz join range(1, 16) k(i) on true
-  union all select n, want, seed, 3000000000 + k, 'extra_edges', k from (select *, unnest(range(want * 6)) as k from sz) a
-  union all select n, want, seed, 4000000000 + 2 * k, 'segment_reversed', k from (select *, unnest(range(want * 4)) as k from sz) a
-  union all select n, want, seed, 4000000000 + 2 * k + 1, 'perturbed', k from (select *, unnest(range(want * 4)) as k from sz) a),
+ att as materialized (select n, want, seed, 1000000000000000 + k.i as seq, 'counting_path' as variant, k.i as k from sz join range(32) k(i) on true
+  union all select n, want, seed, 2000000000000000 + k.i, 'xor_permuted', k.i from sz join range(1, 16) k(i) on true
+  union all select n, want, seed, 3000000000000000 + k, 'extra_edges', k from (select *, unnest(range(want * 6)) as k from sz) a
+  union all select n, want, seed, 4000000000000000 + 2 * k, 'segment_reversed', k from (select *, unnest(range(want * 4)) as k from sz) a
+  union all select n, want, seed, 4000000000000000 + 2 * k + 1, 'perturbed', k from (select *, unnest(range(want * 4)) as k from sz) a),
  od as (select seq, r.i, case variant when 'counting_path' then case when k % 2 = 1 then (n - 1 - r.i + k // 2) % n else (r.i + k // 2) % n end when 'xor_permuted' then xor(r.i, k) when 'extra_edges' then r.i
    when 'segment_reversed' then case when {_draw('seed', 'k', 'r.i // 4')} * 2 > 1000003 then (r.i // 4) * 4 + least((r.i // 4) * 4 + 4, n) - 1 - r.i else r.i end
    else {_AFTER.format(x='r.i', a='(1 + ' + _draw('seed + 1', 'k', '1') + ' % (n - 2))')} end as x from att join range(16) r(i) on r.i < n),
@@ -165,7 +187,7 @@ _ST = f"""sz as (select 16::bigint as n, count(*) // 40 as want, 21 as seed from
  rk as (select *, row_number() over (order by seq) as rank from fi) select cast(a.n as int) as n, a.variant, a.seq from rk join att a using (seq) where rank <= rk.want""")
 def structured_mix(spark, sf_dir):
     size = fx.table(spark, sf_dir, "part").agg(F.expr("count(*) div 40").alias("want")).select(F.lit(16).alias("n"), "want", F.lit(21).alias("seed"))
-    kept, _ = generate.accept(generate.structured_attempts(size, "want"), ["n"], "seq", "want", max_n=16)
+    kept, _ = generate.accept(generate.structured_attempts(size, "want"), ["n"], "seq", "want")
     return kept.select("n", "variant", "seq")
 
 

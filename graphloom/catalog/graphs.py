@@ -196,7 +196,7 @@ def chromatic_bound(spark, sf_dir):
 
 @query("f12_spectral_gap")
 def spectral_gap(spark, sf_dir):
-    df = spectral.gap_column(dense.spectra(all_small(spark, sf_dir)))
+    df = spectral.gap_column(dense.spectra(all_small(spark, sf_dir), ("lap",)))
     return df.select("graph_id", _r("spectral_gap"))
 
 
@@ -260,7 +260,7 @@ def _pauli_out(df):
 
 @query("f17_f18_pauli_terms", f"with {BOTH}, {_pauli('gb', 8)}")
 def pauli_terms(spark, sf_dir):
-    return _pauli_out(pauli.pauli_columns(all_small(spark, sf_dir), 8))
+    return _pauli_out(pauli.pauli_columns(all_small(spark, sf_dir)))
 
 
 @query("f17_f18_pauli_terms_wide", f"with {GW}, {_pauli('gw', 128)}")
@@ -274,7 +274,7 @@ def pauli_terms_wide(spark, sf_dir):
  k as (select graph_id, count(distinct xor(u, v)) as k from gd group by graph_id)
 select graph_id, round(cast(p as double) / greatest(k, 1), 6) as pauli_match_ratio, cast(p - k as double) as pauli_match_diff from p join k using (graph_id)""")
 def pauli_match(spark, sf_dir):
-    df = pauli.mask_columns(pauli.pauli_columns(dense_graphs(spark, sf_dir), 8))
+    df = pauli.mask_columns(pauli.pauli_columns(dense_graphs(spark, sf_dir)))
     df = pauli.count_columns(df, matchings="n_masks")
     return df.select("graph_id", _r("pauli_match_ratio"), "pauli_match_diff")
 
@@ -305,7 +305,7 @@ def _colours(edges: str) -> str:
 select graph_id, md5(k0.s || '|' || k1.s || '|' || k2.s || '|' || k3.s) as wl_key
 from k0 join k1 using (graph_id) join k2 using (graph_id) join k3 using (graph_id)""")
 def wl_keys(spark, sf_dir):
-    return refinement.refine(all_small(spark, sf_dir), max_n=8).select("graph_id", "wl_key")
+    return refinement.refine(all_small(spark, sf_dir)).select("graph_id", "wl_key")
 
 
 @query("f21_hamming_distance", f"""with {GD} select graph_id, u, v, cast(bit_count(xor(u, v)) as int) as by_bits,
@@ -332,7 +332,7 @@ def hamming_stats(spark, sf_dir):
 
 @query("f23_colour_classes", f"""with {GD}, {_colours('gd')} select graph_id, cast(n as int) as n_colours from k3""")
 def colour_classes(spark, sf_dir):
-    return refinement.refine(dense_graphs(spark, sf_dir), max_n=8).select("graph_id", "n_colours")
+    return refinement.refine(dense_graphs(spark, sf_dir)).select("graph_id", "n_colours")
 
 
 @query("s03_decode_edges", f"with {BOTH} select graph_id, cast(u as int) as u, cast(v as int) as v from gb")

@@ -185,11 +185,12 @@ def balanced_labels(spark, sf_dir):
     return rows
 
 
-@query("a19_composition", f"""with {_D1}, s as (select n_vertices, source_dataset, count(*) filter (where y = 1) as m, count(*) filter (where y = 0) as p from d1 group by 1, 2)
-select n_vertices, cast(sum(m) as bigint) as matching_avail, cast(sum(p) as bigint) as pauli_avail, cast(least(sum(m), sum(p)) as bigint) as take_per_class,
+@query("a19_composition", f"""with {_D1}, {_BAL}, av as (select n_vertices, count(*) filter (where y = 1) as ma, count(*) filter (where y = 0) as pa from d1 group by 1),
+s as (select n_vertices, source_dataset, count(*) filter (where y = 1) as m, count(*) filter (where y = 0) as p from bal group by 1, 2)
+select n_vertices, max(ma) as matching_avail, max(pa) as pauli_avail, least(max(ma), max(pa)) as take_per_class,
   '{{' || string_agg('"' || source_dataset || '":' || m, ',' order by source_dataset) filter (where m > 0) || '}}' as matching_from,
   '{{' || string_agg('"' || source_dataset || '":' || p, ',' order by source_dataset) filter (where p > 0) || '}}' as pauli_from,
-  cast(2 * least(sum(m), sum(p)) as bigint) as total from s group by n_vertices""")
+  2 * least(max(ma), max(pa)) as total from av left join s using (n_vertices) group by n_vertices""")
 def composition(spark, sf_dir):
     return plan.build(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir))[2]
 
@@ -261,8 +262,8 @@ def fold_query(spark, sf_dir):
 def cheap_first(spark, sf_dir):
     d = fx.decisions(spark, sf_dir).select("graph_id", "n_vertices")
     # Sizes are few and each may be large: positions go by size and a cut of the key.
-    cut = F.col("n_vertices") * 100000 + F.least(F.expr("graph_id div 1000"), F.lit(99999))
-    return ordering.rank_in_group(d, [], [F.col("n_vertices"), F.col("graph_id")], cut.cast("bigint"), "position")
+    cut = F.expr("cast(n_vertices as bigint) * 1099511627776L + graph_id div 1000")
+    return ordering.rank_in_group(d, [], [F.col("n_vertices"), F.col("graph_id")], cut, "position")
 
 
 @query("w08_keep_first", f"with {DEC} select f_items, min(graph_id) as graph_id from dec group by f_items")
@@ -432,11 +433,17 @@ def class_histogram(spark, sf_dir):
     return h.withColumn("left_edge", F.round("left_edge", 6)).withColumn("density", F.round("density", 6))
 
 
-@query("a15_value_histogram", f"with {LABELLED} select y, n_vertices, count(*) as n_rows from d0 group by 1, 2")
+@query("a15_value_histogram", f"with {LABELLED} select y, cast(n_vertices as double) as n_vertices, count(*) as n_rows from d0 group by 1, 2")
 def value_histogram(spark, sf_dir):
     return reports.value_histogram(labelled_decisions(spark, sf_dir), "n_vertices", ["y"])
 
 
+@query("a15_value_histogram_binned", f"""with {LABELLED}, e as (select cast(min(f_items) as double) as lo, cast(max(f_items) as double) as hi, count(distinct f_items) as d from d0)
+select y, case when d <= 12 then cast(f_items as double) else lo + least(floor((f_items - lo) / ((hi - lo) / 30)), 29) * ((hi - lo) / 30) end as f_items, count(*) as n_rows from d0 cross join e group by 1, 2""")
+def value_histogram_binned(spark, sf_dir):
+    return reports.value_histogram(labelled_decisions(spark, sf_dir), "f_items", ["y"])
+
+
 @query("a17_cost_growth", f"""with {DEC}, f as (select source_dataset, regr_slope(ln(cx_matching), ln(f_items)) as b, regr_intercept(ln(cx_matching), ln(f_items)) as a
   from dec where cx_matching > 0 group by 1) select source_dataset, n_vertices, round(exp(a + b * ln(n_vertices)), 4) as projected_seconds, round(b, 6) as exponent_b
 from f cross join (values (512), (1024)) t(n_vertices)""")

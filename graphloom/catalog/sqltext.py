@@ -74,4 +74,4 @@ FEATURES = ["f_size", "f_price", "f_items", "f_disc", "f_var", "f_supp"]
 
 
 def mix(key: str, seed: str = "0") -> str:
-    return f"((({key}) % 1000003) * 7919 + ({seed}) * 104729) % 1000003"
+    return f"cast('0x' || substr(md5(concat_ws(':', cast({key} as varchar), cast({seed} as varchar))), 1, 15) as bigint) % 1000003"

@@ -108,7 +108,7 @@ _COUNTED = f"""with recursive {LINES_SQL}, {_CON}, tx as (select l.g6, count(*)
 
 @query("s10_f25_manifest", f"{_COUNTED} select 'features' as stage, outcome as counter, cast(sum(copies) as bigint) as value from oc group by 2")
 def manifest(spark, sf_dir):
-    counted = tables.counters(features.line_outcomes(text_lines(spark, sf_dir), max_n=8), "outcome", "features")
+    counted = tables.counters(features.line_outcomes(text_lines(spark, sf_dir)), "outcome", "features")
     path = fresh_path(spark, "manifest")
     tables.write_manifest(counted, {"source": "line items"}, path)
     return tables.read_manifest(spark, path)
@@ -140,12 +140,12 @@ from pick p join dia using (graph_id) join bip using (graph_id) join dg using (g
 
 @query("f24_feature_table", _TABLE)
 def feature_table(spark, sf_dir):
-    return features.feature_table(text_lines(spark, sf_dir).select("g6"), max_n=8, with_gap=False)
+    return features.feature_table(text_lines(spark, sf_dir).select("g6"), with_gap=False)
 
 
 @query("f24_feature_table_with_gap")
 def feature_table_gap(spark, sf_dir):
-    return features.feature_table(text_lines(spark, sf_dir).select("g6"), max_n=8)
+    return features.feature_table(text_lines(spark, sf_dir).select("g6"))
 
 
 @query("f24_feature_table_wide")
@@ -173,7 +173,7 @@ def incremental_features(spark, sf_dir):
     first, second, everything = _increment(spark, sf_dir)
     path = fresh_path(spark, "table")
     for lines in (first, second, everything):  # the last one finds nothing new
-        incremental.append_features(lines, path, max_n=8, with_gap=False)
+        incremental.append_features(lines, path, with_gap=False)
     return spark.read.parquet(path)
 
 
@@ -183,7 +183,7 @@ def streamed_features(spark, sf_dir):
     source, target, marks = (fresh_path(spark, n) for n in ("arrivals", "table", "marks"))
     for lines in (first, second, everything):
         lines.select(F.col("g6").alias("value")).write.mode("append").text(source)
-        run = incremental.stream_features(spark, source, target, marks, max_n=8, with_gap=False)
+        run = incremental.stream_features(spark, source, target, marks, with_gap=False)
         run.awaitTermination()
     return spark.read.parquet(target)
 

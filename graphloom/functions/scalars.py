@@ -13,19 +13,15 @@ def col(c: Column | str) -> Column:
 
 
 def mix(key: Column | str, seed: Column | int = 0) -> Column:
-    """Portable arithmetic hash of an integer key into [0, HASH_MODULUS).
+    """Portable hash of a key of any type and a seed into [0, HASH_MODULUS): 60 bits of
+    the digest of their text, so that orders under different seeds are independent.
 
     Every sample, split and shuffle orders by this value and then by the key, so
     results depend on keys and seeds only and never on partitioning."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    reduced = F.pmod(col(key).cast("bigint"), F.lit(HASH_MODULUS).cast("bigint"))
-    return F.pmod(reduced * 7919 + seed.cast("bigint") * 104729, F.lit(HASH_MODULUS).cast("bigint"))
-
-
-def mix_text(key: Column | str, seed: Column | int = 0) -> Column:
-    """The same range for text keys."""
-    seed = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(F.xxhash64(col(key), seed.cast("bigint")), F.lit(HASH_MODULUS).cast("bigint"))
+    digest = F.md5(F.concat_ws(":", col(key).cast("string"), seed.cast("string")).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.pmod(bits, F.lit(HASH_MODULUS).cast("bigint"))
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -61,30 +61,27 @@ def _map_batches(df: DataFrame, out: list[T.StructField], kernel, cell_bytes: in
     return df.mapInArrow(run, schema)
 
 
-def _spectra(stack: np.ndarray):
+SPECTRA = ("lap", "adj", "nlap")
+
+
+def _spectra(stack: np.ndarray, kinds: tuple[str, ...]):
     n = stack.shape[1]
     degree = stack.sum(axis=2)
     laplacian = -stack.copy()
     laplacian[:, range(n), range(n)] += degree
     scale = np.where(degree > 0, 1.0 / np.sqrt(np.where(degree > 0, degree, 1.0)), 0.0)
-    normal = np.eye(n) - scale[:, :, None] * stack * scale[:, None, :]
-    return np.linalg.eigvalsh(laplacian), np.linalg.eigvalsh(stack), np.linalg.eigvalsh(normal)
+    matrix = {"lap": lambda: laplacian, "adj": lambda: stack,
+              "nlap": lambda: np.eye(n) - scale[:, :, None] * stack * scale[:, None, :]}
+    return [np.linalg.eigvalsh(matrix[k]()) for k in kinds]
 
 
-def spectra(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def spectra(packed: DataFrame, kinds: tuple[str, ...] = SPECTRA) -> DataFrame:
     """Adds sorted eigenvalues of the Laplacian, the adjacency matrix and the
-    normalised Laplacian (isolated vertices scaled by 0): `lap`, `adj`, `nlap`.
-
-    With `max_n` larger graphs get NULL without being sent to Python."""
-    out = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("lap", "adj", "nlap")]
-    small = packed.where("n > 0" if max_n is None else f"n > 0 and n <= {max_n}")
-    done = _map_batches(small, out, _spectra, 8 * 6)
-    if max_n is None:
-        return done
-    rest = packed.where(F.col("n") > max_n)
-    for f in out:
-        rest = rest.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return done.unionByName(rest)
+    normalised Laplacian (isolated vertices scaled by 0): `lap`, `adj`, `nlap`, or
+    those of them in `kinds`. Graphs without vertices get NULL."""
+    out = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in kinds]
+    done = _map_batches(packed.where("n > 0"), out, lambda stack: _spectra(stack, kinds), 8 * 6)
+    return done.unionByName(packed.where("n is null or n <= 0"), allowMissingColumns=True)
 
 
 def _weight_sums(stack: np.ndarray):

@@ -94,15 +94,15 @@ def path_with_extra_links(order: str, extra: str, seed: str, graph: str) -> Colu
     return F.expr(f"transform(array({_path_positions(order)}), ps0 -> {_words(f'concat(ps0, {chosen})')})[0]")
 
 
-def judged(graphs: DataFrame, max_n: int | None = None, require_connected: bool = True) -> DataFrame:
+def judged(graphs: DataFrame, require_connected: bool = True) -> DataFrame:
     """Adds m, is_connected, wl_key and `outcome` (empty, disconnected or NULL)."""
-    seen = refinement.refine(topology.with_components(graphs, max_n), max_n=max_n)
+    seen = refinement.refine(topology.with_components(graphs))
     disconnected = F.lit(require_connected) & (F.col("is_connected") == 0)
     return seen.withColumn("outcome", F.when(F.col("m") == 0, "empty").when(disconnected, "disconnected")).drop(
         "colours", "n_colours", "n_components", "is_bipartite", "is_tree", "cycle_count")
 
 
-def accept(graphs: DataFrame, cell: list[str], seq: str, want: str, max_n: int | None = None,
+def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,
            require_connected: bool = True, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Keep the first `want` new graphs of each cell in the order of `seq`.
 
@@ -110,8 +110,10 @@ def accept(graphs: DataFrame, cell: list[str], seq: str, want: str, max_n: int |
     cell, first wins) are passed over, and so are those in `existing (n, wl_key)`.
     Returns the kept graphs, and `(cell, outcome, n_graphs)` over the attempts up to
     the one that filled the cell. `want` is a column of `graphs`."""
-    known = written(judged(graphs, max_n, require_connected), "attempts")
+    known = written(judged(graphs, require_connected), "attempts")
     fine = known.where("outcome is null")
+    if existing is not None:  # known graphs count as duplicates and take no place
+        fine = refinement.drop_existing(fine, existing, ["n", "wl_key"])
     first = refinement.first_of_each(fine, [*cell, "wl_key"], seq, [seq])
     width = F.expr(f"{seq} div 1024")
     ranked = rank_in_group(first, cell, [F.col(seq)], width, "__rank")
@@ -120,8 +122,6 @@ def accept(graphs: DataFrame, cell: list[str], seq: str, want: str, max_n: int |
         *cell, seq, "__rank", F.col(want).alias("__want")), "taken")
     last = taken.groupBy(*cell).agg(F.max(F.when(F.col("__rank") == F.col("__want"), F.col(seq))).alias("__last"))
     kept = known.join(taken.select(*cell, seq), [*cell, seq])
-    if existing is not None:
-        kept = refinement.drop_existing(kept, existing, ["n", "wl_key"])
     tried = known.join(last, cell, "left").where(F.col("__last").isNull() | (F.col(seq) <= F.col("__last")))
     marked = tried.join(taken.select(*cell, seq, F.lit(1).alias("__in")), [*cell, seq], "left")
     counted = marked.withColumn("outcome", F.coalesce("outcome", F.when(F.col("__in") == 1, "generated").otherwise("duplicate")))
@@ -145,7 +145,7 @@ def structured_attempts(sizes: DataFrame, want: str, seed: str = "seed") -> Data
 
     def tries(count: str, priority: int, step: int = 1, at: int = 0) -> DataFrame:
         k = spread(sizes.withColumn("k", F.explode(F.expr(f"sequence(0L, cast({count} as bigint) - 1)"))), "n", "k")
-        return k.withColumn("seq", F.expr(f"{priority} * 1000000000L + k * {step} + {at}"))
+        return k.withColumn("seq", F.expr(f"{priority} * 1000000000000000L + k * {step} + {at}"))
 
     variants = [
         (tries("2 * n", 1), "counting_path", path_graph(counting_order("k div 2", "k % 2 = 1"))),

@@ -139,14 +139,9 @@ def spread_large(packed: DataFrame) -> DataFrame:
     return spread(packed, *packed.columns)
 
 
-def by_width(packed: DataFrame, compute, max_n: int | None = None) -> DataFrame:
-    """Apply `compute(frame, wide)` to the graphs of each width.
-
-    With `max_n` no larger than 64 only the narrow form is planned. Otherwise both
-    are, split on n; store mixed sizes partitioned by n so that each side reads
-    its own files only."""
-    if max_n is not None and max_n <= NARROW_MAX:
-        return compute(packed, False)
+def by_width(packed: DataFrame, compute) -> DataFrame:
+    """Apply `compute(frame, wide)` to the graphs of each width, split on their own n;
+    store mixed sizes partitioned by n so that each side reads its own files only."""
     narrow = compute(packed.where(F.col("n") <= NARROW_MAX), False)
     wide = compute(spread_large(packed.where(F.col("n") > NARROW_MAX)), True)
     return narrow.unionByName(wide)

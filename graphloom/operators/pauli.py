@@ -41,15 +41,15 @@ def _sums_narrow(packed: DataFrame) -> DataFrame:
     )
 
 
-def pauli_columns(packed: DataFrame, max_n: int | None = None) -> DataFrame:
-    """pauli_num_terms and mean, maximum and population deviation of the weights."""
-    power = packed.where("n > 0 and (n & (n - 1)) = 0")
-    if max_n is not None and max_n <= NARROW_MAX:
-        sums = _sums_narrow(power)
-    else:
-        sums = _sums_narrow(power.where(F.col("n") <= NARROW_MAX)).unionByName(
-            pauli_sums(spread_large(power.where(F.col("n") > NARROW_MAX)))
-        )
+def pauli_columns(packed: DataFrame) -> DataFrame:
+    """pauli_num_terms and mean, maximum and population deviation of the weights; NULL
+    where n is not a power of two."""
+    is_power = F.coalesce(F.expr("n > 0 and (n & (n - 1)) = 0"), F.lit(False))
+    power = packed.where(is_power)
+    sums = _sums_narrow(power.where(F.col("n") <= NARROW_MAX)).unionByName(
+        pauli_sums(spread_large(power.where(F.col("n") > NARROW_MAX)))
+    )
+    sums = sums.unionByName(packed.where(~is_power), allowMissingColumns=True)
     return (
         sums.withColumn("pauli_num_terms", F.col("terms").cast("double"))
         .withColumn("pauli_wt_mean", F.expr("if(terms = 0, 0D, w_sum / terms)"))

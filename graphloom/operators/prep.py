@@ -21,17 +21,22 @@ def with_labels_only(features: DataFrame, labels: DataFrame, key: str = "graph_i
 
 
 def enrich(table: DataFrame, extra: DataFrame, key: str = "graph_id") -> DataFrame:
-    """Add or replace columns by a left join; `extra` is made unique by key first, so
-    the number of rows cannot change."""
+    """Add or replace columns by a left join; `extra` is made unique by key first (the
+    smallest row by its columns in order), so the number of rows cannot change."""
     new = [c for c in extra.columns if c != key]
-    unique = extra.dropDuplicates([key])
+    unique = _one_per_key(extra, key)
     return table.drop(*[c for c in new if c in table.columns]).join(unique, key, "left")
 
 
+def _one_per_key(extra: DataFrame, key: str) -> DataFrame:
+    new = [c for c in extra.columns if c != key]
+    return extra.groupBy(key).agg(F.min(F.struct(*new)).alias("__row")).select(key, *[F.col("__row")[c].alias(c) for c in new])
+
+
 def fill_missing(table: DataFrame, extra: DataFrame, key: str = "graph_id") -> DataFrame:
     """Keep what a row has and take only missing values from `extra`."""
     new = [c for c in extra.columns if c != key]
-    renamed = extra.dropDuplicates([key]).select(key, *[F.col(c).alias(f"__new_{c}") for c in new])
+    renamed = _one_per_key(extra, key).select(key, *[F.col(c).alias(f"__new_{c}") for c in new])
     joined = table.join(renamed, key, "left")
     out = [F.coalesce(F.col(c), F.col(f"__new_{c}")).alias(c) if c in new else F.col(c) for c in table.columns]
     out += [F.col(f"__new_{c}").alias(c) for c in new if c not in table.columns]

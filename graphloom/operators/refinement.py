@@ -16,8 +16,9 @@ from graphloom.operators.packed import bind, by_width, with_adjacency, with_arou
 ROUNDS = 3
 
 
-def refine(packed: DataFrame, rounds: int = ROUNDS, max_n: int | None = None) -> DataFrame:
-    """Adds `colours` (last round, by vertex), `wl_key` and `n_colours`."""
+def refine(packed: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Adds `colours` (last round, by vertex), `wl_key` and `n_colours`; graphs without
+    vertices have no colours and share a key."""
 
     def compute(df: DataFrame, wide: bool) -> DataFrame:
         df = with_around(with_adjacency(df, wide), wide)
@@ -34,7 +35,7 @@ def refine(packed: DataFrame, rounds: int = ROUNDS, max_n: int | None = None) ->
             .drop("adj", "around", *[f"c{r}" for r in range(rounds)])
         )
 
-    return by_width(packed.where("n > 0"), compute, max_n)
+    return by_width(packed, compute)
 
 
 def first_of_each(df: DataFrame, keys: list[str], order: Column | str, keep: list[str]) -> DataFrame:

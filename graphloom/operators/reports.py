@@ -57,10 +57,12 @@ def modal_fractions(df: DataFrame, keys: list[str], features: list[str]) -> Data
     )
 
 
-def composition(df: DataFrame, group: str, source: str, y: str = "y") -> DataFrame:
-    """Per group: available rows by class, rows taken by a balanced pick, and the
-    sources of each class as a map."""
-    by_source = df.groupBy(group, source).agg(
+def composition(df: DataFrame, taken: DataFrame, group: str, source: str, y: str = "y") -> DataFrame:
+    """Per group: available rows by class, rows taken by a balanced pick, and from
+    which sources the rows taken of each class come, as a map (NULL if none)."""
+    available = df.groupBy(group).agg(
+        F.count_if(F.col(y) == 1).alias("matching_avail"), F.count_if(F.col(y) == 0).alias("pauli_avail"))
+    by_source = taken.groupBy(group, source).agg(
         F.count_if(F.col(y) == 1).alias("m"), F.count_if(F.col(y) == 0).alias("p")
     )
 
@@ -69,11 +71,9 @@ def composition(df: DataFrame, group: str, source: str, y: str = "y") -> DataFra
         pairs = F.collect_list(F.when(F.col(c) > 0, F.struct(F.col(source), F.col(c))))
         return F.to_json(F.map_from_entries(F.array_sort(pairs)))
 
-    return by_source.groupBy(group).agg(
-        F.sum("m").alias("matching_avail"), F.sum("p").alias("pauli_avail"),
-        F.least(F.sum("m"), F.sum("p")).alias("take_per_class"),
-        mapping("m").alias("matching_from"), mapping("p").alias("pauli_from"),
-    ).withColumn("total", F.col("take_per_class") * 2)
+    sources = by_source.groupBy(group).agg(mapping("m").alias("matching_from"), mapping("p").alias("pauli_from"))
+    return (available.withColumn("take_per_class", F.least("matching_avail", "pauli_avail")).join(sources, group, "left")
+            .withColumn("total", F.col("take_per_class") * 2))
 
 
 def medians(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -121,11 +121,16 @@ def histogram(df: DataFrame, value: Column, bins: int, keys: list[str], shared:
     )
 
 
-def value_histogram(df: DataFrame, value: str, keys: list[str], few: int = 12) -> DataFrame:
-    """Counts per value where a column has at most `few` distinct values; no rows else."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n_rows"))
-    distinct = counts.select(value).distinct().agg(F.count("*").alias("__d"))
-    return counts.crossJoin(F.broadcast(distinct)).where(F.col("__d") <= few).drop("__d")  # one row
+def value_histogram(df: DataFrame, value: str, keys: list[str], few: int = 12, bins: int = 30) -> DataFrame:
+    """Counts per value where a column has at most `few` distinct values; else in `bins`
+    equal bins between the smallest and the largest value, named by their left edges."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    whole = counts.groupBy(value).agg(F.lit(1).alias("__one")).agg(
+        F.count("*").alias("__d"), F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"))
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    place = F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1))
+    edge = F.when(F.col("__d") <= few, F.col(value).cast("double")).otherwise(F.col("__lo") + place * width)
+    return counts.crossJoin(F.broadcast(whole)).groupBy(*keys, edge.alias(value)).agg(F.sum("__n").alias("n_rows"))  # one row
 
 
 def cost_growth(df: DataFrame, keys: list[str], n: str, seconds: str, targets: list[int]) -> DataFrame:

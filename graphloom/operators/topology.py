@@ -152,7 +152,7 @@ def small_matching_column(df: DataFrame) -> DataFrame:
     )
 
 
-def topology(packed: DataFrame, max_n: int | None = None, with_clique: bool = False) -> DataFrame:
+def topology(packed: DataFrame, with_clique: bool = False) -> DataFrame:
     """All shape columns except the matching, for graphs of any size."""
 
     def compute(df: DataFrame, wide: bool) -> DataFrame:
@@ -165,52 +165,45 @@ def topology(packed: DataFrame, max_n: int | None = None, with_clique: bool = Fa
             df = clique_column(df, wide)
         return df.drop("adj", "around", "deg", "tri2")
 
-    return by_width(packed, compute, max_n)
+    return by_width(packed, compute)
 
 
-def with_degrees(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def with_degrees(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: degree_columns(size_columns(_degrees(with_adjacency(df, wide), wide))).drop("adj", "deg"),
-        max_n,
     )
 
 
-def with_triangles(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def with_triangles(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: triangle_columns(
             _degrees(with_around(with_adjacency(df, wide), wide), wide), wide
         ).drop("adj", "around", "deg", "tri2"),
-        max_n,
     )
 
 
-def with_components(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def with_components(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: cycle_columns(
             component_columns(_degrees(with_adjacency(df, wide), wide), wide)
         ).drop("adj", "deg"),
-        max_n,
     )
 
 
-def with_diameter(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def with_diameter(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: distance_columns(with_around(with_adjacency(df, wide), wide), wide).drop("adj", "around"),
-        max_n,
     )
 
 
-def with_clique(packed: DataFrame, max_n: int = SMALL_MATCHING) -> DataFrame:
-    """Clique number up to `max_n` vertices, NULL beyond."""
-    small = by_width(
-        packed.where(F.col("n") <= max_n), lambda df, wide: clique_column(with_adjacency(df, wide), wide).drop("adj"), max_n
-    )
-    rest = packed.where(F.col("n") > max_n).withColumn("clique_number", F.lit(None).cast("int"))
-    return small.unionByName(rest)
+def with_clique(packed: DataFrame) -> DataFrame:
+    """Clique number of graphs of all sizes; exponential in the worst case, so ask for
+    it only where it is wanted."""
+    return by_width(packed, lambda df, wide: clique_column(with_adjacency(df, wide), wide).drop("adj"))
 
 
 # ---------------------------------------------------------------------------

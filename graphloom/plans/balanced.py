@@ -35,7 +35,7 @@ def build(features: DataFrame, labels: DataFrame, seed: int = 0, size: str = "n_
     feature_rows = picked.select(*columns).unionByName(prep.unlabelled(features, labels, key).select(*columns))
     label_columns = [c for c in labels.columns if c != SOURCE]
     label_rows = picked.select(SOURCE, *label_columns)
-    return feature_rows, label_rows, reports.composition(joined, size, SOURCE)
+    return feature_rows, label_rows, reports.composition(joined, picked, size, SOURCE)
 
 
 def write(features: DataFrame, labels: DataFrame, composition: DataFrame, path: str) -> None:

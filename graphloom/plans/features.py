@@ -13,22 +13,19 @@ from graphloom.sources.tables import FEATURE_SCHEMA
 ROUNDED = ["edge_density", "avg_degree", "degree_variance", "avg_clustering", "spectral_gap"]
 
 
-def max_matching(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def max_matching(packed: DataFrame) -> DataFrame:
     """Exact expressions up to 16 vertices, matrix rank beyond."""
     limit = topology.SMALL_MATCHING
-    if max_n is not None and max_n <= limit:
-        return topology.small_matching_column(with_adjacency(packed)).drop("adj")
     small = topology.small_matching_column(with_adjacency(packed.where(F.col("n") <= limit))).drop("adj")
     return small.unionByName(dense.large_matching(packed.where(F.col("n") > limit)))
 
 
-def shaped(packed: DataFrame, max_n: int | None = None) -> DataFrame:
+def shaped(packed: DataFrame) -> DataFrame:
     """Shape columns and the matching of connected graphs."""
-    return max_matching(topology.topology(packed, max_n).where("is_connected = 1"), max_n)
+    return max_matching(topology.topology(packed).where("is_connected = 1"))
 
 
-def feature_table(lines: DataFrame, existing: DataFrame | None = None, max_n: int | None = None,
-                  with_gap: bool = True) -> DataFrame:
+def feature_table(lines: DataFrame, existing: DataFrame | None = None, with_gap: bool = True) -> DataFrame:
     """The 15-column feature table of the connected graphs in `lines (g6)`.
 
     Copies of a text are one graph. Graphs already in `existing` are dropped before
@@ -37,14 +34,14 @@ def feature_table(lines: DataFrame, existing: DataFrame | None = None, max_n: in
     graphs = g6.distinct_packed(lines).drop("copies")
     if existing is not None:
         graphs = prep.unlabelled(graphs, existing)
-    out = shaped(graphs, max_n).withColumn("n_vertices", F.col("n"))
+    out = shaped(graphs).withColumn("n_vertices", F.col("n"))
     if with_gap:
-        out = spectral.gap_column(dense.spectra(out))
+        out = spectral.gap_column(dense.spectra(out, ("lap",))).drop("lap")
     columns = [f.name for f in FEATURE_SCHEMA if with_gap or f.name != "spectral_gap"]
     return out.select(*[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in columns])
 
 
-def line_outcomes(lines: DataFrame, existing: DataFrame | None = None, max_n: int | None = None) -> DataFrame:
+def line_outcomes(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """What becomes of the lines: `(outcome, copies)`, a row per outcome and text.
     Of equal connected texts one is `parsed` and the others are `duplicate`."""
     bad = g6.checked(lines).where("fault is not null").groupBy("fault").agg(F.count("*").alias("copies"))
@@ -55,7 +52,7 @@ def line_outcomes(lines: DataFrame, existing: DataFrame | None = None, max_n: in
         good = good.join(seen, "graph_id", "left")
     else:
         good = good.withColumn("__seen", F.lit(None).cast("int"))
-    good = topology.with_components(good, max_n)
+    good = topology.with_components(good)
     parts = F.expr(
         """case when is_connected = 0 then array(named_struct('outcome', 'disconnected', 'copies', copies))
                 when __seen = 1 then array(named_struct('outcome', 'duplicate', 'copies', copies))
@@ -68,6 +65,6 @@ def gated_enrichment(packed: DataFrame, spectral_max: int, pauli_max: int) -> Da
     """Spectral and Pauli columns within their size gates, NULL beyond: one row per
     graph. The gates come before the costly steps."""
     spectra = spectral.summaries(dense.spectra(packed.where(F.col("n") <= spectral_max))).drop("n", "tri")
-    terms = pauli.pauli_columns(packed.where(F.col("n") <= pauli_max), pauli_max).drop("n", "tri")
+    terms = pauli.pauli_columns(packed.where(F.col("n") <= pauli_max)).drop("n", "tri")
     keys = packed.select("graph_id", "n")
     return keys.join(spectra, "graph_id", "left").join(terms, "graph_id", "left")

@@ -77,6 +77,8 @@ def boosting(depth: int, rounds: int) -> Learner:
 
 def network(hidden: list[int]) -> Learner:
     def run(train: DataFrame, rows: DataFrame) -> DataFrame:
+        if "weight" in train.columns:
+            raise ValueError("the network takes no weights: resample the rows instead")
         width = train.schema["features"].metadata["ml_attr"]["num_attrs"]
         model = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=100, seed=0, labelCol="y",
                                                featuresCol="features").fit(train)
@@ -137,7 +139,8 @@ def naive_bayes(train: DataFrame, rows: DataFrame, features: list[str], smoothin
         *[F.var_pop(F.col(f).cast("double")) for f in features], F.lit(0.0)).alias("__top"))
 
     def side(k: int):
-        return per.where(F.col("y") == k).select(*[F.col(c).alias(f"{c}_{k}") for c in per.columns if c != "y"])
+        # One row always: of NULLs if the class has no rows.
+        return per.where(F.col("y") == k).agg(*[F.max(c).alias(f"{c}_{k}") for c in per.columns if c != "y"])
 
     model = side(0).crossJoin(side(1)).crossJoin(whole)  # one row each
 
@@ -150,7 +153,8 @@ def naive_bayes(train: DataFrame, rows: DataFrame, features: list[str], smoothin
         return total
 
     joined = rows.crossJoin(F.broadcast(model))
-    score = sigmoid(likelihood(1) - likelihood(0))
+    # With one class in the training rows every row is of that class.
+    score = F.when(F.col("n_0").isNull(), F.lit(1.0)).when(F.col("n_1").isNull(), F.lit(0.0)).otherwise(sigmoid(likelihood(1) - likelihood(0)))
     return joined.withColumn("score", score).withColumn("pred", (F.col("score") > 0.5).cast("int")).select(
         *rows.columns, "score", "pred")
 
@@ -158,7 +162,8 @@ def naive_bayes(train: DataFrame, rows: DataFrame, features: list[str], smoothin
 def stump(train: DataFrame, features: list[str]) -> DataFrame:
     """The exact one-split tree by Gini impurity: `(feature, threshold, left_class,
     right_class, impurity)`, one row. Splits lie half way between neighbouring values;
-    equal impurity goes to the first feature and the lower split."""
+equal impurity goes to the first feature and the lower split. Where nothing can be
+    split, feature and threshold are NULL and both sides are the larger class."""
     order = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
     long = reports.long_features(train, ["y"], features).groupBy("feature", "value").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
@@ -171,8 +176,10 @@ def stump(train: DataFrame, features: list[str]) -> DataFrame:
                                     (rp > rn).cast("int").alias("right_class"))).alias("b")).select("b.*")
     best = written(best, "stump")
     above = long.join(best.select("feature", F.col("value").alias("__v")), "feature").where("value > __v").agg(F.min("value").alias("__next"))
-    return best.crossJoin(above).select(  # one row by one row
-        "feature", ((F.col("value") + F.col("__next")) / 2).alias("threshold"), "left_class", "right_class", "impurity")
+    major = train.agg((F.count_if(F.col("y") == 1) > F.count_if(F.col("y") == 0)).cast("int").alias("__major"))
+    return best.crossJoin(above).crossJoin(major).select(  # one row each
+        "feature", ((F.col("value") + F.col("__next")) / 2).alias("threshold"), F.coalesce("left_class", "__major").alias("left_class"),
+        F.coalesce("right_class", "__major").alias("right_class"), "impurity")
 
 
 def apply_stump(rows: DataFrame, fitted: DataFrame, features: list[str]) -> DataFrame:

@@ -28,12 +28,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: what the cluster names in
-    spark.checkpoint.dir. Only where that is unset (tests, one machine) is a
-    temporary folder made and remembered for the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    spark.checkpoint.dir, or the context's own checkpoint folder. Only on one machine
+    (a master of local threads) is a temporary folder made and remembered for the
+    session; elsewhere a missing folder is an error."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     made = getattr(context, "_graphloom_scratch", None)
     if made is None:
         made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -21,16 +21,16 @@ def existing_table(spark: SparkSession, path: str, schema: T.StructType = FEATUR
     return spark.createDataFrame([], schema)
 
 
-def append_features(lines: DataFrame, path: str, max_n: int | None = None, with_gap: bool = True) -> None:
+def append_features(lines: DataFrame, path: str, with_gap: bool = True) -> None:
     """Featurise the graphs of `lines (g6)` that the table at `path` lacks, and append.
     The same lines given again add nothing."""
     spark = lines.sparkSession
     columns = [f for f in FEATURE_SCHEMA if with_gap or f.name != "spectral_gap"]
     done = existing_table(spark, path, T.StructType(columns)).select("graph_id")
-    feature_table(lines, done, max_n, with_gap).write.mode("append").parquet(path)
+    feature_table(lines, done, with_gap).write.mode("append").parquet(path)
 
 
-def stream_features(spark: SparkSession, source: str, target: str, checkpoint: str, max_n: int | None = None,
+def stream_features(spark: SparkSession, source: str, target: str, checkpoint: str,
                     files_per_batch: int = 1000, with_gap: bool = True):
     """A query that featurises text files as they arrive in `source`.
 
@@ -40,7 +40,7 @@ def stream_features(spark: SparkSession, source: str, target: str, checkpoint: s
     clean = lines.select(F.trim("value").alias("g6")).where("g6 <> ''")
 
     def batch(df: DataFrame, _: int) -> None:
-        append_features(df, target, max_n, with_gap)
+        append_features(df, target, with_gap)
 
     return clean.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -27,8 +27,8 @@ from graphloom.session import written
 
 DEPTH = 4
 EDGE = 0xFF  # stands before and after each text; no byte of UTF-8
-BLOCK_BYTES = 24 << 20
-PART_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
+PART_BYTES = 1 << 20
 BUCKETS = 256
 
 
@@ -116,6 +116,23 @@ def _block_grams(payload: bytes, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[heads], np.add.reduceat(n, heads)
 
 
+def _known_grams(payload: bytes, depth: int) -> np.ndarray:
+    """The first result of _block_grams."""
+    known = np.zeros(0, np.int64)
+    for part, _, _ in _texts(payload):
+        known = np.union1d(known, np.unique(_grams(part, depth)[0]))
+    return known
+
+
+def _known_words(payload: bytes) -> list[bytes]:
+    """The first result of _block_words."""
+    known: set[bytes] = set()
+    for part, _, _ in _texts(payload):
+        for text in part:
+            known.update(text.split())
+    return sorted(known)
+
+
 def _block_words(payload: bytes) -> tuple[list[bytes], list[int]]:
     """Distinct words of a block, sorted, and their counts in texts to learn."""
     seen, other = Counter(), set()
@@ -302,16 +319,18 @@ def score(docs: DataFrame, learn, depth: int = DEPTH) -> DataFrame:
         tables = []
         for payload in left["_payload"]:
             payload = payload.as_buffer()
-            known, names = _block_grams(payload, depth)[0], _block_words(payload)[0]
-            known_word = dict(zip(names, (counts > 0).tolist(), strict=True))
-            word_score = dict(zip(names, base(counts).tolist(), strict=True))
-            end = float(base([ends])[0])
+            known = _known_grams(payload, depth)
+            count_of = dict(zip(_known_words(payload), counts.tolist(), strict=True))
             for part, learn_flags, ids in _texts(payload):
                 g, lengths = _grams(part, depth)
                 each = np.add.reduceat(lp[np.searchsorted(known, g)], np.cumsum(lengths) - lengths) / np.log(10)
                 said = [t.split() for t in part]
-                tables.append(pa.table([ids, pa.array(learn_flags), pa.array([len(s) + 1 for s in said]), pa.array([sum(map(known_word.__getitem__, s)) + (ends > 0) for s in said]),
-                                        pa.array(np.full(len(part), total)), pa.array([sum(map(word_score.__getitem__, s)) + end for s in said]), pa.array(each)],
+                n_tokens = np.array([len(t) + 1 for t in said])
+                # The end of each text stands after its words.
+                c = np.array([c for t in said for c in (*map(count_of.__getitem__, t), ends)], float)
+                heads = np.cumsum(n_tokens) - n_tokens
+                tables.append(pa.table([ids, pa.array(learn_flags), pa.array(n_tokens), pa.array(np.add.reduceat((c > 0).astype(np.int64), heads)),
+                                        pa.array(np.full(len(part), total)), pa.array(np.add.reduceat(base(c), heads)), pa.array(each)],
                                        schema=to_arrow_schema(out)))
         return pa.concat_tables(tables) if tables else pa.Table.from_pylist([], to_arrow_schema(out))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.catalog import generated, graphs, learning, prep, scoring, text  # noqa: F401
+from graphloom.catalog import generated, graphs, learning, prep, scoring, text, textkeys  # noqa: F401
 from graphloom.catalog.registry import ORACLES, QUERIES
 
 

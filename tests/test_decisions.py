@@ -156,10 +156,62 @@ def test_accept_fills_cells_and_passes_over_known_graphs(spark):
     assert kept.count() == 12
     counts = {r["outcome"]: r["n_graphs"] for r in counters.collect()}
     assert counts["generated"] == 12 and counts["duplicate"] > 0
-    again, _ = generate.accept(attempts, ["n"], "seq", "want", existing=kept.select("n", "wl_key"))
-    assert again.count() == 0
+    # Known graphs are duplicates; the places go to the next new ones.
+    again, more = generate.accept(attempts, ["n"], "seq", "want", existing=kept.select("n", "wl_key"))
+    assert again.join(kept.select("wl_key"), "wl_key").count() == 0
+    assert {r["outcome"]: r["n_graphs"] for r in more.collect()}["generated"] == again.count()
 
 
 def test_text_search_pandas_schema(spark):
     empty = neighbors._search(pd.DataFrame({"g": [], "qid": [], "x": []}), pd.DataFrame({"id": [], "y": [], "x": []}), 3, False)
     assert list(empty.columns) == ["g", "qid", "nid", "dist", "ny"] and empty.empty
+
+
+def test_seeds_are_independent(spark):
+    """Test sets of any two of five seeds share about a fifth; no order is a rotation
+    of another; text keys do as well as whole numbers."""
+    for key in ("id", "cast(id as string)"):
+        df = spark.range(5000).selectExpr(f"{key} as id", "0 as y")
+        orders, tests = [], []
+        for seed in range(5):
+            tests.append({r.id for r in sampling.split_two(df, "id", ["y"], seed).where("split = 'test'").collect()})
+            orders.append([r.id for r in df.orderBy(mix("id", seed), "id").limit(50).collect()])
+        for a in range(5):
+            for b in range(a):
+                assert 0.15 < len(tests[a] & tests[b]) / len(tests[a]) < 0.25
+                assert len(set(orders[a]) & set(orders[b])) < 10
+
+
+def test_accept_with_known_graphs(spark):
+    """Known graphs are duplicates and take no place of new ones."""
+    from graphloom.operators import generate
+
+    paths = spark.createDataFrame([(k, 4, t) for k, t in enumerate([[1 << 59 | 1 << 57 | 1 << 54], [7 << 57], [1 << 59 | 7 << 56], [63 << 54]])], "seq long, n int, tri array<long>")
+    attempts = paths.selectExpr("*", "2L as want")
+    known = generate.judged(attempts.where("seq = 0")).select("n", "wl_key")
+    kept, counters = generate.accept(attempts, ["n"], "seq", "want", require_connected=False, existing=known)
+    seqs = sorted(r.seq for r in kept.collect())
+    counts = {r.outcome: r.n_graphs for r in counters.collect()}
+    assert len(seqs) == 2 and 0 not in seqs
+    assert counts["generated"] == 2 and counts["duplicate"] >= 1
+
+
+def test_one_class_and_nothing_to_split(spark):
+    from graphloom.plans import learners
+
+    rows = spark.range(20).selectExpr("id", "cast(1 as int) as y", "1.0D as a")
+    assert [r.pred for r in learners.naive_bayes(rows, rows, ["a"]).collect()] == [1] * 20
+    fitted = learners.stump(rows, ["a"])
+    assert [r.pred for r in learners.apply_stump(rows, fitted, ["a"]).collect()] == [1] * 20
+
+
+def test_shared_folder_needs_a_name_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from graphloom import session
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        session.shared_folder(cluster)
+    cluster.sparkContext.getCheckpointDir = lambda: "hdfs://x/y"
+    assert session.shared_folder(cluster) == "hdfs://x/y"

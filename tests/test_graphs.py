@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import graph6
-from graphloom.operators import dense, pauli, refinement, spectral, topology
+from graphloom.operators import dense, generate, pauli, refinement, spectral, topology
 from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency, with_around
 from graphloom.plans import features
 from graphloom.sources import g6
@@ -192,3 +192,22 @@ def test_partitioning_does_not_matter(spark):
     a = sorted(map(tuple, features.feature_table(lines.repartition(1)).collect()), key=str)
     b = sorted(map(tuple, features.feature_table(lines.repartition(13)).collect()), key=str)
     assert a == b
+
+
+def test_no_size_promises_and_mixed_sizes(spark):
+    """One table of many sizes keeps every graph, with the right matching."""
+    import inspect
+
+    for module in (topology, refinement, dense, pauli, features):
+        for _, fn in inspect.getmembers(module, inspect.isfunction):
+            assert "max_n" not in inspect.signature(fn).parameters, fn
+    sizes = [8, 16, 24, 40, 64, 80, 128]
+    paths = spark.createDataFrame([(n,) for n in sizes], "n int").withColumn("tri", generate.path_graph("cast(sequence(0, n - 1) as array<int>)"))
+    lines = paths.select(graph6.to_text().alias("g6"))
+    got = {r.n_vertices: r for r in features.feature_table(lines, with_gap=False).collect()}
+    assert sorted(got) == sizes
+    for n, r in got.items():
+        assert (r.max_matching_size, r.diameter, r.is_tree, r.is_bipartite) == (n // 2, n - 1, 1, 1)
+    none = spark.createDataFrame([(0, []), (3, [0])], "n int, tri array<long>")
+    assert {r.n for r in refinement.refine(none).collect()} == {0, 3} == {r.n for r in dense.spectra(none, ("lap",)).collect()}
+    assert {r.n: r.pauli_num_terms for r in pauli.pauli_columns(none).collect()} == {0: None, 3: None}

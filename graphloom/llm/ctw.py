@@ -17,6 +17,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_payload"])
 
         for batch in batches:
-            lengths = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+            lengths = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
             first = 0
             while first < batch.num_rows:
                 done = lengths[first - 1] if first else 0

@@ -133,11 +133,13 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     spark = docs.sparkSession
     known = written(item_grams(items.select("item_id", "text"), n), "bench-items")
     seeds = known.select("item_id", F.explode("_grams").alias("_gram"))
-    on = [r[0] for r in seeds.select(F.col("_gram").bitwiseAND(bits - 1).alias("s")).distinct().collect()]  # at most `bits` values
     reach = int(known.agg(F.max("_words")).first()[0] or 0) + n
-    table = np.zeros(bits // 8, np.uint8)
-    slots = np.array(on, np.int64)
-    np.bitwise_or.at(table, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    slots = seeds.select(F.col("_gram").bitwiseAND(bits - 1).alias("_slot"))
+    words = slots.groupBy(F.shiftright("_slot", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_set"))
+    table = np.zeros(bits // 64, np.int64)
+    for at, value in words.collect():  # at most bits / 64 rows, however large the benchmark
+        table[at] = value
+    table = table.view(np.uint8)
     bitmap = spark.sparkContext.broadcast(table)
     found = _regions(docs.select("doc_id", F.xxhash64(text_of()).alias("_th"), F.lower(text_of()).alias("text")), bitmap, n, reach)
     regions = written(found.withColumn("_rid", F.monotonically_increasing_id()), "bench-regions")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytewords as bw
-from graphloom.llm.common import text_function, text_of
+from graphloom.llm.common import smallest, text_function, text_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("other", *KINDS)
@@ -280,11 +280,12 @@ def _marked() -> list[tuple[str, list[tuple[str, int, int]]]]:
 
 
 def labelled_lines(docs: DataFrame, most: int = 1_600, seed: int = 11, text: str = "text") -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """A small labelled table: lines of the documents (two thirds with digits or '@',
-    one third without; at most `most`, those with the smallest hashes) marked by the
-    base patterns and by SECRET, and the fixed marked lines."""
+    """A small labelled table: different lines (two thirds with digits or '@', one third
+    without; at most `most`) of 12 * most documents, those with the smallest hashes,
+    marked by the base patterns and by SECRET, and the fixed marked lines."""
+    whole = F.xxhash64(*[F.col(c) for c in ("doc_id", text) if c in docs.columns], F.lit(seed))
     line = F.explode(F.split(text_of(text), "\n")).alias("_line")
-    some = docs.select(line).where("length(_line) between 1 and 2000").withColumn("_odd", F.col("_line").rlike("[0-9@]"))
+    some = smallest(docs, whole, 12 * most).select(line).where("length(_line) between 1 and 2000").distinct().withColumn("_odd", F.col("_line").rlike("[0-9@]"))
     key = F.xxhash64("_line", F.lit(seed))
     rows = [r[0] for odd, n in ((True, most * 2 // 3), (False, most // 3))
             for r in some.where(F.col("_odd") == odd).orderBy(key, "_line").limit(n).select("_line").collect()]

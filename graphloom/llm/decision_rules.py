@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytewords as bw
-from graphloom.llm.common import text_function, text_of
+from graphloom.llm.common import smallest, text_function, text_of
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 RATIOS = ("word_len", "symbol_share", "upper_share", "digit_share", "mark_share", "lone_share", "dup_line_share",
@@ -176,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, seed: int = 7)
     doc_id). Rows without quality or doc_id aren't labels. Copies of one doc_id count
     as often as they occur, `sample` rows at most in all."""
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    marks = (labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("_good"))
-             .orderBy(key, "_good").limit(sample))
+    marks = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("_good"))
+    marks = smallest(marks, key, sample, "_good")
     some = docs.select("doc_id", F.col("text")).join(F.broadcast(marks), "doc_id")
     names = [*(c.split()[0] for c in COUNTS.split(", ")), *RATIOS]
     rows = (with_statistics(some).select("doc_id", "_good", *[F.col(f"_stats.{c}").cast("double").alias(c) for c in names])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import bytewords as bw
-from graphloom.llm.common import remainder, text_function, text_of
+from graphloom.llm.common import remainder, smallest, text_function, text_of
 from graphloom.llm.decision_rules import measure
 
 BINS = 16
@@ -94,14 +94,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, held: int = 2,
     good, total = marks.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("*")).first()
     prior = min(0.98, max(0.02, ((good or 0) + 1) / (total + 2)))
     texts = docs.select("doc_id", "text").where(open_rows)
-    trusted = marks.where("quality = 1").select("doc_id").distinct().orderBy(key, "doc_id").limit(sample)
+    trusted = smallest(marks.where("quality = 1").select("doc_id").distinct(), key, sample, "doc_id")
     stats = text_function("x array<double>", lambda t: {"x": list(statistics(t))})
 
     def rows(df, order):
         got = df.withColumn("_x", stats(text_of())).select("doc_id", F.col("_x.x").alias("_x")).orderBy(order, "doc_id", "_x").limit(sample)
         return np.array([r[0] for r in got.select("_x").collect()], float)
 
-    some = docs.select("doc_id").where(open_rows).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed + 1)), "doc_id").limit(sample).distinct()
+    some = smallest(docs.select("doc_id").where(open_rows), F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed + 1)), sample, "doc_id").distinct()
     chosen = texts.join(F.broadcast(some), "doc_id", "left_semi")
     p = rows(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), key)
     u = rows(chosen, F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed + 1)))

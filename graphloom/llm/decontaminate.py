@@ -1,16 +1,17 @@
-"""Benchmark decontamination: rare word n-grams seed pairs, local alignment scores them.
+"""Benchmark decontamination: word n-grams seed pairs, local alignment scores them.
 
 One pass over the documents finds places of the benchmark's n-grams and keeps the words
-round them. Each item's rarer half of n-grams (by how often they occur in the corpus)
-pairs passages with items; Smith-Waterman over words scores each pair, so edited and
-paraphrased copies count by what is left of the item.
+round them. Every n-gram of an item that occurs there pairs the passage with the item;
+Smith-Waterman over words scores each pair, so edited and paraphrased copies count by
+what is left of the item. Pairs with too few words in common for the score asked are
+left before they are aligned.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,16 +111,44 @@ def align(passage: list[str], item: list[str], match: float = 2, mismatch: float
     return best[0] / (match * len(item)), best[1], best[2]
 
 
-SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+def reach_of(passage: list[str], item: list[str], least: float) -> tuple[int, int]:
+    """Words [low, high) of the passage outside which no alignment reaches `least`; low
+    is high if none can. An alignment of m matches over p words of the passage scores
+    3m - p at most, and m is no more than the item's words: it needs least * len(item)
+    matches within (3 - 2 * least) * len(item) words."""
+    number: dict[str, int] = {}
+    mine = np.array([number.setdefault(w, len(number)) for w in item], np.int64)
+    x = np.array([number.get(w, -1) for w in passage], np.int64)
+    need, wide = least * len(item) - 1e-9, int((3 - 2 * least) * len(item) + 1e-9)
+    at = np.nonzero(x >= 0)[0]
+    if not len(item) or len(at) < need or wide < 1:
+        return 0, 0
+    # A word counts in the windows that hold fewer of its kind before it than the item has.
+    at = at[np.argsort(x[at], kind="stable")]
+    back = np.arange(len(at)) - np.bincount(mine)[x[at]]
+    same = (back >= 0) & (x[at[back]] == x[at])
+    first = np.maximum(np.where(same, at[back] + 1, 0), np.maximum(at - wide + 1, 0))
+    change = np.bincount(first, minlength=len(x) + 1) - np.bincount(at + 1, minlength=len(x) + 1)
+    starts = np.nonzero(np.cumsum(change)[:-1] >= need)[0]
+    return (int(starts[0]), min(len(x), int(starts[-1]) + wide)) if len(starts) else (0, 0)
 
 
-def _aligned(passages: pa.Array, items: pa.Array) -> pa.Array:
-    got = [align(a.split(), b.split()) for a, b in zip(passages.to_pylist(), items.to_pylist(), strict=True)]
-    return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()),
-                                       pa.array([g[2] for g in got], pa.int64())], names=["score", "start", "end"])
+SCORED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+
 
+def _aligned(least: float):
+    def run(passages: pa.Array, items: pa.Array) -> pa.Array:
+        got = []
+        for a, b in zip(passages.to_pylist(), items.to_pylist(), strict=True):
+            passage, item = a.split(), b.split()
+            low, high = reach_of(passage, item, least)
+            score, start, end = align(passage[low:high], item)
+            got.append((score, start + low, end + low))
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()),
+                                           pa.array([g[2] for g in got], pa.int64())], names=["score", "start", "end"])
 
-_aligned.__annotations__ = {"passages": pa.Array, "items": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"passages": pa.Array, "items": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, SCORED).asNondeterministic()
 
 
 def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bits: int = 1 << 26) -> DataFrame:
@@ -127,9 +156,9 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     item's own score: doc_id, _th (hash of the text), item_id, score, first_word, end_word.
 
     Null texts are empty; items of fewer than n words, and texts of fewer, match
-    nothing. Repeated rows of one document give one row per item. Seeds are the rarer
-    half of each item's n-grams, ties by hash, however frequent they are. What goes to
-    all tasks is a bitmap of `bits` bits, whatever the size of the benchmark."""
+    nothing. Repeated rows of one document give one row per item. Seeds are all n-grams
+    of an item, however frequent they are, so a copy needs one run of n words unchanged.
+    What goes to all tasks is a bitmap of `bits` bits, whatever the size of the benchmark."""
     spark = docs.sparkSession
     known = written(item_grams(items.select("item_id", "text"), n), "bench-items")
     seeds = known.select("item_id", F.explode("_grams").alias("_gram"))
@@ -144,15 +173,10 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     found = _regions(docs.select("doc_id", F.xxhash64(text_of()).alias("_th"), F.lower(text_of()).alias("text")), bitmap, n, reach)
     regions = written(found.withColumn("_rid", F.monotonically_increasing_id()), "bench-regions")
     hits = regions.select("_rid", F.explode("_grams").alias("_gram"))
-    often = written(hits.groupBy("_gram").agg(F.count("*").alias("_often")).join(seeds.select("_gram").distinct(), "_gram", "left_semi"), "bench-counts")
-    ranked = Window.partitionBy("item_id").orderBy(F.coalesce("_often", F.lit(0)), "_gram")
-    rare = (seeds.join(often, "_gram", "left").withColumn("_rank", F.row_number().over(ranked))
-            .withColumn("_all", F.count("*").over(Window.partitionBy("item_id"))).where("2 * _rank <= _all + 1").where("_often is not null"))
-    chosen = written(rare.select("item_id", "_gram"), "bench-seeds")
-    pairs = hits.join(chosen, "_gram").select("_rid", "item_id").distinct()
+    pairs = hits.join(seeds, "_gram").select("_rid", "item_id").distinct()
     texts = pairs.join(regions.select("_rid", "doc_id", "_th", "_start", "_text"), "_rid").join(known.select("item_id", "_item"), "item_id")
     texts = texts.repartition("_rid", "item_id")  # one hot item lies in many tasks
-    got = texts.withColumn("_a", F.arrow_udf(_aligned, SCORED).asNondeterministic()("_text", "_item")).where(F.col("_a.score") >= least)
+    got = texts.withColumn("_a", _aligned(least)("_text", "_item")).where(F.col("_a.score") >= least)
     best = F.max(F.struct(F.col("_a.score").alias("score"), (-(F.col("_a.start") + F.col("_start"))).alias("s"), (F.col("_a.end") + F.col("_start")).alias("e")))
     out = got.groupBy("doc_id", "_th", "item_id").agg(best.alias("_b"))
     return out.select("doc_id", "_th", "item_id", F.col("_b.score").alias("score"), (-F.col("_b.s")).alias("first_word"), F.col("_b.e").alias("end_word"))

@@ -2,7 +2,8 @@
 
 A notice of k allowed edits is cut into k + 1 pieces, so at least one of them stands
 unchanged in any text within k edits (pigeonhole). The pieces are looked up with one
-automaton; round each hit the `regex` library verifies the notice with its error bound.
+automaton; round each hit every run of whole words of a fitting length is compared with
+the notice by edit distance.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -66,15 +66,46 @@ def _tools(notices: tuple[Notice, ...]):
     for piece, uses in seeds.items():
         finder.add_word(piece, (len(piece), uses))
     finder.make_automaton()
-    checks = [regex.compile(rf"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") for n in notices]
-    return finder, checks
+    return finder, [[f" {word} " for word in n.fixed.split()] for n in notices]
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Edits from a to b, or most + 1 if they are more; cells off the diagonal by more
+    than `most` stay out."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    a, b = a[low:], b[low:]
+    row = [j if j <= most else most + 1 for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        first, last = max(1, i - most), min(len(b), i + most)
+        new = [most + 1] * (len(b) + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(first, last + 1):
+            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+        if min(new[first - 1 : last + 1]) > most:
+            return most + 1
+        row = new
+    return min(row[-1], most + 1)
+
+
+def _spaces(text: str, low: int, high: int) -> list[int]:
+    """Places of the spaces in text[low:high]."""
+    out, at = [], text.find(" ", max(0, low), high)
+    while at >= 0:
+        out.append(at)
+        at = text.find(" ", at + 1, high)
+    return out
 
 
 def scan(words: list[bytes], notices: tuple[Notice, ...] = NOTICES) -> list[tuple[str, int, int, int, float, bool]]:
     """(label, first word, words, edits, similarity, exact place of a base phrase)."""
-    finder, checks = _tools(notices)
+    finder, fixed = _tools(notices)
     text = " " + b" ".join(words).decode("latin-1") + " "
-    found, windows = [], {}
+    found, places = [], set()
     for end, (length, uses) in finder.iter(text):
         at = end - length + 1
         for i, offset in uses:
@@ -85,24 +116,25 @@ def scan(words: list[bytes], notices: tuple[Notice, ...] = NOTICES) -> list[tupl
                 if offset == 0:
                     found.append((i, start, start + size, 0))
             elif notice.edits:
-                windows.setdefault(i, []).append((max(0, start - notice.edits), start + size + notice.edits + 1))
-    exact = {(i, a) for i, a, _, _ in found}
-    for i, spans in windows.items():
-        merged: list[list[int]] = []
-        for a, b in sorted(spans):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            for m in checks[i].finditer(text, a, min(b, len(text))):
-                start, stop = m.span()
-                inside = text[start:stop].split()
-                whole = (start == 0 or text[start - 1] == " " or text[start] == " ") and (stop >= len(text) or text[stop] == " " or text[stop - 1] == " ")
-                if whole and (i, start) not in exact and set(notices[i].fixed.split()) <= set(inside) and sum(m.fuzzy_counts):
-                    start += len(text[start:stop]) - len(text[start:stop].lstrip())
-                    if not any(j == i and p < stop and start < q for j, p, q, _ in found):
-                        found.append((i, start, stop, sum(m.fuzzy_counts)))
+                places.add((i, start))
+    close, seen = [], set()
+    for i, start in places:
+        phrase, edits = notices[i].phrase, notices[i].edits
+        size = len(phrase)
+        if any(text.find(word, max(0, start - edits - 1), start + size + edits + 1) < 0 for word in fixed[i]):
+            continue
+        ends = _spaces(text, start + size - edits, start + size + edits + 1)
+        for a in _spaces(text, start - edits - 1, start + edits):
+            for b in ends:
+                if abs(b - a - 1 - size) <= edits and (i, a, b) not in seen:
+                    seen.add((i, a, b))
+                    if all(text.find(word, a, b + 1) >= 0 for word in fixed[i]):
+                        far = distance(phrase, text[a + 1 : b], edits)
+                        if 0 < far <= edits:
+                            close.append((far, a + 1, b, i))
+    for far, a, b, i in sorted(close):  # the nearest first, then the first
+        if not any(j == i and p < b and a < q for j, p, q, _ in found):
+            found.append((i, a, b, far))
     if not found:
         return []
     starts, place = [], 1
@@ -130,7 +162,7 @@ def find_notices(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES, into: s
     """docs with one more column: a struct of n_words and all matches in text order.
 
     Null texts are empty: no words, no matches. Each exact place counts, a bounded-error
-    match only where no match of its notice overlaps it. Other columns pass through."""
+    match only where no exact or nearer match of its notice overlaps it. Other columns pass through."""
 
     def run(t: Texts):
         data, counts, matches = t.buf.tobytes(), [], []

@@ -38,7 +38,7 @@ def _r(c: str):
 @query("f01_size_and_density", f"""with {BOTH}
 select graph_id, cast(8 as int) as n, count(*) as m, round(2.0::double * count(*) / 56, 6) as edge_density from gb group by graph_id""")
 def size_and_density(spark, sf_dir):
-    df = topology.with_degrees(all_small(spark, sf_dir), 8)
+    df = topology.with_degrees(all_small(spark, sf_dir))
     return df.select("graph_id", "n", "m", _r("edge_density"))
 
 
@@ -49,7 +49,7 @@ _DEG_SQL = """select graph_id, cast(max(d) as int) as max_degree, cast(min(d) as
 
 @query("f02_degrees", f"with {BOTH}, {degrees('gb', 8)} {_DEG_SQL}")
 def degree_query(spark, sf_dir):
-    df = topology.with_degrees(all_small(spark, sf_dir), 8)
+    df = topology.with_degrees(all_small(spark, sf_dir))
     return df.select("graph_id", "max_degree", "min_degree", _r("avg_degree"), _r("degree_variance"), "is_regular")
 
 
@@ -80,7 +80,7 @@ def degree_query_grouped(spark, sf_dir):
    union select c.graph_id, c.s, e.t, 1 - c.par from cover c join dir e on e.graph_id = c.graph_id and e.s = c.t)
 select graph_id, cast(max(case when s = t and par = 1 then 1 else 0 end) = 0 as int) as is_bipartite from cover group by graph_id""")
 def bipartite(spark, sf_dir):
-    return topology.with_components(all_small(spark, sf_dir), 8).select("graph_id", "is_bipartite")
+    return topology.with_components(all_small(spark, sf_dir)).select("graph_id", "is_bipartite")
 
 
 @query("f04_connected", f"""with recursive {BOTH}, {directed('gb')},
@@ -90,13 +90,13 @@ def bipartite(spark, sf_dir):
 select graph_id, cast(count(distinct label) as int) as n_components, cast(count(distinct label) = 1 as int) as is_connected
 from low group by graph_id""")
 def connected(spark, sf_dir):
-    return topology.with_components(all_small(spark, sf_dir), 8).select("graph_id", "n_components", "is_connected")
+    return topology.with_components(all_small(spark, sf_dir)).select("graph_id", "n_components", "is_connected")
 
 
 @query("f05_diameter", f"""with recursive {BOTH}, {directed('gb')}, {distances('gb', 8)}
 select graph_id, cast(case when count(*) = 64 then max(d) end as int) as diameter from dist group by graph_id""")
 def diameter(spark, sf_dir):
-    return topology.with_diameter(all_small(spark, sf_dir), 8).select("graph_id", "diameter")
+    return topology.with_diameter(all_small(spark, sf_dir)).select("graph_id", "diameter")
 
 
 _REACH_WIDE = f"""{directed('gw')}, reach as (select graph_id, 0 as t from (select distinct graph_id from gw) g
@@ -121,7 +121,7 @@ def diameter_wide(spark, sf_dir):
  size as (select graph_id, count(*) as m from gb group by graph_id)
 select graph_id, cast(m = 7 and c as int) as is_tree, case when c then m - 7 end as cycle_count from size join con using (graph_id)""")
 def trees_and_cycles(spark, sf_dir):
-    return topology.with_components(all_small(spark, sf_dir), 8).select("graph_id", "is_tree", "cycle_count")
+    return topology.with_components(all_small(spark, sf_dir)).select("graph_id", "is_tree", "cycle_count")
 
 
 def _triangles(edges: str) -> str:
@@ -133,7 +133,7 @@ def _triangles(edges: str) -> str:
 @query("f07_triangles", f"""with {BOTH}, {_triangles('gb')}
 select g.graph_id, count(t.x) as triangle_count from (select distinct graph_id from gb) g left join tri t using (graph_id) group by g.graph_id""")
 def triangles(spark, sf_dir):
-    return topology.with_triangles(all_small(spark, sf_dir), 8).select("graph_id", "triangle_count")
+    return topology.with_triangles(all_small(spark, sf_dir)).select("graph_id", "triangle_count")
 
 
 @query("f07_triangles_wide", f"""with {GW}, {_triangles('gw')}
@@ -157,7 +157,7 @@ from deg d left join corner a on a.graph_id = d.graph_id and a.vertex = d.vertex
 
 @query("f08_clustering", f"with {BOTH}, {_clustering('gb', 8)}")
 def clustering(spark, sf_dir):
-    return topology.with_triangles(all_small(spark, sf_dir), 8).select("graph_id", _r("avg_clustering"))
+    return topology.with_triangles(all_small(spark, sf_dir)).select("graph_id", _r("avg_clustering"))
 
 
 @query("f09_clique_number", f"""with recursive {GD}, clique as (
@@ -167,7 +167,7 @@ def clustering(spark, sf_dir):
    where (select count(*) from gd f where f.graph_id = c.graph_id and f.v = e.v and (c.mask & (1 << cast(f.u as int))) <> 0) = c.k)
 select graph_id, cast(max(k) as int) as clique_number from clique group by graph_id""")
 def clique_number(spark, sf_dir):
-    return topology.with_clique(dense_graphs(spark, sf_dir), 16).select("graph_id", "clique_number")
+    return topology.with_clique(dense_graphs(spark, sf_dir)).select("graph_id", "clique_number")
 
 
 def _matching(edges: str) -> str:
@@ -191,7 +191,7 @@ def matching_by_rank(spark, sf_dir):
 @query("f11_chromatic_index_bound", f"""with {BOTH}, {degrees('gb', 8)}
 select graph_id, cast(max(d) as int) as chromatic_index_lower_bound from deg group by graph_id""")
 def chromatic_bound(spark, sf_dir):
-    return topology.with_degrees(all_small(spark, sf_dir), 8).select("graph_id", "chromatic_index_lower_bound")
+    return topology.with_degrees(all_small(spark, sf_dir)).select("graph_id", "chromatic_index_lower_bound")
 
 
 @query("f12_spectral_gap")

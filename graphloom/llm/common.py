@@ -42,6 +42,16 @@ def remainder(key: str, m: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(m))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def smallest(df: DataFrame, key: Column, k: int, *ties: str) -> DataFrame:
     """The k rows with the smallest 64-bit hashes `key`. Rows are counted first and only
     those under a bound that leaves a few more than k are ordered, so that what is sent

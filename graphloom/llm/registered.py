@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import budget_mix, chat_windows, crf_pii, ctw, decision_rules, decontaminate, license_scan, line_windows, probminhash, pu_quality
+from graphloom.llm import budget_mix, chat_windows, crf_pii, ctw, decision_rules, decontaminate, divergence, importance, license_scan, line_windows
+from graphloom.llm import probminhash, pu_quality, url_vocabulary
 from graphloom.llm.common import query, remainder, table
 
 
@@ -101,3 +102,67 @@ def op10(spark, sf_dir):
 def op1(spark, sf_dir):
     got = ctw.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
     return got.select("doc_id", (~F.col("_learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _op11_sql():
+    """The same rules and terms, each looked up by a pattern of its own."""
+    u = url_vocabulary
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rules = sorted(u.RULES, key=lambda r: (-len(r.host + r.path), -len(r.host)))
+    fits = [f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')" for r in rules]
+    rule = "case " + " ".join(f"when {f} then '{r.host + r.path}'" for f, r in zip(fits, rules, strict=True)) + " end"
+    verdict = "case " + " ".join(f"when {f} then '{r.verdict}'" for f, r in zip(fits, rules, strict=True)) + " end"
+    beside = r"[^0-9a-z\x{80}-\x{10FFFF}]"
+
+    def distinct(terms):
+        return " + ".join(f"cast(regexp_matches(low, '(^|{beside}){t}($|{beside})', 's') as bigint)" for t in terms)
+
+    return rf"""with a as (select page_id, translate(coalesce(url, ''), '{upper}', '{lower}') as low,
+  translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), '{upper}', '{lower}') as host,
+  regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from pages),
+b as (select page_id, host, path, {rule} as rule, {verdict} as said, {distinct(u.STRICT)} as strict_terms, {distinct(u.SOFT)} as soft_terms from a)
+select page_id, host, path, rule, coalesce(said, case when strict_terms * {u.LIMIT} + soft_terms * {u.SOFT_WEIGHT} >= {u.LIMIT} then 'block' else 'allow' end) as verdict,
+  strict_terms, soft_terms from b"""
+
+
+@query("op11_url_vocabulary", _op11_sql())
+def op11(spark, sf_dir):
+    judged = url_vocabulary.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", *[F.col(f"_url.{c}").alias(c) for c in ("host", "path", "rule", "verdict", "strict_terms", "soft_terms")])
+
+
+OP12_SQL = r"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= 3),
+v as (select lang, count(*) as v from kept group by lang),
+g as (select distinct lang, source from d),
+c as (select w.lang, w.source, w.term, count(*) as n from w join kept k on w.lang = k.lang and w.term = k.term group by all),
+f as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n from g join kept k on g.lang = k.lang
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+t as (select lang, source, sum(n) as total from f group by lang, source),
+p as (select f.lang, f.source, f.term, f.n, 1 + (1000000000::hugeint * (f.n + 1)) // (t.total + v.v) as p
+  from f join t on f.lang = t.lang and f.source = t.source join v on v.lang = f.lang),
+l as (select lang, term, sum(n) as n from f group by lang, term),
+lt as (select lang, sum(n) as total from l group by lang),
+q as (select l.lang, l.term, 1 + (1000000000::hugeint * (l.n + 1)) // (lt.total + v.v) as q from l join lt on l.lang = lt.lang join v on v.lang = l.lang),
+pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a
+  join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all select a.lang, a.source, b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from v)),
+terms as (select p.lang, p.source, p.term as item, ((p.p - q.q) * (p.p - q.q)) // q.q as value from p join q on p.lang = q.lang and p.term = q.term where p.n > 0 and p.p > q.q),
+both_parts as (select 'pair' as part, * from pairs union all select 'term', * from terms),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as k from both_parts)
+select lang, source, part, item, cast(value as bigint) as value, cast(k as integer) as rank from ranked where part = 'pair' or k <= 200"""
+
+
+@query("op12_source_divergence", OP12_SQL)
+def op12(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_importance_sample")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weighed = importance.weigh(docs, table(spark, sf_dir, "benchmark"))
+    drawn = importance.draw(weighed.select("doc_id", "_importance"))
+    return drawn.select("doc_id", *[F.col(f"_importance.{c}").alias(c) for c in ("n_features", "weight", "score", "rank")])

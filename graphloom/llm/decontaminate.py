@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import bytewords as bw
-from graphloom.llm.common import schema_of, text_function, text_of
+from graphloom.llm.common import free, schema_of, text_function, text_of
 from graphloom.session import written
 
 #: Texts come in lower case; ASCII marks part words.
@@ -155,13 +155,15 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     """One row per (doc_id, text, item_id) whose best passage reaches `least` of the
     item's own score: doc_id, _th (hash of the text), item_id, score, first_word, end_word.
 
-    Null texts are empty; items of fewer than n words, and texts of fewer, match
+    Null texts are empty; items without an item_id are searched too, as one item_id
+    (null). Other columns are left out; rows of no docs or no items give none. Items of fewer than n words, and texts of fewer, match
     nothing. Repeated rows of one document give one row per item. Seeds are all n-grams
     of an item, however frequent they are, so a copy needs one run of n words unchanged.
     What goes to all tasks is a bitmap of `bits` bits, whatever the size of the benchmark."""
     spark = docs.sparkSession
-    known = written(item_grams(items.select("item_id", "text"), n), "bench-items")
-    seeds = known.select("item_id", F.explode("_grams").alias("_gram"))
+    known = item_grams(items.select("item_id", "text"), n).withColumn("_item_row", F.monotonically_increasing_id())
+    known = written(known, "bench-items")
+    seeds = known.select("_item_row", F.explode("_grams").alias("_gram"))
     reach = int(known.agg(F.max("_words")).first()[0] or 0) + n
     slots = seeds.select(F.col("_gram").bitwiseAND(bits - 1).alias("_slot"))
     words = slots.groupBy(F.shiftright("_slot", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_set"))
@@ -173,9 +175,9 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
     found = _regions(docs.select("doc_id", F.xxhash64(text_of()).alias("_th"), F.lower(text_of()).alias("text")), bitmap, n, reach)
     regions = written(found.withColumn("_rid", F.monotonically_increasing_id()), "bench-regions")
     hits = regions.select("_rid", F.explode("_grams").alias("_gram"))
-    pairs = hits.join(seeds, "_gram").select("_rid", "item_id").distinct()
-    texts = pairs.join(regions.select("_rid", "doc_id", "_th", "_start", "_text"), "_rid").join(known.select("item_id", "_item"), "item_id")
-    texts = texts.repartition("_rid", "item_id")  # one hot item lies in many tasks
+    pairs = hits.join(seeds, "_gram").select("_rid", "_item_row").distinct()
+    texts = pairs.join(regions.select("_rid", "doc_id", "_th", "_start", "_text"), "_rid").join(known.select("_item_row", "item_id", "_item"), "_item_row")
+    texts = texts.repartition("_rid", "_item_row")  # one hot item lies in many tasks
     got = texts.withColumn("_a", _aligned(least)("_text", "_item")).where(F.col("_a.score") >= least)
     best = F.max(F.struct(F.col("_a.score").alias("score"), (-(F.col("_a.start") + F.col("_start"))).alias("s"), (F.col("_a.end") + F.col("_start")).alias("e")))
     out = got.groupBy("doc_id", "_th", "item_id").agg(best.alias("_b"))
@@ -183,7 +185,10 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, bit
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs less those that hold an item."""
-    gone = leaks(docs, items, **options).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).distinct()
-    rest = docs.withColumn("_th", F.xxhash64(text_of()))
-    return rest.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_anti").drop("_th")
+    """docs less those that hold an item. Null and empty texts hold none and stay, as do
+    all rows where there are no items; repeated rows stay or go together; all columns
+    pass through."""
+    th, ident, text_hash = free(docs, "_th", "_id", "_h")
+    gone = leaks(docs.select("doc_id", "text"), items, **options).select(F.col("doc_id").alias(ident), F.col("_th").alias(text_hash)).distinct()
+    rest = docs.withColumn(th, F.xxhash64(text_of()))
+    return rest.join(gone, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(th) == F.col(text_hash)), "left_anti").select(*docs.columns)

@@ -58,3 +58,14 @@ def test_bound_loses_nothing():
             assert (part[0], part[1] + low, part[2] + low) == whole
             kept += 1
     assert kept > 300
+
+
+def test_items_without_a_number_and_clashing_names(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(None, words), (None, "a b"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + words, 5, "x", "y"), (2, "other words here", 6, "x", "y"), (None, words, 7, "x", "y"), (4, None, 8, "x", "y")],
+                                 "doc_id long, text string, _th long, _id string, _h string")
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(0, None), (1, None)]
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted((r.doc_id, r._th, r._id, r._h) for r in left.collect()) == [(2, 6, "x", "y"), (4, 8, "x", "y")]
+    assert decontaminate.without_leaks(docs, bench.where("false")).count() == 4

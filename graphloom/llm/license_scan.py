@@ -2,17 +2,18 @@
 
 A notice of k allowed edits is cut into k + 1 pieces, so at least one of them stands
 unchanged in any text within k edits (pigeonhole). The pieces are looked up with one
-automaton; round each hit every run of whole words of a fitting length is compared with
-the notice by edit distance.
+automaton; round each hit the bounded-error matching of the regex library is put to
+every run of whole words of a fitting length, and says how many edits it takes.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -66,30 +67,9 @@ def _tools(notices: tuple[Notice, ...]):
     for piece, uses in seeds.items():
         finder.add_word(piece, (len(piece), uses))
     finder.make_automaton()
-    return finder, [[f" {word} " for word in n.fixed.split()] for n in notices]
-
-
-def distance(a: str, b: str, most: int) -> int:
-    """Edits from a to b, or most + 1 if they are more; cells off the diagonal by more
-    than `most` stay out."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    a, b = a[low:], b[low:]
-    row = [j if j <= most else most + 1 for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        first, last = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(first, last + 1):
-            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
-        if min(new[first - 1 : last + 1]) > most:
-            return most + 1
-        row = new
-    return min(row[-1], most + 1)
+    # One pattern per number of edits: the first that matches a run whole says how far it is.
+    fuzzy = [[regex.compile(rf"(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={k}}}") for k in range(1, n.edits + 1)] for n in notices]
+    return finder, [[f" {word} " for word in n.fixed.split()] for n in notices], fuzzy
 
 
 def _spaces(text: str, low: int, high: int) -> list[int]:
@@ -103,7 +83,7 @@ def _spaces(text: str, low: int, high: int) -> list[int]:
 
 def scan(words: list[bytes], notices: tuple[Notice, ...] = NOTICES) -> list[tuple[str, int, int, int, float, bool]]:
     """(label, first word, words, edits, similarity, exact place of a base phrase)."""
-    finder, fixed = _tools(notices)
+    finder, fixed, fuzzy = _tools(notices)
     text = " " + b" ".join(words).decode("latin-1") + " "
     found, places = [], set()
     for end, (length, uses) in finder.iter(text):
@@ -129,11 +109,17 @@ def scan(words: list[bytes], notices: tuple[Notice, ...] = NOTICES) -> list[tupl
                 if abs(b - a - 1 - size) <= edits and (i, a, b) not in seen:
                     seen.add((i, a, b))
                     if all(text.find(word, a, b + 1) >= 0 for word in fixed[i]):
-                        far = distance(phrase, text[a + 1 : b], edits)
-                        if 0 < far <= edits:
+                        if fuzzy[i][-1].fullmatch(text, a + 1, b):
+                            far = next(k for k, pattern in enumerate(fuzzy[i], 1) if pattern.fullmatch(text, a + 1, b))
                             close.append((far, a + 1, b, i))
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b, _ in found:
+        taken.setdefault(i, []).append((a, b))
     for far, a, b, i in sorted(close):  # the nearest first, then the first
-        if not any(j == i and p < b and a < q for j, p, q, _ in found):
+        spans = taken.setdefault(i, [])
+        at = bisect_left(spans, (b,))  # spans of a notice start and end in the same order
+        if not (at and spans[at - 1][1] > a):
+            insort(spans, (a, b))
             found.append((i, a, b, far))
     if not found:
         return []

@@ -3,7 +3,7 @@
 import random
 
 from graphloom.llm import license_scan
-from graphloom.llm.license_scan import NOTICES, distance, scan
+from graphloom.llm.license_scan import NOTICES, Notice, scan
 
 
 def found(text):
@@ -54,10 +54,25 @@ def test_as_all_spans():
             assert sorted((m[3], m[1], m[1] + m[2]) for m in got if m[0] == notice.label) == sorted(taken)
 
 
-def test_distance():
+def test_edits_are_the_edit_distance():
     rng = random.Random(2)
-    for _ in range(2000):
-        a, b = ("".join(rng.choice("ab ") for _ in range(rng.randint(0, 9))) for _ in range(2))
-        most = rng.randint(0, 5)
-        assert distance(a, b, most) == min(full(a, b), most + 1)
+    for _ in range(300):
+        phrase, said = ("".join(rng.choice("ab ") for _ in range(rng.randint(1, 9))) for _ in range(2))
+        edits = rng.randint(1, 4)
+        fuzzy = license_scan._tools((Notice("x", phrase, edits),))[2][0]
+        far = full(phrase, said)
+        assert [bool(p.fullmatch(said)) for p in fuzzy] == [far <= k for k in range(1, edits + 1)]
     assert license_scan.scan([]) == []
+
+
+def test_repeated_close_notices_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        words = b"undr the mit licence ".split() * n
+        start = time.perf_counter()
+        assert len(scan(words)) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 14 * max(0.05, seconds(4_000))

@@ -28,6 +28,7 @@ RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DATE = re.compile(r"(?<![0-9])[12][0-9]{3}-[01]?[0-9]-[0-3]?[0-9](?![0-9])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -54,11 +55,17 @@ def emails(text: str):
             at += 1
 
 
+def _byte(digits: str) -> bool:
+    """A number of 0 to 255, with any number of leading zeros."""
+    left = digits.lstrip("0")
+    return len(left) <= 3 and int(left or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost, non-overlapping matches of each kind in the order of KINDS, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -338,10 +345,12 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
-        return 7 <= len(digits) <= 15
+        return 7 <= len(digits) <= 15 and not DATE.search(text)
     if kind == "ip":
-        return text.count(".") == 3 and all(p and int(p) <= 255 for p in (NOT_DIGIT.sub("", p) for p in text.split(":")[0].split(".")) if len(p) <= 3)
-    return kind != "email" or "@" in text
+        parts = text.split(":")[0].split(".")
+        return len(parts) == 4 and all((p := NOT_DIGIT.sub("", part)) and _byte(p) for part in parts)
+    name, at, host = text.partition("@")
+    return kind != "email" or bool(at and name and host.strip("."))
 
 
 def find(docs: DataFrame, field: Field, into: str = "_pii", text: str = "text") -> DataFrame:

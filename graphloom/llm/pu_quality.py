@@ -2,7 +2,9 @@
 
 Trusted positives and unlabelled texts only: a linear model over binned text statistics
 minimises the non-negative unbiased risk pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) with
-the logistic loss, where pi is an estimated share of good documents.
+the logistic loss, where pi, the share of good documents, is estimated from the same two
+samples: where the scores of one half's model separate best, unlabelled texts are at least
+as many as pi times the positives.
 """
 
 from __future__ import annotations
@@ -83,16 +85,45 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     return Model(edges, weights, bias, prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.05) -> float:
+    """Share of positives among the unlabelled rows, from no other labels.
+
+    A model of one half (positives against unlabelled) scores the other half. Above any
+    score the unlabelled share is pi times the positive one plus what others add, so the
+    ratio is never below pi; it is read where ratio plus sampling error is least. Kept
+    within 0.02 and 0.98; 0.5 where a half has no rows."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        model = train(positive[k::2], unlabelled[k::2], 0.5, rounds=150)
+        p, u = (np.sort(model.score(x[1 - k :: 2])) for x in (positive, unlabelled))
+        cuts = np.unique(np.concatenate([p, u]))
+        above_p = 1 - np.searchsorted(p, cuts) / len(p)
+        above_u = 1 - np.searchsorted(u, cuts) / len(u)
+        error = np.sqrt(np.log(4 / doubt) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        some = above_p > 0
+        best = np.argmin((above_u[some] + error) / above_p[some])
+        found.append(above_u[some][best] / above_p[some][best])
+    return float(min(0.98, max(0.02, np.mean(found))))
+
+
+def risk(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The non-negative unbiased risk that `train` goes down."""
+    def loss(x, sign):
+        return np.logaddexp(0, -sign * (_binned(x, model.edges) @ model.weights + model.bias)).mean()
+
+    return float(model.prior * loss(positive, 1) + max(0.0, loss(unlabelled, -1) - model.prior * loss(positive, -1)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, held: int = 2, parts: int = 4, seed: int = 5) -> Model:
     """Positives: labelled good documents; unlabelled: any documents; both outside the
     held-out part (crc32 of doc_id's text modulo `parts` is `held`), at most `sample`
-    rows each, those with the smallest hashes. The prior is the share of good ones
-    among the labels there, kept within 0.02 and 0.98."""
+    rows each, those with the smallest hashes. Labels of bad documents are not used; the
+    prior comes from the two samples (`estimate_prior`)."""
     open_rows = remainder("doc_id", parts) != held
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
     marks = labels.where("doc_id is not null and quality is not null").where(open_rows)
-    good, total = marks.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count("*")).first()
-    prior = min(0.98, max(0.02, ((good or 0) + 1) / (total + 2)))
     texts = docs.select("doc_id", "text").where(open_rows)
     trusted = smallest(marks.where("quality = 1").select("doc_id").distinct(), key, sample, "doc_id")
     stats = text_function("x array<double>", lambda t: {"x": list(statistics(t))})
@@ -106,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, held: int = 2,
     p = rows(texts.join(F.broadcast(trusted), "doc_id", "left_semi"), key)
     u = rows(chosen, F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed + 1)))
     width = len(statistics(bw.Texts(np.zeros(0, np.uint8), np.zeros(2, np.int64)))[0])
-    return train(p.reshape(-1, width), u.reshape(-1, width), prior)
+    p, u = p.reshape(-1, width), u.reshape(-1, width)
+    return train(p, u, estimate_prior(p, u))
 
 
 def score(docs: DataFrame, model: Model, into: str = "score", text: str = "text") -> DataFrame:

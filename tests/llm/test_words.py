@@ -231,3 +231,31 @@ def test_context_tree_is_the_mixture_of_all_prunings():
             at = ([context & ((1 << 8 * level) - 1) for level in range(depth + 1)], byte >> (7 - k) & 1)
             want += weighted(0, 0, node, at) - weighted(0, 0, node, None)
         assert lp[i] == pytest.approx(want, rel=1e-6)
+
+
+def test_numbers_of_any_length_are_no_address():
+    assert crf_pii.base_spans("x 1." + "0" * 5000 + "1.2.3 y") == [("ip", 2, 5009)]
+    assert crf_pii.base_spans("x 1." + "9" * 5000 + ".2.3 y") == []
+    assert not crf_pii.plausible("ip", "10.20.30.99999") and not crf_pii.plausible("ip", "1." + "9" * 5000 + ".2.3")
+    assert crf_pii.plausible("ip", "10.20.30.40:80") and not crf_pii.plausible("ip", "10.20.30")
+    assert not crf_pii.plausible("email", "@") and crf_pii.plausible("email", "a@b.c")
+    assert not crf_pii.plausible("phone", "2023-05-17") and crf_pii.plausible("phone", "+49 30 123456")
+
+
+def test_prior_and_risk_from_positives_and_unlabelled():
+    rng = np.random.default_rng(8)
+    for share in (0.2, 0.5, 0.85):
+        good, bad = rng.normal(1.5, 1, (6000, 2)), rng.normal(-1.5, 1, (6000, 2))
+        mixed = np.vstack([good[: int(4000 * share)], bad[: int(4000 * (1 - share))]])[rng.permutation(int(4000 * share) + int(4000 * (1 - share)))]
+        prior = pu_quality.estimate_prior(good[-1500:], mixed)
+        assert abs(prior - share) < 0.08
+    p, u = good[-50:], mixed[:80]
+    model = pu_quality.train(p, u, 0.4, rounds=60)
+
+    def f(x):
+        return sum(w for j, row in enumerate(model.edges) for w, edge in zip(model.weights.reshape(model.edges.shape)[j], row, strict=True) if x[j] > edge) + model.bias
+
+    positive, negative = (lambda x: math.log1p(math.exp(-f(x)))), (lambda x: math.log1p(math.exp(f(x))))
+    r_pp, r_pn, r_un = np.mean([positive(x) for x in p]), np.mean([negative(x) for x in p]), np.mean([negative(x) for x in u])
+    assert abs(pu_quality.risk(model, p, u) - (0.4 * r_pp + max(0, r_un - 0.4 * r_pn))) < 1e-6
+    assert pu_quality.risk(model, p, u) < pu_quality.risk(model._replace(weights=model.weights * 0), p, u)

@@ -23,26 +23,54 @@ def points(spark, count, hot=0.4, seed=3):
     return spark.createDataFrame(rows, "id long, grp string, y int, a double, b double, c double")
 
 
-def brute_neighbours(pdf, k):
+def brute_neighbours(pdf, k, p=2):
     out = set()
     for _, g in pdf.groupby("grp"):
         x = g[["a", "b", "c"]].to_numpy()
-        d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+        gap = np.abs(x[:, None] - x[None])
+        d = np.round(gap.max(axis=2) if p == float("inf") else (gap**p).sum(axis=2) ** (1 / p), 9)
         ids = g["id"].to_numpy()
         for i in range(len(g)):
             order = sorted((d[i, j], ids[j]) for j in range(len(g)) if j != i)[:k]
-            out |= {(int(ids[i]), r + 1, int(n), float(dd)) for r, (dd, n) in enumerate(order)}
+            out |= {(int(ids[i]), r + 1, int(n), round(float(dd), 8)) for r, (dd, n) in enumerate(order)}
     return out
 
 
-@pytest.mark.parametrize("block", [4096, 120, 16])
-def test_neighbours_are_exact(spark, block):
-    """One block, a few blocks, and pruned cells with more blocks than are searched whole."""
+@pytest.mark.parametrize("leaf, p", [(4096, 2), (40, 2), (16, 1), (16, float("inf")), (40, 3)])
+def test_neighbours_are_exact(spark, leaf, p):
+    """Trees of no level and of several, and distances of several orders."""
     df = points(spark, 400)
     found = neighbors.nearest(df, df, ["grp"], "id", neighbors.feature_point(["a", "b", "c"]), 4, skip_self=True,
-                              block=block, pivots=6)
-    got = {(r["qid"], r["rank"], r["nid"], r["dist"]) for r in found.collect()}
-    assert got == brute_neighbours(df.toPandas(), 4)
+                              p=p, fan=5, leaf=leaf, block=64)
+    got = {(r["qid"], r["rank"], r["nid"], round(r["dist"], 8)) for r in found.collect()}
+    assert got == brute_neighbours(df.toPandas(), 4, p)
+
+
+def test_equal_points_are_cut_into_blocks(spark):
+    df = spark.range(300).select(F.col("id"), F.lit("g").alias("grp"), F.lit(0).alias("y"), F.array(F.when(F.col("id") < 290, 1.0).otherwise(F.col("id").cast("double"))).alias("x"))
+    found = neighbors.nearest(df, df, ["grp"], "id", F.col("x"), 2, skip_self=True, fan=4, leaf=16, block=32).collect()
+    assert len(found) == 600 and {r["dist"] for r in found if r["qid"] < 290} == {0.0}
+    assert sorted(r["nid"] for r in found if r["qid"] == 0) == [1, 2] and sorted(r["nid"] for r in found if r["qid"] == 1) == [0, 2]
+
+
+def test_compared_pairs_grow_slower_than_the_square(spark, monkeypatch):
+    kept = neighbors._search
+
+    def compared(n):
+        made = spark.sparkContext.accumulator(0)
+
+        def counting(queries, data, *rest):
+            made.add(len(queries) * len(data))
+            return kept(queries, data, *rest)
+
+        monkeypatch.setattr(neighbors, "_search", counting)
+        df = spark.range(n).select("id", F.lit(0).alias("y"), F.array(*[F.rand(7 + i) for i in range(2)]).alias("x"))
+        df = spark.createDataFrame(df.collect(), df.schema)
+        assert neighbors.nearest(df, df, [], "id", F.col("x"), 3, skip_self=True, fan=8, leaf=64).count() == 3 * n
+        return made.value
+
+    few, many = compared(1000), compared(8000)
+    assert many < 16 * few and many < 8000 * 8000 / 12
 
 
 def test_overlap_of_one_class_is_null(spark):

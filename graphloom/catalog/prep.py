@@ -261,9 +261,7 @@ def fold_query(spark, sf_dir):
 @query("w05_cheap_first_order", f"with {DEC} select graph_id, n_vertices, row_number() over (order by n_vertices, graph_id) as position from dec")
 def cheap_first(spark, sf_dir):
     d = fx.decisions(spark, sf_dir).select("graph_id", "n_vertices")
-    # Sizes are few and each may be large: positions go by size and a cut of the key.
-    cut = F.expr("cast(n_vertices as bigint) * 1099511627776L + graph_id div 1000")
-    return ordering.rank_in_group(d, [], [F.col("n_vertices"), F.col("graph_id")], cut, "position")
+    return ordering.rank_in_group(d, [], [F.col("n_vertices"), F.col("graph_id")], "position")
 
 
 @query("w08_keep_first", f"with {DEC} select f_items, min(graph_id) as graph_id from dec group by f_items")

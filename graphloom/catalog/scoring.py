@@ -246,11 +246,11 @@ _KNN = f"""{_SPLIT42}, mo as (select {', '.join(f'avg({f}) as m_{f}, stddev_pop(
  nk as (select * from (select *, row_number() over (partition by qid order by dist, nid) as rank, min(dist) over (partition by qid) as closest from pq) t where rank <= 5)"""
 
 
-def _knn(spark, sf_dir, weighted):
+def _knn(spark, sf_dir, weighted, p=2):
     sp = _split42(spark, sf_dir)
     z = written(scaling.apply_moments(sp, scaling.moments(sp.where("split = 'train'"), FEATURES), FEATURES), "points")
     point = neighbors.feature_point([f"{f}_z" for f in FEATURES])
-    out = neighbors.knn_vote(z.where("split = 'test'"), z.where("split = 'train'"), [], "graph_id", point, 5, weighted)
+    out = neighbors.knn_vote(z.where("split = 'test'"), z.where("split = 'train'"), [], "graph_id", point, 5, weighted, p)
     return _round(out, ["score"])
 
 
@@ -265,6 +265,14 @@ def knn_weighted(spark, sf_dir):
     return _knn(spark, sf_dir, True)
 
 
+_KNN1 = _KNN.replace(f"sqrt({' + '.join(f'(a.{f}_z - b.{f}_z) * (a.{f}_z - b.{f}_z)' for f in FEATURES)})", f"({' + '.join(f'abs(a.{f}_z - b.{f}_z)' for f in FEATURES)})")
+
+
+@query("m05_knn_manhattan", f"with {LABELLED}, {_KNN1} select qid, round(avg(ny), 6) as score, cast(avg(ny) > 0.5 as int) as pred from nk group by qid")
+def knn_manhattan(spark, sf_dir):
+    return _knn(spark, sf_dir, False, 1)
+
+
 # --- linear models -----------------------------------------------------------
 
 # A stored model: coefficient i is 0.3 * (-1)^i * (i + 1), fitted scaling from the data itself.

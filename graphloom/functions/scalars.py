@@ -54,20 +54,6 @@ def tie_winner(delta: Column | str) -> Column:
     return F.when(d > 0, "matching").when(d < 0, "pauli").otherwise("tie")
 
 
-def coarse_order(c: Column | str) -> Column:
-    """A coarse integer key that never decreases as the value grows.
-
-    Running totals work inside one coarse key and add the total of the keys below
-    it. Values in [0, 1] are cut on the log-odds scale so that scores crowded
-    at either end still spread; values outside are cut on a log scale."""
-    x = col(c).cast("double")
-    inside = F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
-    log_odds = F.floor(F.log(inside / (1.0 - inside)) * 32).cast("int")
-    above = F.lit(1000) + F.floor(F.log(F.greatest(x, F.lit(1.0))) * 64).cast("int")
-    below = F.lit(-1000) - F.ceil(F.log(F.greatest(1.0 - x, F.lit(1.0))) * 64).cast("int")
-    return F.when(x > 1, above).when(x < 0, below).otherwise(log_odds)
-
-
 def hamming_int(u: Column | str, v: Column | str) -> Column:
     return F.bit_count(col(u).bitwiseXOR(col(v)))
 

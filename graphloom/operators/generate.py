@@ -115,8 +115,7 @@ def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,
     if existing is not None:  # known graphs count as duplicates and take no place
         fine = refinement.drop_existing(fine, existing, ["n", "wl_key"])
     first = refinement.first_of_each(fine, [*cell, "wl_key"], seq, [seq])
-    width = F.expr(f"{seq} div 1024")
-    ranked = rank_in_group(first, cell, [F.col(seq)], width, "__rank")
+    ranked = rank_in_group(first, cell, [F.col(seq)], "__rank")
     targets = known.select(*cell, want).distinct()
     taken = written(ranked.join(targets, cell).where(F.col("__rank") <= F.col(want)).select(
         *cell, seq, "__rank", F.col(want).alias("__want")), "taken")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import coarse_order, safe_div
+from graphloom.functions.scalars import safe_div
 from graphloom.operators.ordering import exact_quantiles, running_totals
 
 METRICS = ["accuracy", "precision", "recall", "specificity", "npv", "f1", "mcc", "cohen_kappa",

@@ -1,7 +1,7 @@
 """Class balancing, seeded samples, stratified splits and folds.
 
-All of them pick by position in a hash order of the key, found without sorting any
-group in one task."""
+All of them pick by position in a hash order of the key. Rows are counted by slots of
+the hash; only those of a slot where a part ends are ranked."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import mix
-from graphloom.operators.ordering import rank_by_hash
+from graphloom.operators.ordering import label_by_hash, rank_by_hash
 from graphloom.session import written
 
 
@@ -24,13 +24,17 @@ def balance_within(df: DataFrame, group: str, y: str, key: str, seed: int = 0) -
     counts = df.groupBy(group).agg(
         F.least(F.count_if(F.col(y) == 1), F.count_if(F.col(y) == 0)).alias("__take")
     )
-    ranked = rank_by_hash(df, [group, y], mix(key, seed), key, "__rank")
-    return ranked.join(counts, group).where("__rank <= __take").drop("__rank", "__take")
+    kind = df.schema[y].dataType
+    limits = written(counts.select(group, F.explode(F.array(F.lit(0).cast(kind), F.lit(1).cast(kind))).alias(y), "__take"), "takes")
+    taken = label_by_hash(df, [group, y], mix(key, seed), key, lambda rank, _: rank <= F.col("__take"), "__in", limits)
+    return taken.where("__in").drop("__in")
 
 
 def sample_rows(df: DataFrame, size: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly `size` rows (or all, if fewer), the first in hash order."""
-    return rank_by_hash(df, [], mix(key, seed), key, "__rank").where(F.col("__rank") <= size).drop("__rank")
+    """Exactly `size` rows (or all, if fewer), the first in hash order. What is ranked
+    are the rows of one hash value in a million: where the sample ends."""
+    taken = label_by_hash(df, [], mix(key, seed), key, lambda rank, _: rank <= size, "__in", widths=(1024, 1))
+    return taken.where("__in").drop("__in")
 
 
 def stratum(df: DataFrame, parts: list[str], name: str = "stratum") -> DataFrame:
@@ -43,13 +47,11 @@ def _fifth(c: Column) -> Column:
 
 
 def _split_by(df: DataFrame, keys: list[str], key: str, seed: Column | int) -> DataFrame:
-    ranked = rank_by_hash(df, keys, mix(key, seed), key, "__rank", "__size")
-    test = _fifth(F.col("__size"))
-    val = _fifth(F.col("__size") - test)
-    return ranked.withColumn(
-        "split",
-        F.when(F.col("__rank") <= test, "test").when(F.col("__rank") <= test + val, "val").otherwise("train"),
-    ).drop("__rank", "__size")
+    def part(rank: Column, size: Column) -> Column:
+        test = _fifth(size)
+        return F.when(rank <= test, "test").when(rank <= test + _fifth(size - test), "val").otherwise("train")
+
+    return label_by_hash(df, keys, mix(key, seed), key, part, "split")
 
 
 def split_three(df: DataFrame, key: str, parts: list[str], seed: Column | int = 0, within: list[str] | None = None) -> DataFrame:
@@ -83,15 +85,12 @@ def split_three_tiers(df: DataFrame, key: str, size: str, y: str, seed: int = 0)
     else:
         first = F.lit("all")
     named = named.withColumn("__first", first)
-    ranked = rank_by_hash(named, ["__first"], mix(key, seed), key, "__rank", "__size")
-    # Read for both parts below.
-    cut = written(ranked.withColumn("__test", F.col("__rank") <= _fifth(F.col("__size"))).drop("__rank", "__size"), "cut")
+    cut = label_by_hash(named, ["__first"], mix(key, seed), key, lambda rank, n: rank <= _fifth(n), "__test")
+    cut = written(cut, "cut")  # read for both parts below
     dev = cut.where(~F.col("__test")).withColumn(
         "__second", F.when(F.col("__first") == "all", "all").otherwise(F.col(y).cast("string"))
     )
-    dev = rank_by_hash(dev, ["__second"], mix(key, seed + 1), key, "__rank", "__size").withColumn(
-        "split", F.when(F.col("__rank") <= _fifth(F.col("__size")), "val").otherwise("train")
-    )
+    dev = label_by_hash(dev, ["__second"], mix(key, seed + 1), key, lambda rank, n: F.when(rank <= _fifth(n), "val").otherwise("train"), "split")
     test = cut.where("__test").withColumn("split", F.lit("test"))
     out = [c for c in df.columns] + ["split"]
     return dev.select(*out).unionByName(test.select(*out))
@@ -99,10 +98,7 @@ def split_three_tiers(df: DataFrame, key: str, size: str, y: str, seed: int = 0)
 
 def split_two(df: DataFrame, key: str, strata: list[str], seed: Column | int = 0) -> DataFrame:
     """Adds `split`: 80 / 20 per stratum, `train` and `test`."""
-    ranked = rank_by_hash(df, strata, mix(key, seed), key, "__rank", "__size")
-    return ranked.withColumn(
-        "split", F.when(F.col("__rank") <= _fifth(F.col("__size")), "test").otherwise("train")
-    ).drop("__rank", "__size")
+    return label_by_hash(df, strata, mix(key, seed), key, lambda rank, n: F.when(rank <= _fifth(n), "test").otherwise("train"), "split")
 
 
 def folds(df: DataFrame, key: str, strata: list[str], k: int = 5, seed: int = 0) -> DataFrame:

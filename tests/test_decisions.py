@@ -4,11 +4,10 @@ import math
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import coarse_order, mix
+from graphloom.functions.scalars import mix
 from graphloom.operators import generate, metrics, neighbors, ordering, sampling, scaling
 from graphloom.plans import learners
 
@@ -80,12 +79,57 @@ def test_overlap_of_one_class_is_null(spark):
     assert any(r["knn_disagree_pos"] is not None for r in rows.values())
 
 
-def test_coarse_order_never_decreases(spark):
-    rng = random.Random(0)
-    xs = sorted([rng.uniform(-50, 50) for _ in range(200)] + [rng.random() for _ in range(200)]
-                + [0.0, 1.0, 1e-12, 1 - 1e-12, 1 + 1e-9, -1e-9, 1e12, -1e12])
-    cuts = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(coarse_order("x")).collect()]
-    assert cuts == sorted(cuts)
+def test_close_values_spread_over_many_cuts(spark):
+    """A million values within 1% of each other are cut into at least as many parts as there are cores."""
+    df = spark.range(1_000_000).select((F.lit(0.5) + F.col("id") * 5e-9).alias("v"))
+    counts = [r["count"] for r in ordering.with_cuts(df, [], [F.col("v")]).groupBy(ordering.CUT).count().collect()]
+    assert len(counts) >= 8 and max(counts) < 600_000
+
+
+@pytest.fixture
+def small_cuts(monkeypatch):
+    for name, value in (("CUT_ROWS", 20), ("STEP", 4), ("ABOVE", 3)):
+        monkeypatch.setattr(ordering, name, value)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals_over_many_cuts(spark, small_cuts, descending):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.sin("id").alias("v"), (F.col("id") % 11).alias("c"))
+    cut = ordering.with_cuts(df, ["g"], [F.col("v")]).toPandas()
+    assert cut[cut.g == 0][ordering.CUT].nunique() > 20
+    assert all(part.sort_values("v")[ordering.CUT].is_monotonic_increasing for _, part in cut.groupby("g"))
+    got = ordering.running_totals(df, ["g"], "v", {"c": "run"}, {"c": "all"}, descending).toPandas()
+    assert len(got) == 3000
+    for _, part in got.groupby("g"):
+        part = part.sort_values("v", ascending=not descending)
+        assert (part["run"] == part["c"].cumsum()).all() and (part["all"] == part["c"].sum()).all()
+
+
+def test_ranks_by_tied_values_over_many_cuts(spark, small_cuts):
+    df = spark.range(2000).select("id", (F.col("id") % 3).alias("size"))
+    got = ordering.rank_in_group(df, [], [F.col("size"), F.col("id")], "place").toPandas().sort_values(["size", "id"])
+    assert list(got["place"]) == list(range(1, 2001))
+
+
+@pytest.mark.parametrize("widths", [(1024,), (100_000, 1024), (1024, 1)])
+def test_labels_by_hash_are_those_of_the_ranks(spark, widths):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"))
+    hashed = F.pmod("id", F.lit(97)) if widths[-1] == 1 else mix("id", 3)
+
+    def part(rank, size):
+        return F.when(rank <= size / 5, "a").when(rank <= size / 2, "b").otherwise("c")
+
+    want = {r["id"]: r["want"] for r in ordering.rank_by_hash(df, ["g"], hashed, "id", "r", "n").select("id", part(F.col("r"), F.col("n")).alias("want")).collect()}
+    got = ordering.label_by_hash(df, ["g"], hashed, "id", part, "got", widths=widths).collect()
+    assert len(got) == 4000 and {r["id"]: r["got"] for r in got} == want
+
+
+def test_sample_ranks_few_rows(spark, monkeypatch):
+    ranked = []
+    kept = ordering.rank_in_group
+    monkeypatch.setattr(ordering, "rank_in_group", lambda df, *rest: (ranked.append(df.count()), kept(df, *rest))[1])
+    assert sampling.sample_rows(spark.range(100_000), 300, "id").count() == 300
+    assert ranked[0] <= 3
 
 
 def test_ranks_and_quantiles_of_a_hot_group(spark):
@@ -190,11 +234,6 @@ def test_accept_fills_cells_and_passes_over_known_graphs(spark):
     assert {r["outcome"]: r["n_graphs"] for r in more.collect()}["generated"] == again.count()
 
 
-def test_text_search_pandas_schema(spark):
-    empty = neighbors._search(pd.DataFrame({"g": [], "qid": [], "x": []}), pd.DataFrame({"id": [], "y": [], "x": []}), 3, False)
-    assert list(empty.columns) == ["g", "qid", "nid", "dist", "ny"] and empty.empty
-
-
 def test_seeds_are_independent(spark):
     """Test sets of any two of five seeds share about a fifth; no order is a rotation
     of another; text keys do as well as whole numbers."""

@@ -10,8 +10,9 @@ from graphloom.catalog.sqltext import GS, directed
 from graphloom.functions.scalars import is_power_of_two
 from graphloom.operators import generate, refinement, topology
 from graphloom.operators.packed import unpack_edges
-from graphloom.session import spread, written
+from graphloom.session import fresh_path, spread, written
 from graphloom.sources import fixtures as fx
+from graphloom.sources import tables
 
 
 def _draw(seed: str, graph: str, place: str) -> str:
@@ -101,6 +102,16 @@ def counters_beside_existing(spark, sf_dir):
     return _accepted_again(spark, sf_dir)[1]
 
 
+@query("s10_g09_generation_manifest", f"""{_ER_OUT}, oc as (select coalesce(o, case when ta.seq is not null then 'generated' else 'duplicate' end) as counter
+ from st left join la on la.n = st.n and la.tenths = st.tenths left join ta on ta.seq = st.seq where la.last is null or st.seq <= la.last)
+select 'generation' as stage, counter, count(*) as value from (select counter from oc union all select 'attempts' from oc) t group by 2""")
+def generation_manifest(spark, sf_dir):
+    _, stats = generate.attempts(_er_attempts(spark, sf_dir), ["n", "tenths"], "seq", "want")
+    path = fresh_path(spark, "manifest")
+    tables.write_manifest(tables.counted(spark, "generation", stats), {"cells": "n, tenths"}, path)
+    return tables.read_manifest(spark, path).where("value > 0")
+
+
 @query("g09_short_runs", f"""{_ER_OUT} select cast(wa.n as int) as n, wa.tenths, want, count(ta.seq) as n_graphs from wa left join ta using (n, tenths, want) group by 1, 2, 3 having count(ta.seq) < want""")
 def short_runs(spark, sf_dir):
     a = _er_attempts(spark, sf_dir)

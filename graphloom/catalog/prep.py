@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.catalog.registry import query
@@ -9,7 +10,9 @@ from graphloom.catalog.sqltext import DEC, FEAT, FEATURES, LAB, mix
 from graphloom.functions.scalars import bit_text, signed_log, tie_winner
 from graphloom.operators import ordering, prep, reports, sampling, scaling
 from graphloom.plans import balanced as plan
+from graphloom.session import fresh_path
 from graphloom.sources import fixtures as fx
+from graphloom.sources import tables
 
 FS = ", ".join(FEATURES)
 LABELLED = f"{DEC}, d0 as (select *, cast(delta_cx > 0 as int) as y from dec where delta_cx <> 0)"
@@ -185,6 +188,15 @@ def balanced_labels(spark, sf_dir):
     return rows
 
 
+@query("s10_balanced_manifest", f"""with {_D1}, {_BAL}, c as (select count(*) as l, count(*) filter (where y = 1) as m, count(*) filter (where y = 0) as p from bal),
+ u as (select count(*) as u from feat where graph_id not in (select graph_id from lab))
+select 'balanced' as stage, counter, value from c cross join u, lateral (values ('graphs', l + u), ('labelled', l), ('matching', m), ('pauli', p), ('unlabelled', u)) t(counter, value)""")
+def balanced_manifest(spark, sf_dir):
+    path = fresh_path(spark, "balanced")
+    plan.write(*plan.build(fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir)), path)
+    return tables.read_manifest(spark, f"{path}/manifest")
+
+
 @query("a19_composition", f"""with {_D1}, {_BAL}, av as (select n_vertices, count(*) filter (where y = 1) as ma, count(*) filter (where y = 0) as pa from d1 group by 1),
 s as (select n_vertices, source_dataset, count(*) filter (where y = 1) as m, count(*) filter (where y = 0) as p from bal group by 1, 2)
 select n_vertices, max(ma) as matching_avail, max(pa) as pauli_avail, least(max(ma), max(pa)) as take_per_class,
@@ -408,10 +420,24 @@ def correlation(spark, sf_dir):
     return reports.correlation(fx.decisions(spark, sf_dir), FEATURES + ["delta_cx"], ["source_dataset"]).withColumn("r", F.round("r", 6))
 
 
-@query("a14_covariance", f"with {DEC} select round(covar_samp(f_items, f_var), 6) as c01, round(covar_samp(f_items, f_items) + 1e-6, 6) as c00 from dec")
+_ALL = " union all ".join(f"select * from (select '{a}' as a, '{b}' as b, covar_samp({a}, {b}) + {1e-6 if a == b else 0.0} as c from dec)" for a in FEATURES for b in FEATURES)
+
+
+@query("a14_covariance", f"with {DEC} select a, b, round(c, 6) as c from ({_ALL}) t")
 def covariance(spark, sf_dir):
-    c = scaling.covariance(fx.decisions(spark, sf_dir), ["f_items", "f_var"])
-    return spark.range(1).select(F.round(F.lit(float(c[0, 1])), 6).alias("c01"), F.round(F.lit(float(c[0, 0] + 1e-6)), 6).alias("c00"))
+    c = scaling.covariance(fx.decisions(spark, sf_dir), FEATURES) + 1e-6 * np.eye(len(FEATURES))
+    cells = [(a, b, float(c[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)]
+    return spark.createDataFrame(cells, "a string, b string, c double").withColumn("c", F.round("c", 6))
+
+
+@query("a14_inverse_covariance", f"select a, b, cast(a = b as double) as cell from (values {', '.join(f'({f!r})' for f in FEATURES)}) x(a) cross join (values {', '.join(f'({f!r})' for f in FEATURES)}) y(b)")
+def inverse_covariance(spark, sf_dir):
+    """The inverse times the matrix is the identity."""
+    d = fx.decisions(spark, sf_dir)
+    c = scaling.covariance(d, FEATURES) + 1e-6 * np.eye(len(FEATURES))
+    product = scaling.inverse_covariance(d, FEATURES) @ c
+    cells = [(a, b, float(product[i, j])) for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)]
+    return spark.createDataFrame(cells, "a string, b string, cell double").withColumn("cell", F.round("cell", 3) + 0.0)
 
 
 @query("a15_signed_log_histogram", f"""with {DEC}, x as (select source_dataset, sign(delta_cx) * log10(abs(delta_cx) + 1) as x from dec),

@@ -106,14 +106,19 @@ _COUNTED = f"""with recursive {LINES_SQL}, {_CON}, tx as (select l.g6, count(*)
   union all select 'parsed', 1 from tx where fault is null and c union all select 'duplicate', copies - 1 from tx where fault is null and c)"""
 
 
-@query("s10_f25_manifest", f"{_COUNTED} select 'features' as stage, outcome as counter, cast(sum(copies) as bigint) as value from oc group by 2")
+@query("s10_f25_manifest", f"{_COUNTED} select 'features' as stage, outcome as counter, cast(sum(copies) as bigint) as value from oc group by 2 union all select 'features', 'lines', count(*) from lines")
 def manifest(spark, sf_dir):
-    counted = tables.counters(features.line_outcomes(text_lines(spark, sf_dir)), "outcome", "features")
+    _, stats = features.counted_graphs(text_lines(spark, sf_dir))
     path = fresh_path(spark, "manifest")
-    tables.write_manifest(counted, {"source": "line items"}, path)
+    tables.write_manifest(tables.counted(spark, "features", stats), {"source": "line items"}, path)
     return tables.read_manifest(spark, path)
 
 
+@query("f25_line_outcomes", f"{_COUNTED} select outcome, cast(sum(copies) as bigint) as n_lines from oc group by 1")
+def line_outcomes(spark, sf_dir):
+    return features.line_outcomes(text_lines(spark, sf_dir)).groupBy("outcome").agg(F.sum("copies").alias("n_lines"))
+
+
 @query("s11_first_lines", f"with {LINES_SQL} select seq, g6 from lines order by g6, seq limit 50")
 def first_lines(spark, sf_dir):
     return g6.first_lines(text_lines(spark, sf_dir), 50, ["g6", "seq"])
@@ -173,8 +178,8 @@ def incremental_features(spark, sf_dir):
     first, second, everything = _increment(spark, sf_dir)
     path = fresh_path(spark, "table")
     for lines in (first, second, everything):  # the last one finds nothing new
-        incremental.append_features(lines, path, with_gap=False)
-    return spark.read.parquet(path)
+        incremental.append_features(lines, path, with_gap=False, rows_per_part=2_000)
+    return incremental.existing_table(spark, path).drop("spectral_gap")
 
 
 @query("i01_i02_streamed_features", _TABLE)
@@ -185,7 +190,7 @@ def streamed_features(spark, sf_dir):
         lines.select(F.col("g6").alias("value")).write.mode("append").text(source)
         run = incremental.stream_features(spark, source, target, marks, with_gap=False)
         run.awaitTermination()
-    return spark.read.parquet(target)
+    return incremental.existing_table(spark, target).drop("spectral_gap")
 
 
 @query("i02_once_per_key", f"with {GS}, {text('gs', 8)} select g6, min(graph_id) as first_seen, count(*) as copies from txt group by g6")

@@ -6,14 +6,14 @@ vertices becomes a row of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import HASH_MODULUS, is_power_of_two
 from graphloom.operators import refinement, topology
 from graphloom.operators.ordering import rank_in_group
 from graphloom.operators.packed import WORD, bind, words_needed
-from graphloom.session import spread, written
+from graphloom.session import observed, spread, written
 
 
 def draw(seed: str, graph: str, place: str) -> str:
@@ -102,14 +102,18 @@ def judged(graphs: DataFrame, require_connected: bool = True) -> DataFrame:
         "colours", "n_colours", "n_components", "is_bipartite", "is_tree", "cycle_count")
 
 
-def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,
-           require_connected: bool = True, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Keep the first `want` new graphs of each cell in the order of `seq`.
+OUTCOMES = ("generated", "duplicate", "empty", "disconnected")
+
+
+def attempts(graphs: DataFrame, cell: list[str], seq: str, want: str,
+             require_connected: bool = True, existing: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """All attempts up to the one that filled their cell, with their `outcome`, as a
+    table, and the totals, observed while it is written.
 
-    Empty, disconnected (if asked) and repeated graphs (equal refinement key within the
-    cell, first wins) are passed over, and so are those in `existing (n, wl_key)`.
-    Returns the kept graphs, and `(cell, outcome, n_graphs)` over the attempts up to
-    the one that filled the cell. `want` is a column of `graphs`."""
+    Kept (`generated`) are the first `want` new graphs of each cell in the order of
+    `seq`. Empty, disconnected (if asked) and repeated graphs (equal refinement key
+    within the cell, first wins) are passed over, and so are those in `existing
+    (n, wl_key)`. `want` is a column of `graphs`."""
     known = written(judged(graphs, require_connected), "attempts")
     fine = known.where("outcome is null")
     if existing is not None:  # known graphs count as duplicates and take no place
@@ -120,11 +124,22 @@ def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,
     taken = written(ranked.join(targets, cell).where(F.col("__rank") <= F.col(want)).select(
         *cell, seq, "__rank", F.col(want).alias("__want")), "taken")
     last = taken.groupBy(*cell).agg(F.max(F.when(F.col("__rank") == F.col("__want"), F.col(seq))).alias("__last"))
-    kept = known.join(taken.select(*cell, seq), [*cell, seq])
     tried = known.join(last, cell, "left").where(F.col("__last").isNull() | (F.col(seq) <= F.col("__last")))
     marked = tried.join(taken.select(*cell, seq, F.lit(1).alias("__in")), [*cell, seq], "left")
-    counted = marked.withColumn("outcome", F.coalesce("outcome", F.when(F.col("__in") == 1, "generated").otherwise("duplicate")))
-    return kept, counted.groupBy(*cell, "outcome").agg(F.count("*").alias("n_graphs"))
+    outcome = F.coalesce("outcome", F.when(F.col("__in") == 1, "generated").otherwise("duplicate"))
+    marked = marked.select(*[c for c in known.columns if c != "outcome"], outcome.alias("outcome"))
+    seen = Observation()
+    counted = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
+    table = written(marked.observe(seen, F.count(F.lit(1)).alias("attempts"), *counted), "marked")
+    return table, observed(seen)
+
+
+def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,
+           require_connected: bool = True, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The kept graphs, and `(cell, outcome, n_graphs)` over the attempts up to the one
+    that filled the cell."""
+    marked, _ = attempts(graphs, cell, seq, want, require_connected, existing)
+    return marked.where("outcome = 'generated'").drop("outcome"), marked.groupBy(*cell, "outcome").agg(F.count("*").alias("n_graphs"))
 
 
 def short_runs(counters: DataFrame, wanted: DataFrame, cell: list[str], want: str) -> DataFrame:

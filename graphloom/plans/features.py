@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.operators import dense, pauli, prep, spectral, topology
 from graphloom.operators.packed import with_adjacency
 from graphloom.sources import g6
+from graphloom.functions.graph6 import graph_key, pack_text
+from graphloom.session import observed, written
 from graphloom.sources.tables import FEATURE_SCHEMA
 
 ROUNDED = ["edge_density", "avg_degree", "degree_variance", "avg_clustering", "spectral_gap"]
@@ -61,6 +63,27 @@ def line_outcomes(lines: DataFrame, existing: DataFrame | None = None) -> DataFr
     return bad.unionByName(good.select(F.explode(parts).alias("p")).select("p.outcome", "p.copies"))
 
 
+def counted_graphs(lines: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(the distinct connected graphs that are new, as a table, and what became of the
+    lines). The counters are observed while the tables are written: the lines are read
+    once, and so is the table of distinct graphs."""
+    read, judged = Observation(), Observation()
+    checked = g6.checked(lines).observe(read, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("fault").isNotNull()).alias("parse_error"))
+    good = checked.where("fault is null").drop("fault").withColumn("graph_id", graph_key("g6"))
+    merged = written(pack_text(good).groupBy("graph_id", "tri").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "distinct-graphs")
+    if existing is not None:
+        merged = merged.join(existing.select("graph_id", F.lit(1).alias("__seen")).distinct(), "graph_id", "left")
+    else:
+        merged = merged.withColumn("__seen", F.lit(None).cast("int"))
+    new = F.col("__seen").isNull()
+    shown = topology.with_components(merged).observe(
+        judged, F.sum(F.when(F.col("is_connected") == 0, F.col("copies"))).alias("disconnected"),
+        F.count_if((F.col("is_connected") == 1) & new).alias("parsed"),
+        F.sum(F.when(F.col("is_connected") == 1, F.col("copies") - new.cast("int"))).alias("duplicate"))
+    kept = written(shown.where("is_connected = 1 and __seen is null").drop("__seen"), "new-graphs")
+    return kept, observed(read, judged)
+
+
 def gated_enrichment(packed: DataFrame, spectral_max: int, pauli_max: int) -> DataFrame:
     """Spectral and Pauli columns within their size gates, NULL beyond: one row per
     graph. The gates come before the costly steps."""

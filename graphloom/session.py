@@ -65,3 +65,13 @@ def written(df, name: str = "stage"):
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def observed(*seen) -> dict[str, int]:
+    """The counters of observations, 0 for those the optimiser has left out: a plan it
+    finds to be empty collects none."""
+    out: dict[str, int] = {}
+    for one in seen:
+        if one._jo.getRow().size():
+            out |= {name: value or 0 for name, value in one.get.items()}
+    return out

@@ -52,6 +52,11 @@ def counters(df: DataFrame, outcome: str, stage: str) -> DataFrame:
         F.lit(stage).alias("stage"), "counter", "value")
 
 
+def counted(spark: SparkSession, stage: str, stats: dict[str, int]) -> DataFrame:
+    """The same from counters that a pass has observed."""
+    return spark.createDataFrame([(stage, name, int(n or 0)) for name, n in stats.items()], "stage string, counter string, value bigint")
+
+
 def write_manifest(counted: DataFrame, parameters: dict[str, str], path: str) -> None:
     """One JSON document with the parameters and the counters (a handful of rows)."""
     doc = counted.groupBy("stage").agg(F.map_from_entries(F.collect_list(F.struct("counter", "value"))).alias("stats"))

@@ -1,33 +1,83 @@
-"""Featurising what is new: append in batches, or from a stream of text files."""
+"""Featurising what is new: append in batches, or from a stream of text files.
+
+The target is laid out by key: graph keys are digests, and a row lies in the folder
+`depth=D/prefix=p...` of its first D hex digits. D is chosen when a row is written, from
+the number of rows there are by then, so folders of every depth stay below ROWS_PER_PART
+rows. A batch looks for its graphs only in the folders of its own prefixes, a few at each
+depth, whatever the size of the target."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from math import ceil, log
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators import prep
 from graphloom.plans.features import feature_table
+from graphloom.session import observed
+from graphloom.sources import g6
 from graphloom.sources.tables import FEATURE_SCHEMA
 
+ROWS_PER_PART = 1_000_000
+#: At most 16 ** MAX_DEPTH folders of a depth; beyond ROWS_PER_PART rows each, they grow.
+MAX_DEPTH = 4
+LAYOUT = [T.StructField("depth", T.IntegerType()), T.StructField("prefix", T.StringType())]
 LINES = T.StructType([T.StructField("value", T.StringType())])
 
 
-def existing_table(spark: SparkSession, path: str, schema: T.StructType = FEATURE_SCHEMA) -> DataFrame:
-    """The table written so far, empty if there is none."""
+def _written_so_far(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
-def append_features(lines: DataFrame, path: str, with_gap: bool = True) -> None:
+def existing_table(spark: SparkSession, path: str, schema: T.StructType = FEATURE_SCHEMA) -> DataFrame:
+    """The table written so far, empty if there is none."""
+    return _written_so_far(spark, path, T.StructType([*schema, *LAYOUT])).drop("depth", "prefix")
+
+
+def _log(path: str) -> str:
+    """One row (depth, n) per batch, beside the table. A batch missing here only makes
+    later folders larger."""
+    return path.rstrip("/") + ".batches"
+
+
+def _depth(rows: int, rows_per_part: int) -> int:
+    return min(MAX_DEPTH, max(0, ceil(log(max(1, rows) / rows_per_part, 16))))
+
+
+def finished(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
+    """(graph_id): what the folders of these prefixes (of MAX_DEPTH digits) hold."""
+    schema = T.StructType([T.StructField("graph_id", T.StringType()), *LAYOUT])
+    table = _written_so_far(spark, path, schema)
+    wanted = []
+    for depth in range(MAX_DEPTH + 1):
+        some = sorted({prefix[:depth] for prefix in prefixes})
+        among = "" if len(some) == 16**depth else " and prefix in (" + ", ".join(f"'p{p}'" for p in some) + ")"
+        wanted.append(f"(depth = {depth}{among})")
+    return table.where(" or ".join(wanted)).select("graph_id")
+
+
+def append_features(lines: DataFrame, path: str, with_gap: bool = True, rows_per_part: int = ROWS_PER_PART) -> None:
     """Featurise the graphs of `lines (g6)` that the table at `path` lacks, and append.
-    The same lines given again add nothing."""
+    The same lines given again add nothing, also after a batch of which only some rows
+    were written: what is looked up are the rows themselves."""
     spark = lines.sparkSession
-    columns = [f for f in FEATURE_SCHEMA if with_gap or f.name != "spectral_gap"]
-    done = existing_table(spark, path, T.StructType(columns)).select("graph_id")
-    feature_table(lines, done, with_gap).write.mode("append").parquet(path)
+    key = F.substring("graph_id", 1, MAX_DEPTH).alias("key")
+    counts = g6.readable(lines).groupBy(key).agg(F.count("*").alias("n")).collect()  # at most 16 ** MAX_DEPTH rows
+    if not counts:
+        return
+    done = finished(spark, path, [r["key"] for r in counts])
+    before = _written_so_far(spark, _log(path), T.StructType([T.StructField("n", T.LongType())])).agg(F.sum("n")).first()[0] or 0
+    depth = _depth(before + sum(r["n"] for r in counts), rows_per_part)
+    seen = Observation()
+    rows = feature_table(lines, done, with_gap).observe(seen, F.count(F.lit(1)).alias("n"))
+    placed = rows.withColumn("depth", F.lit(depth)).withColumn("prefix", F.concat(F.lit("p"), F.substring("graph_id", 1, depth)))
+    placed.hint("rebalance", "prefix").write.mode("append").partitionBy("depth", "prefix").parquet(path)
+    spark.createDataFrame([(depth, observed(seen).get("n", 0))], "depth int, n long").coalesce(1).write.mode("append").parquet(_log(path))
 
 
 def stream_features(spark: SparkSession, source: str, target: str, checkpoint: str,

@@ -211,3 +211,45 @@ def test_no_size_promises_and_mixed_sizes(spark):
     none = spark.createDataFrame([(0, []), (3, [0])], "n int, tri array<long>")
     assert {r.n for r in refinement.refine(none).collect()} == {0, 3} == {r.n for r in dense.spectra(none, ("lap",)).collect()}
     assert {r.n: r.pauli_num_terms for r in pauli.pauli_columns(none).collect()} == {0: None, 3: None}
+
+
+def test_batches_read_few_rows_of_a_growing_target(spark, tmp_path, monkeypatch):
+    from graphloom.functions import graph6
+    from graphloom.catalog.graphs import sparse_graphs
+    from graphloom.streaming import incremental
+
+    lines = sparse_graphs(spark, "/root/testdata/sf0.001").select(graph6.to_text().alias("g6")).distinct().orderBy("g6").collect()
+    lines = [spark.createDataFrame(lines[a:b], "g6 string") for a, b in ((0, 60), (60, 400), (400, 406))]
+    path, read = str(tmp_path / "table"), []
+    kept = incremental.finished
+
+    def watched(*args):
+        out = kept(*args)
+        read.append(out.count())
+        return out
+
+    monkeypatch.setattr(incremental, "finished", watched)
+    for some in lines:
+        incremental.append_features(some, path, with_gap=False, rows_per_part=8)
+    table = incremental.existing_table(spark, path)
+    size = table.count()
+    assert size > 100 and read[0] == 0 and read[2] <= 6 * 3 * 8 * 3 < size * 3
+    depths = {r["depth"] for r in spark.read.parquet(path).select("depth").distinct().collect()}
+    assert len(depths) > 1
+    # A batch of which only some rows were written, and the whole batch again.
+    for some in lines:
+        incremental.append_features(some.limit(20), path, with_gap=False, rows_per_part=8)
+        incremental.append_features(some, path, with_gap=False, rows_per_part=8)
+    again = incremental.existing_table(spark, path)
+    assert again.count() == size == again.select("graph_id").distinct().count()
+
+
+def test_counters_of_lines_are_those_of_the_outcomes(spark):
+    from graphloom.plans import features
+
+    lines = spark.createDataFrame([("C~",), ("C~",), ("C?",), ("!!",), ("D~{",)], "g6 string")
+    table, stats = features.counted_graphs(lines)
+    want = {r["outcome"]: r["n"] for r in features.line_outcomes(lines).groupBy("outcome").agg(F.sum("copies").alias("n")).collect()}
+    assert {k: v for k, v in stats.items() if v and k != "lines"} == {k: v for k, v in want.items() if v} and stats["lines"] == 5
+    none, stats = features.counted_graphs(lines, table)
+    assert none.count() == 0 and stats["parsed"] == 0 and stats["duplicate"] == 3

@@ -49,12 +49,28 @@ def all_metrics(spark, sf_dir):
     return _round(metrics.score(fx.predictions(spark, sf_dir), MS), metrics.METRICS)
 
 
-@query("e14_metrics_per_size", f"""with {PRED}, {_score_sql('model, seed, n_vertices')}
-select model, seed, n_vertices, (fn + tp)::bigint as matching_wins, 0 as single_class, {', '.join(f'round({m}, 6) + 0 as {m}' for m in metrics.METRICS if m not in ('cohen_kappa', 'log_loss'))}
-from me join au using (model, seed, n_vertices)""")
+# In the second query the graphs on 8 vertices are of one class only.
+_CONDITIONAL = [m for m in metrics.METRICS if m not in ("cohen_kappa", "log_loss")]
+_ONE_CLASS = PRED.replace("d.delta_cx <> 0)", "d.delta_cx <> 0 and not (d.n_vertices = 8 and d.delta_cx < 0))")
+
+
+def _per_size_sql(pred):
+    single = "(tp + fn = 0 or tn + fp = 0)"
+    names = [f"round({m}, 6) + 0 as {m}" if m == "accuracy" else f"case when not {single} then round({m}, 6) + 0 end as {m}" for m in _CONDITIONAL]
+    return f"""with {pred}, {_score_sql('model, seed, n_vertices')}
+select model, seed, n_vertices, (fn + tp)::bigint as matching_wins, cast({single} as int) as single_class, {', '.join(names)}
+from me join au using (model, seed, n_vertices)"""
+
+
+@query("e14_metrics_per_size", _per_size_sql(PRED))
 def per_size(spark, sf_dir):
-    names = [m for m in metrics.METRICS if m not in ("cohen_kappa", "log_loss")]
-    return _round(metrics.per_size(fx.predictions(spark, sf_dir), MS), names)
+    return _round(metrics.per_size(fx.predictions(spark, sf_dir), MS), _CONDITIONAL)
+
+
+@query("e14_metrics_of_one_class", _per_size_sql(_ONE_CLASS))
+def per_size_one_class(spark, sf_dir):
+    p = fx.predictions(spark, sf_dir).where("not (n_vertices = 8 and delta_cx < 0)")
+    return _round(metrics.per_size(p, MS), _CONDITIONAL)
 
 
 _SEEDS = f"""{_score_sql('model, seed')}, lo as (unpivot (select model, seed, {', '.join(metrics.METRICS)} from me join au using (model, seed)) on {', '.join(metrics.METRICS)} into name metric value value)"""
@@ -168,15 +184,40 @@ def disagreement(spark, sf_dir):
     return _round(labelfree.disagreement(p, ["source_dataset", "n_vertices", "graph_id"], ["source_dataset", "n_vertices"]), ["ensemble_disagreement"])
 
 
-@query("e18_label_free_report", f"""with {PRED}, {_ATC}, r as (select source_dataset, n_vertices, graph_id, avg(pred) filter (where model = 0) as lead, cast(min(pred) <> max(pred) as int) as s, avg(conf) as c, avg(cast(conf >= threshold as int)) as a,
-  max(graph_id % 4) as oob from ta group by 1, 2, 3)
+# What lies outside the validation rows: features beyond their range, and the distance of
+# two features from them (of two, because SQL can say the inverse of two by two).
+_OUT = f"""ra as (select {', '.join(f'min({f}) as lo_{f}, max({f}) as hi_{f}' for f in FEATURES)},
+   avg(f_price) as mp, avg(f_var) as mv, var_samp(f_price) + 1e-6 as a, covar_samp(f_price, f_var) as b, var_samp(f_var) + 1e-6 as c from dec where delta_cx <> 0 and graph_id % 5 = 0),
+ ob as (select d.graph_id, {' + '.join(f'cast({f} < lo_{f} or {f} > hi_{f} as int)' for f in FEATURES)} as oob,
+   sqrt(greatest(0, (c * (f_price - mp) * (f_price - mp) - 2 * b * (f_price - mp) * (f_var - mv) + a * (f_var - mv) * (f_var - mv)) / (a * c - b * b))) as far
+   from dec d cross join ra where delta_cx <> 0 and d.graph_id % 5 <> 0)"""
+
+
+def _outlying(spark, sf_dir):
+    d = fx.decisions(spark, sf_dir).where("delta_cx <> 0")
+    val = written(d.where("graph_id % 5 = 0"), "validation")
+    out = scaling.out_of_range(d.where("graph_id % 5 <> 0"), scaling.ranges(val, FEATURES), FEATURES)
+    two = ["f_price", "f_var"]
+    centre = val.agg(*[F.avg(F.col(f).cast("double")) for f in two]).first()
+    return scaling.mahalanobis(out, two, list(centre), scaling.inverse_covariance(val, two))
+
+
+@query("t06_t07_outlying", f"with {DEC}, {_OUT} select graph_id, cast(oob as int) as features_oob, round(far, 6) as mahalanobis from ob")
+def outlying(spark, sf_dir):
+    out = _outlying(spark, sf_dir).select("graph_id", F.col("features_oob").cast("int").alias("features_oob"), "mahalanobis")
+    return _round(out, ["mahalanobis"])
+
+
+@query("e18_label_free_report", f"""with {PRED}, {_ATC}, {_OUT}, r as (select ta.source_dataset, ta.n_vertices, graph_id, avg(pred) filter (where model = 0) as lead, cast(min(pred) <> max(pred) as int) as s, avg(conf) as c, avg(cast(conf >= threshold as int)) as a,
+  max(oob) as oob, max(far) as far from ta join ob using (graph_id) group by 1, 2, 3)
 select source_dataset, n_vertices, count(*) as n_graphs, round(100 * avg(lead), 6) as pct_predicted_matching, round(avg(s), 6) as ensemble_disagreement, round(avg(c), 6) as mean_confidence,
-  round(avg(a), 6) as atc_estimated_accuracy, round(avg(oob), 6) as mean_features_oob from r group by 1, 2""")
+  round(avg(a), 6) as atc_estimated_accuracy, round(avg(oob), 6) as mean_features_oob, round(avg(far), 6) as mean_mahalanobis from r group by 1, 2""")
 def label_free_report(spark, sf_dir):
     val, target = _val_and_target(spark, sf_dir)
     th = labelfree.confidence_thresholds(val, ["model"])
-    out = labelfree.report(target.withColumn("features_oob", F.col("graph_id") % 4), th, ["source_dataset", "n_vertices"], "graph_id", 0, ["features_oob"])
-    return _round(out, ["pct_predicted_matching", "ensemble_disagreement", "mean_confidence", "atc_estimated_accuracy", "mean_features_oob"])
+    extra = written(_outlying(spark, sf_dir).select("graph_id", "features_oob", "mahalanobis"), "outlying")
+    out = labelfree.report(target.join(extra, "graph_id"), th, ["source_dataset", "n_vertices"], "graph_id", 0, ["features_oob", "mahalanobis"])
+    return _round(out, ["pct_predicted_matching", "ensemble_disagreement", "mean_confidence", "atc_estimated_accuracy", "mean_features_oob", "mean_mahalanobis"])
 
 
 @query("e19_per_model_predictions", f"""with {PRED}, d as (select source_dataset, n_vertices, graph_id, cast(min(pred) <> max(pred) as int) as s from pr where seed = 0 group by 1, 2, 3),
@@ -216,18 +257,29 @@ def nearest_by_class(spark, sf_dir):
     return _round(neighbors.class_gaps(_points(spark, sf_dir), KEYS, "graph_id"), ["same", "opposite"])
 
 
-@query("e20_overlap_report", f"""with {LABELLED}, {_PAIRS}, si as (select {G}, count(*) as n_graphs, count(*) filter (where y = 1) as n_pos, count(*) filter (where y = 0) as n_neg from d0 group by 1, 2),
+_OVERLAP = f"""with {LABELLED}, {_PAIRS}, si as (select {G}, count(*) as n_graphs, count(*) filter (where y = 1) as n_pos, count(*) filter (where y = 0) as n_neg from d0 group by 1, 2),
  pp as (select {G}, qid, qy, avg(cast(ny <> qy as int)) as dis, max(case when rank = 1 then cast(ny = 0 as int) end) as fneg from nn group by 1, 2, 3, 4),
  ne as (select {G}, avg(dis) filter (where qy = 1) as knn_disagree_pos, avg(dis) filter (where qy = 0) as knn_disagree_neg, avg(fneg) filter (where qy = 1) as pos_nn_is_neg from pp group by 1, 2),
  ga as (select {G}, qid, min(dist) filter (where ny = 1) as same, min(dist) filter (where ny = 0) as opp from pa where qy = 1 group by 1, 2, 3),
  ge as (select {G}, avg(cast(opp = 0 as int)) as collide_frac, avg(cast(opp = 0 or same / nullif(opp, 0) >= 1 as int)) filter (where same is not null) as embedded_frac, quantile_cont(same / nullif(opp, 0), 0.5) as sep_ratio_med from ga group by 1, 2)
-select si.*, 0 as single_class, {', '.join(f'round({c}, 6) as {c}' for c in ('knn_disagree_pos', 'knn_disagree_neg', 'pos_nn_is_neg', 'collide_frac', 'embedded_frac', 'sep_ratio_med'))}
-from si join ne using ({G}) join ge using ({G})""")
+select si.*, cast(n_pos = 0 or n_neg = 0 as int) as single_class, {', '.join(f'case when n_pos > 0 and n_neg > 0 then round({c}, 6) end as {c}' for c in ('knn_disagree_pos', 'knn_disagree_neg', 'pos_nn_is_neg', 'collide_frac', 'embedded_frac', 'sep_ratio_med'))}
+from si left join ne using ({G}) left join ge using ({G})"""
+
+
+@query("e20_overlap_report", _OVERLAP)
 def overlap(spark, sf_dir):
     out = neighbors.overlap_report(labelled_decisions(spark, sf_dir), KEYS, "graph_id", FEATURES, 10)
     return _round(out, ["knn_disagree_pos", "knn_disagree_neg", "pos_nn_is_neg", "collide_frac", "embedded_frac", "sep_ratio_med"])
 
 
+# The graphs on 16 vertices are of one class only.
+@query("e20_overlap_of_one_class", _OVERLAP.replace(", z as (", ", d1 as (select * from d0 where not (n_vertices = 16 and y = 1)), z as (").replace("from d0 window", "from d1 window").replace("from d0 group", "from d1 group"))
+def overlap_one_class(spark, sf_dir):
+    d = labelled_decisions(spark, sf_dir).where("not (n_vertices = 16 and y = 1)")
+    out = neighbors.overlap_report(d, KEYS, "graph_id", FEATURES, 10)
+    return _round(out, ["knn_disagree_pos", "knn_disagree_neg", "pos_nn_is_neg", "collide_frac", "embedded_frac", "sep_ratio_med"])
+
+
 _EMB_D = "round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) * (a.embedding[i]::double - b.embedding[i]::double)))), 9)"
 
 

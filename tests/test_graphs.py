@@ -215,11 +215,11 @@ def test_no_size_promises_and_mixed_sizes(spark):
 
 def test_batches_read_few_rows_of_a_growing_target(spark, tmp_path, monkeypatch):
     from graphloom.functions import graph6
-    from graphloom.catalog.graphs import sparse_graphs
+    from graphloom.catalog.graphs import dense_graphs
     from graphloom.streaming import incremental
 
-    lines = sparse_graphs(spark, "/root/testdata/sf0.001").select(graph6.to_text().alias("g6")).distinct().orderBy("g6").collect()
-    lines = [spark.createDataFrame(lines[a:b], "g6 string") for a, b in ((0, 60), (60, 400), (400, 406))]
+    lines = dense_graphs(spark, "/root/testdata/sf0.01").select(graph6.to_text().alias("g6")).distinct().orderBy("g6").collect()
+    lines = [spark.createDataFrame(lines[a:b], "g6 string") for a, b in ((0, 60), (60, 1200), (1200, 1206))]
     path, read = str(tmp_path / "table"), []
     kept = incremental.finished
 
@@ -233,7 +233,7 @@ def test_batches_read_few_rows_of_a_growing_target(spark, tmp_path, monkeypatch)
         incremental.append_features(some, path, with_gap=False, rows_per_part=8)
     table = incremental.existing_table(spark, path)
     size = table.count()
-    assert size > 100 and read[0] == 0 and read[2] <= 6 * 3 * 8 * 3 < size * 3
+    assert size > 800 and read[0] == 0 and read[2] <= 6 * 3 * 2 * 8 < size / 2
     depths = {r["depth"] for r in spark.read.parquet(path).select("depth").distinct().collect()}
     assert len(depths) > 1
     # A batch of which only some rows were written, and the whole batch again.

@@ -37,7 +37,7 @@ for _name, _model in (("m01_logistic", "logistic"), ("m03_tree_depth_3", "dtree_
 @query("m07_random_forest")
 def random_forest(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
-    out = learners.forest(40)(learners.vectors(train, FEATURES), learners.vectors(test, FEATURES))
+    out = learners.forest()(learners.vectors(train, FEATURES), learners.vectors(test, FEATURES))
     return _round(out.select("graph_id", "score", "pred"), ["score"])
 
 
@@ -94,8 +94,8 @@ def undersampled_logistic(spark, sf_dir):
 def grid_search(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
     scaled = written(learners.vectors(train, FEATURES, scaling.moments(train, FEATURES)).select("graph_id", "features", "y"), "scaled")
-    _, table = learners.sweep(scaled, "logistic", k=3)
-    return spark.createDataFrame([(str(p), round(float(m), 6)) for p, m in table], "params string, mcc double")
+    rows = [(name, str(p), float(m)) for name in ("logistic", "naive_bayes") for p, m in learners.sweep(scaled, name)[1]]
+    return _round(spark.createDataFrame(rows, "model string, params string, mcc double"), ["mcc"])
 
 
 @query("m11_training_curve")
@@ -103,7 +103,7 @@ def training_curve(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     fitted = scaling.moments(train, FEATURES)
     tr, va = (written(learners.vectors(x, FEATURES, fitted).select("y", "delta_cx", "features"), "curve") for x in (train, test))
-    return _round(learners.training_curve(tr, va, 3), metrics.METRICS)
+    return _round(learners.training_curve(tr, va, 20), metrics.METRICS)
 
 
 @query("m12_ensemble_report")
@@ -111,29 +111,29 @@ def ensemble_report(spark, sf_dir):
     features, labels = fx.decision_features(spark, sf_dir), fx.decision_labels(spark, sf_dir)
     labelled = sampling.label(prep.labelled(features, labels, ["delta_cx"]))
     out = experiments.ensemble_report(labelled, prep.unlabelled(features, labels), FEATURES,
-                                      ["logistic", "dtree_d2", "svm_rbf"], ["source_dataset", "n_vertices"])
+                                      ["logistic", "dtree_d2", "svm_rbf", "rand_forest", "grad_boost"], ["source_dataset", "n_vertices"])
     return _round(out, [c for c in out.columns if c not in ("source_dataset", "n_vertices", "n_graphs")])
 
 
 @query("m13_e21_forest_importance")
 def forest_importance(spark, sf_dir):
-    return _round(experiments.forest_importance(labelled_decisions(spark, sf_dir), FEATURES, 2, 20), ["importance", "share"])
+    return _round(experiments.forest_importance(labelled_decisions(spark, sf_dir), FEATURES, 5, 200), ["importance", "share"])
 
 
 @query("e22_model_ladder")
 def model_ladder(spark, sf_dir):
-    return _round(experiments.ladder(labelled_decisions(spark, sf_dir), FEATURES, ["logistic", "dtree_d1", "dtree_d2"], [0, 1]), ["mean", "std"])
+    return _round(experiments.ladder(labelled_decisions(spark, sf_dir), FEATURES, ["logistic", "dtree_d1", "dtree_d2", "dtree_d3"], [0, 1, 2, 3, 4]), ["mean", "std"])
 
 
 @query("e22_drop_one")
 def drop_one(spark, sf_dir):
-    return _round(experiments.drop_one(labelled_decisions(spark, sf_dir), FEATURES, [0, 1]), ["mean", "std", "drop"])
+    return _round(experiments.drop_one(labelled_decisions(spark, sf_dir), FEATURES, [0, 1, 2, 3, 4]), ["mean", "std", "drop"])
 
 
 @query("e22_feature_sets")
 def feature_sets(spark, sf_dir):
     sets = {"shape": ["f_size", "f_price"], "counts": ["f_items", "f_supp"], "full": FEATURES}
-    return _round(experiments.feature_sets(labelled_decisions(spark, sf_dir), sets, "dtree_d2", [0, 1]), ["mean", "std"])
+    return _round(experiments.feature_sets(labelled_decisions(spark, sf_dir), sets, "dtree_d2", [0, 1, 2, 3, 4]), ["mean", "std"])
 
 
 @query("e22_family_transfer")

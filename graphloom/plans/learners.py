@@ -3,29 +3,36 @@
 Entries of `LEARNERS` take `(train, rows)` with a vector column `features`, a 0/1
 column `y` (and `weight`, if weighting is asked) and return `rows` with `score` and
 `pred`. Boosting under three names is one engine with three presets; the RBF machine
-is approximated by random Fourier features; the network has sigmoid units only."""
+stands on landmarks; the network has sigmoid units only. Learners that Spark ML hasn't
+got are estimators here, so that one cross-validation covers all grids."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
+import pyarrow as pa
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.scalars import safe_div, sigmoid
-from graphloom.operators import metrics, reports, sampling, scaling
+from graphloom.operators import metrics, neighbors, reports, sampling, scaling
 from graphloom.operators.ordering import running_totals
 from graphloom.session import written
 
+#: Trees of forests grow until their leaves are pure, or to the depth Spark allows.
+DEPTH = 30
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -67,7 +74,7 @@ def tree(depth: int) -> Learner:
 
 def forest(trees: int = 200) -> Learner:
     return lambda train, rows: _scored(
-        RandomForestClassifier(numTrees=trees, maxDepth=8, seed=0, **_common(train)).fit(train), rows)
+        RandomForestClassifier(numTrees=trees, maxDepth=DEPTH, seed=0, **_common(train)).fit(train), rows)
 
 
 def boosting(depth: int, rounds: int) -> Learner:
@@ -87,25 +94,133 @@ def network(hidden: list[int]) -> Learner:
     return run
 
 
-def fourier(df: DataFrame, gamma: float, width: int, components: int = 48, seed: int = 0) -> DataFrame:
-    """Replaces `features` by random Fourier features of the RBF kernel."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2 * gamma), size=(components, width))
-    b = rng.uniform(0, 2 * np.pi, size=components)
-    x = df.withColumn("__x", vector_to_array("features")).drop("features")
-    names = []
-    for j in range(components):
-        total = F.lit(float(b[j]))
-        for i in range(width):
-            total = total + F.col("__x")[i] * float(w[j, i])
-        names.append(f"__r{j}")
-        x = x.withColumn(names[-1], F.cos(total))
-    return VectorAssembler(inputCols=names, outputCol="features").transform(x).drop("__x", *names)
+class Applied(Model):
+    """A fitted learner of this module: fn(rows) gives rows with score and pred."""
+
+    def __init__(self, fn: Callable[[DataFrame], DataFrame]):
+        super().__init__()
+        self.fn = fn
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = self.fn(dataset.withColumn("__features", F.col("features")))
+        return out.drop("features").withColumnRenamed("__features", "features").withColumn("prediction", F.col("pred").cast("double"))
+
+
+def landmarks(train: DataFrame, most: int) -> np.ndarray:
+    """At most `most` different points of the training rows, those with the smallest
+    hashes: a bounded sample that spans the kernel's feature space."""
+    points = train.select(vector_to_array("features").alias("x")).distinct()
+    rows = points.orderBy(F.xxhash64("x"), "x").limit(most).collect()
+    return np.array([r["x"] for r in rows], float)
+
+
+class KernelMachine(Estimator):
+    """RBF machine with hinge loss: Nystroem features of hashed landmarks, a linear
+    support vector machine on them, and a logistic curve over its margins for scores.
+
+    With as many landmarks as training points the kernel is the exact one. On 200 points
+    on two rings it takes the same side as an exact dual solver on 98% or more (tests)."""
+
+    gamma = Param(Params._dummy(), "gamma", "width of the kernel; 0 is 1 / number of features", TypeConverters.toFloat)
+    c = Param(Params._dummy(), "c", "weight of the losses", TypeConverters.toFloat)
+    points = Param(Params._dummy(), "points", "landmarks at most", TypeConverters.toInt)
+
+    def __init__(self, gamma: float = 0.0, c: float = 1.0, points: int = 256):
+        super().__init__()
+        self._setDefault(gamma=0.0, c=1.0, points=256)
+        self._set(gamma=gamma, c=c, points=points)
+
+    def _fit(self, train: DataFrame) -> Applied:
+        at = landmarks(train, self.getOrDefault(self.points))
+        gamma = self.getOrDefault(self.gamma) or 1.0 / at.shape[1]
+        square = ((at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+        values, vectors_ = np.linalg.eigh(np.exp(-gamma * square))
+        kept = values > 1e-8 * values.max()
+        turn = vectors_[:, kept] / np.sqrt(values[kept])
+
+        def run(x: pa.Array) -> pa.Array:
+            rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+            far = (rows**2).sum(axis=1)[:, None] - 2 * rows @ at.T + (at**2).sum(axis=1)[None, :]
+            out = np.exp(-gamma * np.maximum(far, 0)) @ turn
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
+
+        run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+        mapped = F.arrow_udf(run, T.ArrayType(T.DoubleType()))
+
+        def image(df: DataFrame) -> DataFrame:
+            return df.withColumn("features", array_to_vector(mapped(vector_to_array("features"))))
+
+        given = _common(train) | {"featuresCol": "features"}
+        inside = written(image(train.select("features", *[c for c in ("y", "weight") if c in train.columns])), "kernel")
+        # The penalty of a squared norm per row: 1 / (C N), as for the logistic learner.
+        machine = LinearSVC(regParam=1.0 / (self.getOrDefault(self.c) * max(1, inside.count())), maxIter=100, standardization=False, **given).fit(inside)
+        margins = VectorAssembler(inputCols=["__margin"], outputCol="features")
+
+        def placed(df: DataFrame) -> DataFrame:
+            out = machine.transform(df).withColumn("__margin", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "prediction")
+            return margins.transform(out)
+
+        curve = LogisticRegression(labelCol="y", featuresCol="features", **({"weightCol": "weight"} if "weight" in train.columns else {})).fit(placed(inside))
+
+        def score(rows: DataFrame) -> DataFrame:
+            out = curve.transform(placed(image(rows)))
+            out = out.withColumn("score", vector_to_array("probability")[1]).withColumn("pred", (F.col("__margin") > 0).cast("int"))
+            return out.drop("rawPrediction", "probability", "prediction", "__margin", "features")
+
+        return Applied(score)
+
+
+def as_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The vector's numbers as columns __f0, __f1, ..."""
+    width = df.schema["features"].metadata["ml_attr"]["num_attrs"]
+    names = [f"__f{i}" for i in range(width)]
+    x = df.withColumn("__x", vector_to_array("features"))
+    return x.withColumns({name: F.col("__x")[i] for i, name in enumerate(names)}).drop("__x"), names
+
+
+class GaussianBayes(Estimator):
+    """The SQL naive Bayes as an estimator."""
+
+    smoothing = Param(Params._dummy(), "smoothing", "share of the largest variance added to all", TypeConverters.toFloat)
+
+    def __init__(self, smoothing: float = 1e-9):
+        super().__init__()
+        self._setDefault(smoothing=1e-9)
+        self._set(smoothing=smoothing)
+
+    def _fit(self, train: DataFrame) -> Applied:
+        known, names = as_columns(train)
+        known, smoothing = written(known, "bayes"), self.getOrDefault(self.smoothing)
+        return Applied(lambda rows: naive_bayes(known, as_columns(rows)[0], names, smoothing).drop(*names))
+
+
+class Neighbours(Estimator):
+    """The exact nearest neighbours as an estimator; rows need a key of their own."""
+
+    k = Param(Params._dummy(), "k", "neighbours asked", TypeConverters.toInt)
+    p = Param(Params._dummy(), "p", "order of the distance", TypeConverters.toFloat)
+    weighted = Param(Params._dummy(), "weighted", "weights 1 / distance", TypeConverters.toBoolean)
+
+    def __init__(self, k: int = 5, p: float = 2.0, weighted: bool = False, key: str = "graph_id"):
+        super().__init__()
+        self._setDefault(k=5, p=2.0, weighted=False)
+        self._set(k=k, p=p, weighted=weighted)
+        self.key = key
+
+    def _fit(self, train: DataFrame) -> Applied:
+        known = written(train.select(self.key, "y", vector_to_array("features").alias("__x")), "known")
+        k, p, weighted = (self.getOrDefault(x) for x in (self.k, self.p, self.weighted))
+
+        def score(rows: DataFrame) -> DataFrame:
+            asked = rows.withColumn("__x", vector_to_array("features"))
+            votes = neighbors.knn_vote(asked, known, [], self.key, F.col("__x"), k, weighted, int(p) if p == int(p) else p)
+            return rows.join(votes.withColumnRenamed("qid", self.key), self.key)
+
+        return Applied(score)
 
 
 def rbf_machine(train: DataFrame, rows: DataFrame) -> DataFrame:
-    width = train.schema["features"].metadata["ml_attr"]["num_attrs"]
-    return logistic(fourier(train, 1.0 / width, width), fourier(rows, 1.0 / width, width))
+    return KernelMachine().fit(train).transform(rows).drop("features", "prediction")
 
 
 # name -> (learner, wants standardised features)
@@ -215,11 +330,15 @@ def grids(train_rows: int) -> dict:
     lr = LogisticRegression(labelCol="y", standardization=False)
     dt = DecisionTreeClassifier(labelCol="y", seed=0)
     rf = RandomForestClassifier(labelCol="y", seed=0)
-    gb = GBTClassifier(labelCol="y", seed=0, maxIter=20)
+    gb = GBTClassifier(labelCol="y", seed=0, maxIter=50)
+    nb, kn, km = GaussianBayes(), Neighbours(), KernelMachine()
     return {
         "logistic": (lr, ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * train_rows) for c in (0.1, 1.0, 10.0)]).build()),
         "dtree": (dt, ParamGridBuilder().addGrid(dt.maxDepth, [1, 2, 3, 5, 8]).addGrid(dt.minInstancesPerNode, [1, 5, 20]).build()),
         "rand_forest": (rf, ParamGridBuilder().addGrid(rf.numTrees, [50, 100]).addGrid(rf.maxDepth, [8, 12]).build()),
+        "naive_bayes": (nb, ParamGridBuilder().addGrid(nb.smoothing, [1e-11, 1e-9, 1e-7]).build()),
+        "knn": (kn, ParamGridBuilder().addGrid(kn.k, [3, 5, 11]).addGrid(kn.p, [1.0, 2.0]).addGrid(kn.weighted, [False, True]).build()),
+        "svm_rbf": (km, ParamGridBuilder().addGrid(km.c, [0.1, 1.0, 10.0]).addGrid(km.gamma, [0.0, 0.5]).build()),
         "grad_boost": (gb, ParamGridBuilder().addGrid(gb.maxDepth, [2, 3]).addGrid(gb.stepSize, [0.05, 0.1]).build()),
     }
 
@@ -228,7 +347,7 @@ def sweep(train: DataFrame, name: str, key: str = "graph_id", k: int = 5, parall
     """Grid search by stratified folds and MCC; `train` has features and y. Returns the
     best fitted model and `[(parameters, mean MCC)]`."""
     estimator, grid = grids(train.count())[name]
-    folded = written(sampling.folds(train, key, ["y"], k).select("features", "y", "fold"), "folds")
+    folded = written(sampling.folds(train, key, ["y"], k).select(key, "features", "y", "fold"), "folds")
     search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=MccEvaluator(), numFolds=k,
                             foldCol="fold", parallelism=parallelism).fit(folded)
     table = [({p.name: v for p, v in g.items()}, m) for g, m in zip(grid, search.avgMetrics)]
@@ -254,7 +373,7 @@ def objective_history(train: DataFrame) -> list[float]:
 
 def cost_forest(train: DataFrame, rows: DataFrame, target: str = "delta_cx", trees: int = 200) -> DataFrame:
     """Random forest regression of the cost gap: `rows` with `predicted`."""
-    model = RandomForestRegressor(numTrees=trees, maxDepth=8, seed=0, labelCol=target).fit(train)
+    model = RandomForestRegressor(numTrees=trees, maxDepth=DEPTH, seed=0, labelCol=target).fit(train)
     return model.transform(rows).withColumnRenamed("prediction", "predicted").drop("features")
 
 

@@ -39,6 +39,14 @@ def existing_table(spark: SparkSession, path: str, schema: T.StructType = FEATUR
     return _written_so_far(spark, path, T.StructType([*schema, *LAYOUT])).drop("depth", "prefix")
 
 
+def _depths(spark: SparkSession, path: str) -> list[int]:
+    """The depths of the folders there are, as the file system lists them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(hadoop)] if files.exists(hadoop) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("depth="))
+
+
 def _log(path: str) -> str:
     """One row (depth, n) per batch, beside the table. A batch missing here only makes
     later folders larger."""
@@ -54,11 +62,11 @@ def finished(spark: SparkSession, path: str, prefixes: list[str]) -> DataFrame:
     schema = T.StructType([T.StructField("graph_id", T.StringType()), *LAYOUT])
     table = _written_so_far(spark, path, schema)
     wanted = []
-    for depth in range(MAX_DEPTH + 1):
+    for depth in _depths(spark, path):
         some = sorted({prefix[:depth] for prefix in prefixes})
         among = "" if len(some) == 16**depth else " and prefix in (" + ", ".join(f"'p{p}'" for p in some) + ")"
         wanted.append(f"(depth = {depth}{among})")
-    return table.where(" or ".join(wanted)).select("graph_id")
+    return table.where(" or ".join(wanted) or "false").select("graph_id")
 
 
 def append_features(lines: DataFrame, path: str, with_gap: bool = True, rows_per_part: int = ROWS_PER_PART) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog.registry import query
 from graphloom.catalog.sqltext import BOTH, GD, GS, GW, degrees, directed, distances
 from graphloom.functions.scalars import bit_text, hamming_text
-from graphloom.operators import dense, hamming, pauli, refinement, spectral, topology
+from graphloom.operators import dense, hamming, matching, pauli, refinement, spectral, topology
 from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency
 from graphloom.sources import fixtures as fx
 
@@ -83,6 +83,14 @@ def bipartite(spark, sf_dir):
     return topology.with_components(all_small(spark, sf_dir)).select("graph_id", "is_bipartite")
 
 
+@query("f03_bipartite_wide", f"""with recursive {GW}, {directed('gw')},
+ parity as (select graph_id, i as s, i as t, 0 as par from (select distinct graph_id from gw) g cross join range(128) r(i)
+   union select c.graph_id, c.s, e.t, 1 - c.par from parity c join dir e on e.graph_id = c.graph_id and e.s = c.t)
+select graph_id, cast(max(case when s = t and par = 1 then 1 else 0 end) = 0 as int) as is_bipartite from parity group by graph_id""")
+def bipartite_wide(spark, sf_dir):
+    return topology.with_components(wide_graphs(spark, sf_dir)).select("graph_id", "is_bipartite")
+
+
 @query("f04_connected", f"""with recursive {BOTH}, {directed('gb')},
  reach as (select graph_id, i as s, i as t from (select distinct graph_id from gb) g cross join range(8) r(i)
    union select r.graph_id, r.s, e.t from reach r join dir e on e.graph_id = r.graph_id and e.s = r.t),
@@ -170,6 +178,21 @@ def clique_number(spark, sf_dir):
     return topology.with_clique(dense_graphs(spark, sf_dir)).select("graph_id", "clique_number")
 
 
+@query("f08_clustering_wide", f"with {GW}, {_clustering('gw', 128)}")
+def clustering_wide(spark, sf_dir):
+    return topology.with_triangles(wide_graphs(spark, sf_dir)).select("graph_id", _r("avg_clustering"))
+
+
+@query("f09_clique_number_wide", f"""with recursive {GW}, clique as (
+   select graph_id, v as last, [u, v] as members, 2 as k from gw
+   union all select c.graph_id, e.v, list_append(c.members, e.v), c.k + 1 from clique c
+   join gw e on e.graph_id = c.graph_id and e.u = c.last
+   where (select count(*) from gw f where f.graph_id = c.graph_id and f.v = e.v and list_contains(c.members, f.u)) = c.k)
+select graph_id, cast(max(k) as int) as clique_number from clique group by graph_id""")
+def clique_number_wide(spark, sf_dir):
+    return topology.with_clique(wide_graphs(spark, sf_dir)).select("graph_id", "clique_number")
+
+
 def _matching(edges: str) -> str:
     return f"""cover as (select distinct graph_id, 0 as mask, 0 as k from {edges}
    union select c.graph_id, c.mask | (1 << cast(e.u as int)) | (1 << cast(e.v as int)), c.k + 1 from cover c
@@ -188,6 +211,37 @@ def matching_by_rank(spark, sf_dir):
     return dense.large_matching(sparse_graphs(spark, sf_dir)).select("graph_id", "max_matching_size")
 
 
+_BARRIER = f"""cover as (select distinct graph_id, 0 as mask, 0 as k from gb
+   union select c.graph_id, c.mask | (1 << cast(e.u as int)) | (1 << cast(e.v as int)), c.k + 1 from cover c join gb e on e.graph_id = c.graph_id
+   where (c.mask & ((1 << cast(e.u as int)) | (1 << cast(e.v as int)))) = 0),
+ nu as materialized (select graph_id, max(k) as k from cover group by 1),
+ vert as materialized (select nu.graph_id, unnest([0, 1, 2, 3, 4, 5, 6, 7]) as v from nu),
+ missed as materialized (select distinct p.graph_id, p.v from vert p join nu on nu.graph_id = p.graph_id join cover c on c.graph_id = p.graph_id and c.k = nu.k where (c.mask & (1 << p.v)) = 0),
+ near as materialized (select distinct d.graph_id, d.t as v from dir d join missed m on m.graph_id = d.graph_id and m.v = d.s),
+ bar as materialized (select graph_id, v from near except select graph_id, v from missed),
+ kept as materialized (select graph_id, v from vert except select graph_id, v from bar),
+ inner_links as materialized (select d.graph_id, d.s, d.t from dir d join kept a on a.graph_id = d.graph_id and a.v = d.s join kept b on b.graph_id = d.graph_id and b.v = d.t),
+ reach as (select graph_id, v as s, v as t from kept union select r.graph_id, r.s, e.t from reach r join inner_links e on e.graph_id = r.graph_id and e.s = r.t),
+ low as (select graph_id, t, min(s) as part from reach group by 1, 2),
+ parts as (select graph_id, part, count(*) as n from low group by 1, 2),
+ odd as (select graph_id, count(*) filter (where n % 2 = 1) as n from parts group by 1),
+ bars as (select graph_id, count(*) as n from bar group by 1)"""
+
+
+@query("f10_matching_certificate", f"""with recursive {BOTH}, {directed('gb')}, {_BARRIER}
+select graph_id, cast(nu.k as int) as max_matching_size, cast(coalesce(bars.n, 0) as int) as n_barrier, cast(coalesce(odd.n, 0) as int) as odd_parts,
+  cast((8 + coalesce(bars.n, 0) - coalesce(odd.n, 0)) // 2 as int) as matching_bound, cast(1 as int) as certified
+from nu left join bars using (graph_id) left join odd using (graph_id)""")
+def matching_certificate(spark, sf_dir):
+    out = matching.certified(all_small(spark, sf_dir))
+    return out.select("graph_id", "max_matching_size", F.size("barrier").alias("n_barrier"), "odd_parts", "matching_bound", "certified")
+
+
+@query("f10_matching_certificate_wide", f"with {GW} select distinct graph_id, cast(128 as int) as n, cast(1 as int) as certified from gw")
+def matching_certificate_wide(spark, sf_dir):
+    return matching.certified(wide_graphs(spark, sf_dir)).select("graph_id", "n", "certified")
+
+
 @query("f11_chromatic_index_bound", f"""with {BOTH}, {degrees('gb', 8)}
 select graph_id, cast(max(d) as int) as chromatic_index_lower_bound from deg group by graph_id""")
 def chromatic_bound(spark, sf_dir):

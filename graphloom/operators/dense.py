@@ -45,8 +45,10 @@ def _map_batches(df: DataFrame, out: list[T.StructField], kernel, cell_bytes: in
     schema = T.StructType(df.schema.fields + out)
 
     def run(batches):
-        arrow_types = [pa.list_(pa.float64()) if isinstance(f.dataType, T.ArrayType)
-                       else pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int64() for f in out]
+        def number(t):
+            return pa.float64() if isinstance(t, T.DoubleType) else pa.int64()
+
+        arrow_types = [pa.list_(number(f.dataType.elementType)) if isinstance(f.dataType, T.ArrayType) else number(f.dataType) for f in out]
         for batch in batches:
             values: list[list] = [[None] * batch.num_rows for _ in out]
             for rows, stack in _stacks(batch, cell_bytes):
@@ -182,3 +184,46 @@ def large_matching(packed: DataFrame) -> DataFrame:
     out = [T.StructField("max_matching_size", T.LongType())]
     done = _map_batches(packed, out, _matching, 8 * 6)
     return done.withColumn("max_matching_size", F.col("max_matching_size").cast("int"))
+
+
+def _kernel_support(stack: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of a random skew-symmetric matrix on the links, modulo a prime, and at which
+    vertices some vector of its kernel isn't zero. The elimination clears each pivot's
+    column above it too, so the kernel can be read from the columns without a pivot."""
+    b, n, _ = stack.shape
+    rng = np.random.default_rng(seed)
+    draw = np.triu(rng.integers(1, _PRIME, size=(n, n), dtype=np.int64), 1)
+    a = stack.astype(np.int64) * (draw - draw.T) % _PRIME
+    rank, every, rows = np.zeros(b, dtype=np.int64), np.arange(b), np.arange(n)[None, :]
+    pivot_of = np.full((b, n), -1)  # of each column, the row that holds its pivot
+    for column in range(n):
+        open_ = (rows >= rank[:, None]) & (a[:, :, column] != 0)
+        g = every[open_.any(axis=1)]
+        if not len(g):
+            continue
+        target, pivot = rank[g], open_[g].argmax(axis=1)
+        top, row = a[g, target].copy(), a[g, pivot].copy()
+        row = row * _inverse(row[:, column])[:, None] % _PRIME
+        a[g, pivot] = top
+        a[g, target] = row
+        factor = np.where(rows != target[:, None], a[g, :, column], 0)
+        a[g] = (a[g] - factor[:, :, None] * row[:, None, :]) % _PRIME
+        pivot_of[g, column] = target
+        rank[g] += 1
+    free = pivot_of < 0
+    mixed = ((a != 0) & free[:, None, :]).any(axis=2)  # rows with a free column
+    return rank, free | (np.take_along_axis(mixed, np.maximum(pivot_of, 0), 1) & ~free)
+
+
+def missable(packed: DataFrame, seed: int = 1) -> DataFrame:
+    """Adds `max_matching_size` and `missable`, the vertices that some largest matching
+    leaves out: those where the kernel of the random skew matrix isn't zero. Both hold
+    but for a chance below n^2 / 2^31; `matching.certified` tells."""
+    out = [T.StructField("max_matching_size", T.LongType()), T.StructField("missable", T.ArrayType(T.LongType()))]
+
+    def kernel(stack):
+        rank, free = _kernel_support(stack, seed)
+        return rank // 2, [np.flatnonzero(x) for x in free]
+
+    done = _map_batches(packed, out, kernel, 8 * 6)
+    return done.withColumns({"max_matching_size": F.col("max_matching_size").cast("int"), "missable": F.col("missable").cast("array<int>")})

@@ -41,6 +41,10 @@ def _sums_narrow(packed: DataFrame) -> DataFrame:
     )
 
 
+#: What pauli_columns adds.
+COLUMNS = ("pauli_num_terms", "pauli_wt_mean", "pauli_wt_max", "pauli_wt_std")
+
+
 def pauli_columns(packed: DataFrame) -> DataFrame:
     """pauli_num_terms and mean, maximum and population deviation of the weights; NULL
     where n is not a power of two."""

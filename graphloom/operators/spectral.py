@@ -27,8 +27,8 @@ def gap_column(df: DataFrame) -> DataFrame:
     return df.withColumn("spectral_gap", F.expr("coalesce(get(lap, 1), if(lap is null, null, 0D))"))
 
 
-def basic_columns() -> dict[str, Column]:
-    exprs = {
+def basic_expressions() -> dict[str, str]:
+    return {
         "spec_lap_fiedler": "coalesce(get(lap, 1), if(lap is null, null, 0D))",
         "spec_lap_mode2": "coalesce(get(lap, 2), if(lap is null, null, 0D))",
         "spec_lap_max": "element_at(lap, -1)",
@@ -41,10 +41,9 @@ def basic_columns() -> dict[str, Column]:
         "spec_adj_energy_norm": f"{_sum('adj', 'abs(x)')} / n",
         "spec_adj_spread": "element_at(adj, -1) - adj[0]",
     }
-    return {name: F.expr(e) for name, e in exprs.items()}
 
 
-def rich_columns() -> dict[str, Column]:
+def rich_expressions() -> dict[str, str]:
     exprs = {
         "spec_nlap_min_nonzero": "coalesce(get(nlap, 1), if(nlap is null, null, 0D))",
         "spec_nlap_max": "element_at(nlap, -1)",
@@ -55,7 +54,15 @@ def rich_columns() -> dict[str, Column]:
     }
     for t in HEAT_TIMES:
         exprs[f"spec_heat_t{str(t).replace('.', '_')}"] = f"{_sum('lap', f'exp(-{t}D * x)')} / n"
-    return {name: F.expr(e) for name, e in exprs.items()}
+    return exprs
+
+
+def basic_columns() -> dict[str, Column]:
+    return {name: F.expr(e) for name, e in basic_expressions().items()}
+
+
+def rich_columns() -> dict[str, Column]:
+    return {name: F.expr(e) for name, e in rich_expressions().items()}
 
 
 def summaries(with_spectra: DataFrame) -> DataFrame:

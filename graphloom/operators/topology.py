@@ -13,7 +13,7 @@ from graphloom.operators.packed import bind, by_width, with_adjacency, with_arou
 SMALL_MATCHING = 16
 
 
-def _degrees(df: DataFrame, wide: bool) -> DataFrame:
+def degrees(df: DataFrame, wide: bool) -> DataFrame:
     s = sets(wide)
     return df.withColumn("deg", F.expr(f"transform(adj, a -> {s.size('a')})")).withColumn(
         "m", F.expr("cast(aggregate(deg, 0L, (acc, d) -> acc + d) div 2 as bigint)")
@@ -152,26 +152,10 @@ def small_matching_column(df: DataFrame) -> DataFrame:
     )
 
 
-def topology(packed: DataFrame, with_clique: bool = False) -> DataFrame:
-    """All shape columns except the matching, for graphs of any size."""
-
-    def compute(df: DataFrame, wide: bool) -> DataFrame:
-        df = _degrees(with_around(with_adjacency(df, wide), wide), wide)
-        df = degree_columns(size_columns(df))
-        df = triangle_columns(df, wide)
-        df = cycle_columns(component_columns(df, wide))
-        df = distance_columns(df, wide)
-        if with_clique:
-            df = clique_column(df, wide)
-        return df.drop("adj", "around", "deg", "tri2")
-
-    return by_width(packed, compute)
-
-
 def with_degrees(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
-        lambda df, wide: degree_columns(size_columns(_degrees(with_adjacency(df, wide), wide))).drop("adj", "deg"),
+        lambda df, wide: degree_columns(size_columns(degrees(with_adjacency(df, wide), wide))).drop("adj", "deg"),
     )
 
 
@@ -179,7 +163,7 @@ def with_triangles(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: triangle_columns(
-            _degrees(with_around(with_adjacency(df, wide), wide), wide), wide
+            degrees(with_around(with_adjacency(df, wide), wide), wide), wide
         ).drop("adj", "around", "deg", "tri2"),
     )
 
@@ -188,7 +172,7 @@ def with_components(packed: DataFrame) -> DataFrame:
     return by_width(
         packed,
         lambda df, wide: cycle_columns(
-            component_columns(_degrees(with_adjacency(df, wide), wide), wide)
+            component_columns(degrees(with_adjacency(df, wide), wide), wide)
         ).drop("adj", "deg"),
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graphloom.operators import dense, pauli, prep, spectral, topology
+from graphloom.operators import dense, prep, topology
 from graphloom.operators.packed import with_adjacency
+from graphloom.operators.pauli import COLUMNS as PAULI
+from graphloom.operators.steps import FEATURES, SHAPE, SPECTRA, Registry
 from graphloom.sources import g6
 from graphloom.functions.graph6 import graph_key, pack_text
 from graphloom.session import observed, written
@@ -22,13 +26,19 @@ def max_matching(packed: DataFrame) -> DataFrame:
     return small.unionByName(dense.large_matching(packed.where(F.col("n") > limit)))
 
 
-def shaped(packed: DataFrame) -> DataFrame:
-    """Shape columns and the matching of connected graphs."""
-    return max_matching(topology.topology(packed).where("is_connected = 1"))
+def shaped(packed: DataFrame, extra: Sequence[str] = (), features: Registry = FEATURES) -> DataFrame:
+    """Shape columns, those in `extra` and the matching of connected graphs."""
+    more = [c for c in extra if c not in SHAPE]
+    late = [c for c in more if features.order([c])[-1].whole]  # beside the matching, on connected graphs only
+    early = [c for c in more if c not in late]
+    matched = max_matching(features.columns(packed, [*SHAPE, *early]).where("is_connected = 1"))
+    return features.columns(matched, late) if late else matched
 
 
-def feature_table(lines: DataFrame, existing: DataFrame | None = None, with_gap: bool = True) -> DataFrame:
-    """The 15-column feature table of the connected graphs in `lines (g6)`.
+def feature_table(lines: DataFrame, existing: DataFrame | None = None, with_gap: bool = True,
+                  extra: Sequence[str] = (), features: Registry = FEATURES) -> DataFrame:
+    """The 15-column feature table of the connected graphs in `lines (g6)`, and the
+    registered features named in `extra` after them.
 
     Copies of a text are one graph. Graphs already in `existing` are dropped before
     anything is computed. After the one shuffle that merges copies all work is
@@ -36,11 +46,11 @@ def feature_table(lines: DataFrame, existing: DataFrame | None = None, with_gap:
     graphs = g6.distinct_packed(lines).drop("copies")
     if existing is not None:
         graphs = prep.unlabelled(graphs, existing)
-    out = shaped(graphs).withColumn("n_vertices", F.col("n"))
-    if with_gap:
-        out = spectral.gap_column(dense.spectra(out, ("lap",))).drop("lap")
     columns = [f.name for f in FEATURE_SCHEMA if with_gap or f.name != "spectral_gap"]
-    return out.select(*[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in columns])
+    more = [c for c in extra if c not in columns]
+    gap = ["spectral_gap"] if with_gap else []
+    out = shaped(graphs, [*gap, *more], features).withColumn("n_vertices", F.col("n"))
+    return out.select(*[F.round(c, 6).alias(c) if c in ROUNDED else F.col(c) for c in [*columns, *more]])
 
 
 def line_outcomes(lines: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -84,10 +94,18 @@ def counted_graphs(lines: DataFrame, existing: DataFrame | None = None) -> tuple
     return kept, observed(read, judged)
 
 
+def gated(packed: DataFrame, gates: Mapping[str, int], features: Registry = FEATURES) -> DataFrame:
+    """`(graph_id, n)` and the registered features named in `gates`, each for graphs up
+    to its number of vertices and NULL beyond: one row per graph. The gates come before
+    the steps; features with one gate are computed together."""
+    out = packed.select("graph_id", "n")
+    for most in sorted(set(gates.values())):
+        names = [c for c, gate in gates.items() if gate == most]
+        some = features.columns(packed.where(F.col("n") <= most), names).select("graph_id", *names)
+        out = out.join(some, "graph_id", "left")
+    return out.select("graph_id", "n", *gates)
+
+
 def gated_enrichment(packed: DataFrame, spectral_max: int, pauli_max: int) -> DataFrame:
-    """Spectral and Pauli columns within their size gates, NULL beyond: one row per
-    graph. The gates come before the costly steps."""
-    spectra = spectral.summaries(dense.spectra(packed.where(F.col("n") <= spectral_max))).drop("n", "tri")
-    terms = pauli.pauli_columns(packed.where(F.col("n") <= pauli_max)).drop("n", "tri")
-    keys = packed.select("graph_id", "n")
-    return keys.join(spectra, "graph_id", "left").join(terms, "graph_id", "left")
+    """Spectral and Pauli columns within their size gates."""
+    return gated(packed, dict.fromkeys(SPECTRA, spectral_max) | dict.fromkeys(PAULI, pauli_max))

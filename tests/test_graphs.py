@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import graph6
 from graphloom.operators import dense, generate, pauli, refinement, spectral, topology
 from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency, with_around
+from graphloom.operators.steps import FEATURES, SHAPE, GraphFeature, Registry
 from graphloom.plans import features
 from graphloom.sources import g6
 
@@ -50,7 +51,7 @@ def by_id(df):
 
 
 def test_golden_shapes(spark):
-    rows = by_id(features.max_matching(topology.topology(packed_of(spark, GOLDEN), with_clique=True)))
+    rows = by_id(features.max_matching(FEATURES.columns(packed_of(spark, GOLDEN), [*SHAPE, "clique_number"])))
     want = {  # m, triangles, diameter, matching, connected, bipartite, tree, regular, clique
         "K2": (1, 0, 1, 1, 1, 1, 1, 1, 2), "K3": (3, 1, 1, 1, 1, 0, 0, 1, 3), "star": (7, 0, 2, 1, 1, 1, 1, 0, 2),
         "K8": (28, 56, 1, 4, 1, 0, 0, 1, 8), "Q3": (12, 0, 3, 4, 1, 1, 0, 1, 2), "P8": (7, 0, 7, 4, 1, 1, 1, 0, 2),
@@ -106,7 +107,7 @@ def brute(n, edges):
 
 def test_narrow_and_wide_against_brute_force(spark):
     graphs = random_graphs([7, 33, 64, 65, 90, 130], 4)
-    rows = by_id(topology.topology(packed_of(spark, graphs)))
+    rows = by_id(FEATURES.columns(packed_of(spark, graphs), SHAPE))
     for k, (n, e) in graphs.items():
         r = rows[k]
         assert (r["m"], r["is_connected"], r["diameter"], r["triangle_count"]) == brute(n, e), k
@@ -253,3 +254,32 @@ def test_counters_of_lines_are_those_of_the_outcomes(spark):
     assert {k: v for k, v in stats.items() if v and k != "lines"} == {k: v for k, v in want.items() if v} and stats["lines"] == 5
     none, stats = features.counted_graphs(lines, table)
     assert none.count() == 0 and stats["parsed"] == 0 and stats["duplicate"] == 3
+
+
+def test_a_feature_of_ones_own(spark):
+    """Registered from outside, it takes what other steps give, and the rest is as before."""
+    own = FEATURES.copy()
+    own.register(GraphFeature(("n_leaves",), ("n", "deg"), lambda df, wide: df.withColumn("n_leaves", F.expr("size(filter(deg, d -> d = 1))"))))
+    own.register(GraphFeature(("leaf_share",), ("n", "n_leaves"), lambda df, wide: df.withColumn("leaf_share", F.expr("n_leaves / n")), True))
+    graphs = {k: g for k, g in GOLDEN.items() if k in ("star", "P8", "K8")} | {"P80": (80, [(i, i + 1) for i in range(79)])}
+    lines = packed_of(spark, graphs).select(graph6.to_text().alias("g6"))
+    table = features.feature_table(lines, with_gap=False, extra=("n_leaves", "leaf_share"), features=own)
+    assert sorted((r.n_vertices, r.triangle_count, r.n_leaves, r.leaf_share) for r in table.collect()) == [
+        (8, 0, 2, 0.25), (8, 0, 7, 0.875), (8, 56, 0, 0.0), (80, 0, 2, 0.025)]
+    plain = features.feature_table(lines, with_gap=False)
+    assert sorted(map(tuple, table.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    gated = by_id(features.gated(packed_of(spark, graphs), {"n_leaves": 64, "diameter": 200, "leaf_share": 64}, own))
+    assert {k: (r.n_leaves, r.diameter) for k, r in gated.items()} == {"star": (7, 2), "P8": (2, 7), "K8": (0, 1), "P80": (None, 79)}
+
+
+def test_features_are_planned_once_and_checked():
+    names = [step.gives for step in FEATURES.order(["diameter", "is_tree", "avg_clustering"])]
+    assert len(names) == len(set(names)) and names.index(("adj",)) < names.index(("around",)) < names.index(("diameter",))
+    assert ("clique_number",) not in names
+    own = Registry([GraphFeature(("a",), ("b",), lambda df, wide: df), GraphFeature(("b",), ("a",), lambda df, wide: df)])
+    with pytest.raises(ValueError, match="itself"):
+        own.order(["a"])
+    with pytest.raises(KeyError, match="no step gives c"):
+        own.order(["c"])
+    with pytest.raises(ValueError, match="already"):
+        own.register(GraphFeature(("a",), (), lambda df, wide: df))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.catalog.prep import LABELLED, _split42, _SPLIT42, labelled_decisions
 from graphloom.catalog.registry import query
 from graphloom.catalog.sqltext import DEC, FEATURES, PRED, mix
+from graphloom.functions import scalars
 from graphloom.session import written
 from graphloom.operators import labelfree, linear, metrics, neighbors, reports, scaling
 from graphloom.sources import fixtures as fx
@@ -386,6 +387,40 @@ def permutation_importance(spark, sf_dir):
     return _round(linear.normalised(imp), ["importance", "importance_std", "share"])
 
 
+def _seeds_sql() -> str:
+    lin = " + ".join(f"({b!r}::double) * (case when permuted = '{f}' then o_{f} else {f} end - m_{f}) / s_{f}" for f, b in _B.items())
+    return f"""sx as (select d0.*, s.i as seed, {mix('graph_id', 's.i')} % 5 as part from d0 cross join range(5) s(i)),
+ mo as (select seed, {', '.join(f'avg({f}) as m_{f}, stddev_pop({f}) as s_{f}' for f in FEATURES)} from sx where part <> 0 group by 1),
+ te as (select * exclude (part) from sx where part = 0),
+ po as (select *, row_number() over (partition by seed order by {mix('graph_id', '0')}, graph_id) as pos from te),
+ dn as (select r.i as rep, seed, {', '.join(f'{f} as o_{f}' for f in FEATURES)}, row_number() over (partition by seed, r.i order by {mix('graph_id', 'r.i * 31 + 1')}, graph_id) as pos from te cross join range(3) r(i)),
+ cp as (select po.*, dn.rep, {', '.join('o_' + f for f in FEATURES)}, permuted from po join dn on po.seed = dn.seed and po.pos = dn.pos cross join (values {', '.join(f"('{f}')" for f in FEATURES)}) v(permuted)),
+ al as (select seed, permuted, rep, y, cast({lin} + 0.1::double >= 0 as int) as pred from cp join mo using (seed)
+   union all select seed, '(none)', 0, y, cast({_LIN} + 0.1::double >= 0 as int) from te join mo using (seed)),
+ cm as (select seed, permuted, rep, count(*) filter (where y = 0 and pred = 0)::double as tn, count(*) filter (where y = 0 and pred = 1)::double as fp, count(*) filter (where y = 1 and pred = 0)::double as fn,
+   count(*) filter (where y = 1 and pred = 1)::double as tp from al group by 1, 2, 3),
+ mc as (select seed, permuted, rep, coalesce((tp * tn - fp * fn) / nullif(sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn), 0), 0) as mcc from cm),
+ own as (select a.seed, a.permuted as feature, avg(b.mcc - a.mcc) as m from mc a join mc b on b.seed = a.seed and b.permuted = '(none)' where a.permuted <> '(none)' group by 1, 2)"""
+
+
+@query("e21_importance_over_seeds", f"""with {LABELLED}, {_seeds_sql()} select feature, round(avg(m), 6) + 0 as importance, round(stddev_pop(m), 6) + 0 as importance_std, count(*) as n_seeds from own group by 1""")
+def importance_over_seeds(spark, sf_dir):
+    rows = labelled_decisions(spark, sf_dir).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = written(rows.withColumn("part", scalars.mix("graph_id", F.col("seed")) % 5), "seeds")
+    m = reports.long_features(rows.where("part <> 0"), ["seed"], FEATURES).groupBy("seed", "feature").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("scale"))
+    coef = F.create_map(*[x for f, b in _B.items() for x in (F.lit(f), F.lit(b))])[F.col("feature")]
+    fitted = m.select("seed", "feature", coef.alias("coef"), "mean", "scale").unionByName(m.select("seed").distinct().select(
+        "seed", F.lit(linear.INTERCEPT).alias("feature"), F.lit(0.1).alias("coef"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("scale")))
+    fitted = written(fitted, "fitted")
+
+    def predict(frame):
+        return linear.apply_linear(frame, fitted, FEATURES, ["seed"]).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+    out = linear.importance_over_seeds(rows.where("part = 0").drop("part"), FEATURES, "graph_id", predict)
+    return _round(out, ["importance", "importance_std"])
+
+
 @query("w07_interleaved_rankings", f"""with {DEC}, im as ({' union all '.join(f"select source_dataset as dataset, '{f}' as feature, round(abs(corr({f}, delta_cx)), 9) as importance from dec group by 1" for f in FEATURES)}),
  r as (select *, row_number() over (partition by dataset order by importance desc, feature) as place, case dataset when 'a' then 0 else 1 end as turn from im),
  f as (select feature, min(place * 10 + turn) as pos from r group by 1)

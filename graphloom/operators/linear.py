@@ -57,18 +57,19 @@ def decision_grid(medians: DataFrame, ranges: DataFrame, coefficients: DataFrame
     return apply_linear(grid, coefficients, features, keys).select(*keys, "i", "j", x, y, "score")
 
 
-def permuted_copies(df: DataFrame, features: list[str], key: str, repeats: int, seed: int = 0) -> DataFrame:
+def permuted_copies(df: DataFrame, features: list[str], key: str, repeats: int, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Copies `(permuted, repeat, ...)` of the rows, one feature shuffled in each.
 
     A shuffle gives the row at position r of the key order the value at position r of
-    a hash order. Positions come from cut ranks, so no task sorts all rows."""
-    fixed = rank_by_hash(df, [], mix(key, 0), key, "__pos")
+    a hash order. Positions come from cut ranks, so no task sorts all rows.
+    Values move only between rows that agree in the columns `by`."""
+    fixed = rank_by_hash(df, [*by], mix(key, 0), key, "__pos")
     plan = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    donors = df.select(key, *features).withColumn("repeat", plan)
-    donors = rank_by_hash(donors, ["repeat"], mix(key, F.col("repeat") * 31 + seed + 1), key, "__pos").select(
-        "repeat", "__pos", *[F.col(f).alias(f"__d_{f}") for f in features]
+    donors = df.select(*by, key, *features).withColumn("repeat", plan)
+    donors = rank_by_hash(donors, [*by, "repeat"], mix(key, F.col("repeat") * 31 + seed + 1), key, "__pos").select(
+        *by, "repeat", "__pos", *[F.col(f).alias(f"__d_{f}") for f in features]
     )
-    met = fixed.join(donors, "__pos").withColumn("permuted", F.explode(F.array(*[F.lit(f) for f in features])))
+    met = fixed.join(donors, [*by, "__pos"]).withColumn("permuted", F.explode(F.array(*[F.lit(f) for f in features])))
     swapped = {f: F.when(F.col("permuted") == f, F.col(f"__d_{f}")).otherwise(F.col(f)) for f in features}
     return met.withColumns(swapped).drop("__pos", *[f"__d_{f}" for f in features])
 
@@ -85,6 +86,20 @@ def permutation_importance(df: DataFrame, features: list[str], key: str, predict
     )
 
 
+def importance_over_seeds(df: DataFrame, features: list[str], key: str, predict, by: str = "seed", repeats: int = 3) -> DataFrame:
+    """Importances of one model per value of `by`: `(feature, importance,
+    importance_std, n_seeds)`, mean and deviation over the models' own means. `df` has
+    the rows held out for each; `predict(frame)` adds pred by the model of the row's
+    `by`. All features, repeats and models are shuffled and scored in one job."""
+    whole = metrics.score(predict(df), [by], ranked=False).select(by, F.col("mcc").alias("__base"))
+    whole = written(whole, "seed-scores")  # one row per model, its size known to the planner
+    copies = predict(permuted_copies(df, features, key, repeats, by=(by,)))
+    each = metrics.score(copies, [by, "permuted", "repeat"], ranked=False).join(whole, by)
+    own = each.groupBy(by, F.col("permuted").alias("feature")).agg(F.avg(F.col("__base") - F.col("mcc")).alias("__mean"))
+    return own.groupBy("feature").agg(
+        F.avg("__mean").alias("importance"), F.stddev_pop("__mean").alias("importance_std"), F.count("*").alias("n_seeds"))
+
+
 def normalised(importance: DataFrame, column: str = "importance") -> DataFrame:
     """Importances clipped at zero, as shares of their sum (of 1 if that is zero)."""
     clipped = importance.withColumn("__c", F.greatest(F.col(column), F.lit(0.0)))

@@ -118,7 +118,7 @@ def test_wide_form_equals_narrow_form(spark):
     p = packed_of(spark, random_graphs([9, 40, 64], 6))
     parts = {}
     for wide in (False, True):
-        df = topology._degrees(with_around(with_adjacency(p, wide), wide), wide)
+        df = topology.degrees(with_around(with_adjacency(p, wide), wide), wide)
         df = topology.triangle_columns(df, wide)
         df = topology.distance_columns(topology.component_columns(df, wide), wide)
         df = topology.clique_column(df.where("n < 41"), wide)

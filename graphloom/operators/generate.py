@@ -6,14 +6,14 @@ vertices becomes a row of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import HASH_MODULUS, is_power_of_two
 from graphloom.operators import refinement, topology
 from graphloom.operators.ordering import rank_in_group
 from graphloom.operators.packed import WORD, bind, words_needed
-from graphloom.session import observed, spread, written
+from graphloom.session import counted_in, spread, written
 
 
 def draw(seed: str, graph: str, place: str) -> str:
@@ -108,7 +108,7 @@ OUTCOMES = ("generated", "duplicate", "empty", "disconnected")
 def attempts(graphs: DataFrame, cell: list[str], seq: str, want: str,
              require_connected: bool = True, existing: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
     """All attempts up to the one that filled their cell, with their `outcome`, as a
-    table, and the totals, observed while it is written.
+    table, and the totals.
 
     Kept (`generated`) are the first `want` new graphs of each cell in the order of
     `seq`. Empty, disconnected (if asked) and repeated graphs (equal refinement key
@@ -128,10 +128,9 @@ def attempts(graphs: DataFrame, cell: list[str], seq: str, want: str,
     marked = tried.join(taken.select(*cell, seq, F.lit(1).alias("__in")), [*cell, seq], "left")
     outcome = F.coalesce("outcome", F.when(F.col("__in") == 1, "generated").otherwise("duplicate"))
     marked = marked.select(*[c for c in known.columns if c != "outcome"], outcome.alias("outcome"))
-    seen = Observation()
     counted = [F.count_if(F.col("outcome") == name).alias(name) for name in OUTCOMES]
-    table = written(marked.observe(seen, F.count(F.lit(1)).alias("attempts"), *counted), "marked")
-    return table, observed(seen)
+    table = written(marked, "marked")
+    return table, counted_in(table, F.count(F.lit(1)).alias("attempts"), *counted)
 
 
 def accept(graphs: DataFrame, cell: list[str], seq: str, want: str,

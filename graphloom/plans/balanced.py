@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import prep, reports, sampling
-from graphloom.session import observed, written
+from graphloom.session import counted_in, written
 from graphloom.sources import tables
 
 SOURCE = "source_dataset"
@@ -40,13 +40,14 @@ def build(features: DataFrame, labels: DataFrame, seed: int = 0, size: str = "n_
 
 def write(features: DataFrame, labels: DataFrame, composition: DataFrame, path: str, delta: str = "delta_cx") -> dict[str, int]:
     """Feature and label tables partitioned by size, and the composition as JSON.
-    Returns the counters of the set, observed while its tables are written."""
-    rows, marks = Observation(), Observation()
+    Returns the counters of the set, from its tables."""
     counted = [F.count_if(F.col(delta) > 0).alias("matching"), F.count_if(F.col(delta) < 0).alias("pauli")]
-    tables.write_table(features.observe(rows, F.count(F.lit(1)).alias("graphs")), f"{path}/features")
-    tables.write_table(labels.observe(marks, F.count(F.lit(1)).alias("labelled"), *counted), f"{path}/labels")
+    tables.write_table(features, f"{path}/features")
+    tables.write_table(labels, f"{path}/labels")
     composition.write.json(f"{path}/composition")
-    stats = observed(rows, marks)
+    spark = features.sparkSession
+    stats = counted_in(spark.read.schema(features.schema).parquet(f"{path}/features"), F.count(F.lit(1)).alias("graphs"))
+    stats |= counted_in(spark.read.schema(labels.schema).parquet(f"{path}/labels"), F.count(F.lit(1)).alias("labelled"), *counted)
     stats["unlabelled"] = stats.get("graphs", 0) - stats.get("labelled", 0)
-    tables.write_manifest(tables.counted(features.sparkSession, "balanced", stats), {"by": "n_vertices"}, f"{path}/manifest")
+    tables.write_manifest(tables.counted(spark, "balanced", stats), {"by": "n_vertices"}, f"{path}/manifest")
     return stats

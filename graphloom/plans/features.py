@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import dense, prep, topology
@@ -13,7 +13,7 @@ from graphloom.operators.pauli import COLUMNS as PAULI
 from graphloom.operators.steps import FEATURES, SHAPE, SPECTRA, Registry
 from graphloom.sources import g6
 from graphloom.functions.graph6 import graph_key, pack_text
-from graphloom.session import observed, written
+from graphloom.session import counted_in, written
 from graphloom.sources.tables import FEATURE_SCHEMA
 
 ROUNDED = ["edge_density", "avg_degree", "degree_variance", "avg_clustering", "spectral_gap"]
@@ -75,23 +75,23 @@ def line_outcomes(lines: DataFrame, existing: DataFrame | None = None) -> DataFr
 
 def counted_graphs(lines: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
     """(the distinct connected graphs that are new, as a table, and what became of the
-    lines). The counters are observed while the tables are written: the lines are read
-    once, and so is the table of distinct graphs."""
-    read, judged = Observation(), Observation()
-    checked = g6.checked(lines).observe(read, F.count(F.lit(1)).alias("lines"), F.count_if(F.col("fault").isNotNull()).alias("parse_error"))
-    good = checked.where("fault is null").drop("fault").withColumn("graph_id", graph_key("g6"))
-    merged = written(pack_text(good).groupBy("graph_id", "tri").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "distinct-graphs")
+    lines). The lines are read once: those that can't be read are one group without a
+    key. The counters come from the tables written."""
+    text = g6.checked(lines).withColumn("g6", F.when(F.col("fault").isNull(), F.col("g6"))).withColumn("graph_id", graph_key("g6"))
+    merged = written(pack_text(text).groupBy("graph_id", "tri").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "distinct-graphs")
+    read = counted_in(merged, F.sum("copies").alias("lines"), F.sum(F.when(F.col("graph_id").isNull(), F.col("copies"))).alias("parse_error"))
+    merged = merged.where("graph_id is not null")
     if existing is not None:
         merged = merged.join(existing.select("graph_id", F.lit(1).alias("__seen")).distinct(), "graph_id", "left")
     else:
         merged = merged.withColumn("__seen", F.lit(None).cast("int"))
     new = F.col("__seen").isNull()
-    shown = topology.with_components(merged).observe(
-        judged, F.sum(F.when(F.col("is_connected") == 0, F.col("copies"))).alias("disconnected"),
+    shown = written(topology.with_components(merged), "judged-graphs")
+    judged = counted_in(
+        shown, F.sum(F.when(F.col("is_connected") == 0, F.col("copies"))).alias("disconnected"),
         F.count_if((F.col("is_connected") == 1) & new).alias("parsed"),
         F.sum(F.when(F.col("is_connected") == 1, F.col("copies") - new.cast("int"))).alias("duplicate"))
-    kept = written(shown.where("is_connected = 1 and __seen is null").drop("__seen"), "new-graphs")
-    return kept, observed(read, judged)
+    return shown.where("is_connected = 1 and __seen is null").drop("__seen"), read | judged
 
 
 def gated(packed: DataFrame, gates: Mapping[str, int], features: Registry = FEATURES) -> DataFrame:

@@ -53,7 +53,7 @@ def counters(df: DataFrame, outcome: str, stage: str) -> DataFrame:
 
 
 def counted(spark: SparkSession, stage: str, stats: dict[str, int]) -> DataFrame:
-    """The same from counters that a pass has observed."""
+    """The same from counters of a pass."""
     return spark.createDataFrame([(stage, name, int(n or 0)) for name, n in stats.items()], "stage string, counter string, value bigint")
 
 

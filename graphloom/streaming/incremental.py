@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from math import ceil, log
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators import prep
 from graphloom.plans.features import feature_table
-from graphloom.session import observed
+from graphloom.session import written
 from graphloom.sources import g6
 from graphloom.sources.tables import FEATURE_SCHEMA
 
@@ -81,11 +81,10 @@ def append_features(lines: DataFrame, path: str, with_gap: bool = True, rows_per
     done = finished(spark, path, [r["key"] for r in counts])
     before = _written_so_far(spark, _log(path), T.StructType([T.StructField("n", T.LongType())])).agg(F.sum("n")).first()[0] or 0
     depth = _depth(before + sum(r["n"] for r in counts), rows_per_part)
-    seen = Observation()
-    rows = feature_table(lines, done, with_gap).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows = written(feature_table(lines, done, with_gap), "new-features")
     placed = rows.withColumn("depth", F.lit(depth)).withColumn("prefix", F.concat(F.lit("p"), F.substring("graph_id", 1, depth)))
     placed.hint("rebalance", "prefix").write.mode("append").partitionBy("depth", "prefix").parquet(path)
-    spark.createDataFrame([(depth, observed(seen).get("n", 0))], "depth int, n long").coalesce(1).write.mode("append").parquet(_log(path))
+    spark.createDataFrame([(depth, rows.count())], "depth int, n long").coalesce(1).write.mode("append").parquet(_log(path))
 
 
 def stream_features(spark: SparkSession, source: str, target: str, checkpoint: str,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import scaling
-from graphloom.plans import learners
+from graphloom.plans import features, learners
 
 
 def rings(spark, n=200, seed=4):
@@ -59,3 +59,10 @@ def test_bayes_estimator_is_the_sql_one(spark):
     want = {r["graph_id"]: r["score"] for r in learners.naive_bayes(df, df, ["a", "b"]).collect()}
     assert got == pytest.approx(want)
     assert scaling.covariance(df, ["a", "b"]).shape == (2, 2)
+
+
+def test_models_score_after_counters_in_one_session(spark):
+    _, stats = features.counted_graphs(spark.createDataFrame([("Bw",), ("Bw",), ("BG",), ("B",)], "g6 string"))
+    assert stats == {"lines": 4, "parse_error": 1, "disconnected": 1, "parsed": 1, "duplicate": 1}
+    df, _, _ = rings(spark, 60)
+    assert len(learners.logistic(df, df).collect()) == 60  # the closure holds the training summary, that the session

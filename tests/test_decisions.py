@@ -72,6 +72,23 @@ def test_compared_pairs_grow_slower_than_the_square(spark, monkeypatch):
     assert many < 16 * few and many < 8000 * 8000 / 12
 
 
+def test_queries_with_copies_stay_in_their_leaf(spark, monkeypatch):
+    """Text keys, 100 points of 20 copies each: k copies are found at home, and the plane
+    between two pivots closes all other leaves."""
+    made, kept = spark.sparkContext.accumulator(0), neighbors._search
+
+    def counting(queries, data, *rest):
+        made.add(len(queries) * len(data))
+        return kept(queries, data, *rest)
+
+    monkeypatch.setattr(neighbors, "_search", counting)
+    x = F.array(*[F.pmod(F.xxhash64(F.col("id") % 100, F.lit(i)), F.lit(1000)).cast("double") for i in range(6)])
+    df = spark.range(2000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("y"), x.alias("x"))
+    found = neighbors.nearest(df, df, [], "id", F.col("x"), 3, skip_self=True, fan=8, leaf=400)
+    assert found.agg(F.count("*"), F.max("dist"), F.count_if(F.col("qid") == F.col("nid"))).first()[:] == (6000, 0.0, 0)
+    assert made.value <= 2000 * 400
+
+
 def test_overlap_of_one_class_is_null(spark):
     df = points(spark, 60).withColumn("y", F.when(F.col("grp") == "hot", 1).otherwise(F.col("y")))
     rows = {r["grp"]: r for r in neighbors.overlap_report(df, ["grp"], "id", ["a", "b", "c"], 3).collect()}

@@ -33,6 +33,8 @@ from graphloom.session import written
 
 #: Trees of forests grow until their leaves are pure, or to the depth Spark allows.
 DEPTH = 30
+#: Leaves a batch of trees may have together; the driver holds one batch of a forest.
+LEAVES = 400_000
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -72,9 +74,34 @@ def tree(depth: int) -> Learner:
     return lambda train, rows: _scored(DecisionTreeClassifier(maxDepth=depth, seed=0, **_common(train)).fit(train), rows)
 
 
+def batches(train: DataFrame, trees: int) -> list[int]:
+    """Trees per batch. A tree has at most one leaf per different point, so whatever the
+    number of rows and trees, a batch stays near LEAVES leaves (or is one tree)."""
+    points = train.agg(F.approx_count_distinct(F.xxhash64(vector_to_array("features")))).first()[0]
+    most = max(1, min(trees, LEAVES // max(1, points)))
+    return [min(most, trees - at) for at in range(0, trees, most)]
+
+
+def grown(train: DataFrame, rows: DataFrame, trees: int, fit: Callable, value: Callable) -> DataFrame:
+    """`rows` with `__mean`, the mean of the trees: batch after batch is fitted by
+    `fit(trees, seed)`, adds its `value(model, rows)` to a table of the rows and goes."""
+    columns, out = rows.columns, rows.withColumn("__sum", F.lit(0.0))
+    for seed, some in enumerate(batches(train, trees)):
+        one = value(fit(some, seed), out)
+        out = written(one.select(*columns, (F.col("__sum") + F.col("__value") * some).alias("__sum")), "forest")
+    return out.withColumn("__mean", F.col("__sum") / trees).drop("__sum")
+
+
 def forest(trees: int = 200) -> Learner:
-    return lambda train, rows: _scored(
-        RandomForestClassifier(numTrees=trees, maxDepth=DEPTH, seed=0, **_common(train)).fit(train), rows)
+    def run(train: DataFrame, rows: DataFrame) -> DataFrame:
+        def fit(some: int, seed: int):
+            return RandomForestClassifier(numTrees=some, maxDepth=DEPTH, seed=seed, **_common(train)).fit(train)
+
+        out = grown(train, rows, trees, fit, lambda model, df: _scored(model, df.withColumn("__kept", F.col("features"))).withColumnsRenamed(
+            {"__kept": "features", "score": "__value"}))
+        return out.withColumnRenamed("__mean", "score").withColumn("pred", (F.col("score") > 0.5).cast("int")).drop("features")
+
+    return run
 
 
 def boosting(depth: int, rounds: int) -> Learner:
@@ -373,8 +400,9 @@ def objective_history(train: DataFrame) -> list[float]:
 
 def cost_forest(train: DataFrame, rows: DataFrame, target: str = "delta_cx", trees: int = 200) -> DataFrame:
     """Random forest regression of the cost gap: `rows` with `predicted`."""
-    model = RandomForestRegressor(numTrees=trees, maxDepth=DEPTH, seed=0, labelCol=target).fit(train)
-    return model.transform(rows).withColumnRenamed("prediction", "predicted").drop("features")
+    out = grown(train, rows, trees, lambda some, seed: RandomForestRegressor(numTrees=some, maxDepth=DEPTH, seed=seed, labelCol=target).fit(train),
+                lambda model, df: model.transform(df).withColumnRenamed("prediction", "__value"))
+    return out.withColumnRenamed("__mean", "predicted").drop("features")
 
 
 def r_squared(df: DataFrame, keys: list[str], target: str = "delta_cx") -> DataFrame:

@@ -66,3 +66,20 @@ def test_models_score_after_counters_in_one_session(spark):
     assert stats == {"lines": 4, "parse_error": 1, "disconnected": 1, "parsed": 1, "duplicate": 1}
     df, _, _ = rings(spark, 60)
     assert len(learners.logistic(df, df).collect()) == 60  # the closure holds the training summary, that the session
+
+
+def test_forests_grow_in_batches_the_driver_can_hold(spark, monkeypatch):
+    df, _, _ = rings(spark, 60)
+    sizes, fitted = [], learners.RandomForestClassifier.fit
+
+    def seen(self, *given):
+        sizes.append(self.getNumTrees())
+        return fitted(self, *given)
+
+    monkeypatch.setattr(learners, "LEAVES", 300)
+    monkeypatch.setattr(learners.RandomForestClassifier, "fit", seen)
+    got = learners.forest(12)(df, df).collect()
+    assert sum(sizes) == 12 and max(sizes) <= 6 and len(got) == 60
+    assert np.mean([r["pred"] == r["y"] for r in got]) >= 0.95 and all(0 <= r["score"] <= 1 for r in got)
+    out = learners.cost_forest(df, df, "y", 12).collect()
+    assert len(out) == 60 and np.mean([abs(r["predicted"] - r["y"]) < 0.5 for r in out]) >= 0.95

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,39 @@ def test_queries_with_copies_stay_in_their_leaf(spark, monkeypatch):
     assert made.value <= 2000 * 400
 
 
+@pytest.mark.parametrize("itself", [False, True])
+def test_equal_points_are_searched_once(spark, monkeypatch, itself):
+    """1,200 rows on 40 points: the points are compared, and a query leaves out itself and
+    not its place; ties go to the smaller key, also those of different places."""
+    made, kept = spark.sparkContext.accumulator(0), neighbors._search
+
+    def counting(queries, data, *rest):
+        made.add(len(queries) * len(data))
+        return kept(queries, data, *rest)
+
+    monkeypatch.setattr(neighbors, "_search", counting)
+    x = F.when(F.col("id") < 900, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array((F.col("id") % 13).cast("double"), (F.col("id") % 3).cast("double")))
+    df = spark.range(1200).select("id", F.lit(0).alias("y"), x.alias("x"))
+    asks = df if itself else df.where("id % 7 = 0").withColumn("id", F.col("id") + 5000)
+    found = neighbors.nearest(asks, df, [], "id", F.col("x"), 60, skip_self=itself, fan=4, leaf=16, block=100).collect()
+    rows = [(r["id"], r["x"]) for r in df.collect()]
+    got = {}
+    for r in sorted(found, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append((r["dist"], r["nid"]))
+    assert len(got) == asks.count()
+    for q, at in [(r["id"], r["x"]) for r in asks.where("id % 5 = 0 or id > 890").collect()]:
+        assert got[q] == sorted((round(sum((a - b) ** 2 for a, b in zip(at, to)) ** 0.5, 9), i) for i, to in rows if i != q)[:60]
+    assert made.value <= 40 * 40 * 2
+
+
+def test_visits_leave_out_what_is_beyond_the_bound():
+    schema = pa.schema([("g", pa.string()), ("qid", pa.int64()), ("nid", pa.int64()), ("dist", pa.float64()), ("ny", pa.int64())])
+    data = pa.table({"id": list(range(50)), "y": [0] * 50, "x": [[float(i)] for i in range(50)]})
+    asked = pa.table({"g": ["{}"] * 3, "qid": [1, 2, 3], "x": [[0.0]] * 3, "bound": pa.array([None, 2.0, 0.0], pa.float64())})
+    found = neighbors._search(asked, data, 5, 2, schema).to_pylist()
+    assert [(r["qid"], r["nid"]) for r in found] == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (2, 0), (2, 1), (2, 2), (3, 0)]
+
+
 def test_overlap_of_one_class_is_null(spark):
     df = points(spark, 60).withColumn("y", F.when(F.col("grp") == "hot", 1).otherwise(F.col("y")))
     rows = {r["grp"]: r for r in neighbors.overlap_report(df, ["grp"], "id", ["a", "b", "c"], 3).collect()}

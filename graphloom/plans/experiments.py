@@ -9,7 +9,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from graphloom.operators import labelfree, linear, metrics, sampling, scaling
@@ -24,26 +24,30 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def split_seeds(df: DataFrame, seeds: list[int], key: str = "graph_id", parts: tuple[str, ...] = ("n_vertices", "y")) -> DataFrame:
-    """One copy of the rows per seed with its split, kept as a table."""
+    """One copy of the rows per seed with its split, kept as a table in which a seed's
+    parts have folders of their own."""
     rows = df.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])))
-    return written(sampling.split_three(rows, key, list(parts), F.col("seed"), ["seed"]), "splits")
+    return written(sampling.split_three(rows, key, list(parts), F.col("seed"), ["seed"]), "splits", "seed", "split")
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], model: str) -> DataFrame:
+def fit_and_score(train: DataFrame, test: DataFrame, features: list[str], model: str, fitted: Row | None = None) -> DataFrame:
     """`(graph_id, y, delta_cx, n_vertices, score, pred)` of the test rows; the scaler is
-    fitted on the training rows only."""
+    fitted on the training rows only, unless their moments are given."""
     learner, scale = learners.LEARNERS[model]
-    fitted = scaling.fixed(scaling.moments(train, features)) if scale else None
+    if scale and fitted is None:
+        fitted = scaling.fixed(scaling.moments(train, features))
+    fitted = fitted if scale else None
     scored = learner(learners.vectors(train, features, fitted), learners.vectors(test, features, fitted))
     return scored.select("graph_id", "n_vertices", "y", "delta_cx", "score", "pred")
 
 
-def run_grid(jobs: list[tuple[dict, DataFrame, DataFrame, list[str], str]]) -> DataFrame:
-    """Fit every `(tags, train, test, features, model)`; one long table of predictions."""
+def run_grid(jobs: list[tuple]) -> DataFrame:
+    """Fit every `(tags, train, test, features, model)`, a sixth item being moments of the
+    training rows; one long table of predictions."""
 
     def one(job):
-        tags, train, test, features, model = job
-        out = fit_and_score(train, test, features, model)
+        tags, *given = job
+        out = fit_and_score(*given)
         return out.withColumns({k: F.lit(v) for k, v in tags.items()})
 
     with ThreadPoolExecutor(THREADS) as pool:
@@ -65,11 +69,13 @@ def ladder(df: DataFrame, features: list[str], models: list[str], seeds: list[in
 def feature_sets(df: DataFrame, sets: dict[str, list[str]], model: str, seeds: list[int], ddof: int = 0) -> DataFrame:
     """The same model on named feature sets: `(feature_set, metric, mean, std)`."""
     splits = split_seeds(df, seeds)
-    jobs = []
+    named = list(dict.fromkeys(f for some in sets.values() for f in some))
+    scale, jobs = learners.LEARNERS[model][1], []
     for seed in seeds:
         mine = splits.where(F.col("seed") == seed).drop("seed")
         train, test = mine.where("split = 'train'"), mine.where("split = 'test'")
-        jobs += [({"feature_set": s, "seed": seed}, train, test, f, model) for s, f in sets.items()]
+        fitted = scaling.fixed(scaling.moments(train, named)) if scale else None
+        jobs += [({"feature_set": s, "seed": seed}, train, test, f, model, fitted) for s, f in sets.items()]
     return metrics.over_seeds(metrics.score(run_grid(jobs), ["feature_set", "seed"]), ["feature_set"], ddof=ddof)
 
 

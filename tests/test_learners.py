@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import scaling
-from graphloom.plans import features, learners
+from graphloom.plans import experiments, features, learners
 
 
 def rings(spark, n=200, seed=4):
@@ -83,3 +83,18 @@ def test_forests_grow_in_batches_the_driver_can_hold(spark, monkeypatch):
     assert np.mean([r["pred"] == r["y"] for r in got]) >= 0.95 and all(0 <= r["score"] <= 1 for r in got)
     out = learners.cost_forest(df, df, "y", 12).collect()
     assert len(out) == 60 and np.mean([abs(r["predicted"] - r["y"]) < 0.5 for r in out]) >= 0.95
+
+
+def test_feature_sets_read_one_seed_and_share_moments(spark, monkeypatch):
+    df, _, _ = rings(spark, 120)
+    df = df.drop("features").withColumns({"n_vertices": F.lit(8), "delta_cx": F.col("y") * 2 - 1})
+    asked, kept = [], scaling.moments
+
+    def seen(rows, *given):
+        asked.append(rows._jdf.queryExecution().executedPlan().toString())
+        return kept(rows, *given)
+
+    monkeypatch.setattr(scaling, "moments", seen)
+    table = experiments.drop_one(df, ["a", "b"], [0, 1, 2])
+    assert len(asked) == 3 and all("PartitionFilters: [isnotnull(seed" in plan for plan in asked)
+    assert {r["dropped"] for r in table.select("dropped").distinct().collect()} == {"(none)", "a", "b"}

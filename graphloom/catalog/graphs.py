@@ -10,6 +10,7 @@ from graphloom.catalog.sqltext import BOTH, GD, GS, GW, degrees, directed, dista
 from graphloom.functions.scalars import bit_text, hamming_text
 from graphloom.operators import dense, hamming, matching, pauli, refinement, spectral, topology
 from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency
+from graphloom.session import spread
 from graphloom.sources import fixtures as fx
 
 
@@ -203,7 +204,7 @@ select graph_id, cast(max(k) as int) as max_matching_size from cover group by gr
 
 @query("f10_matching_exact", f"with recursive {BOTH}, {_matching('gb')}")
 def matching_exact(spark, sf_dir):
-    return topology.small_matching_column(with_adjacency(all_small(spark, sf_dir))).select("graph_id", "max_matching_size")
+    return dense.max_matching(spread(all_small(spark, sf_dir), "graph_id"), topology.SMALL_MATCHING).select("graph_id", "max_matching_size")
 
 
 @query("f10_matching_by_rank", f"with recursive {GS}, {_matching('gs')}")

@@ -1,5 +1,6 @@
-"""Matrix work on batches of packed graphs, for what expressions cannot do:
-eigenvalues, the fast Walsh-Hadamard transform of large graphs, matrix rank.
+"""Work on batches of packed graphs, for what expressions cannot do (eigenvalues, the
+fast Walsh-Hadamard transform of large graphs, matrix rank) or do slowly, one lambda call
+at a time (walks over the links, matchings).
 
 Each function is a map over Arrow batches. Spark partitions the graphs; nothing is
 grouped or shuffled, and a batch is cut so that a stack of matrices stays small."""
@@ -19,12 +20,13 @@ STACK_BYTES = 32 << 20
 
 
 def _stacks(batch: pa.RecordBatch, bytes_per_cell: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers and adjacency stacks (rows, n, n) of one batch, by size."""
-    n_all = batch.column(batch.schema.get_field_index("n")).to_numpy(zero_copy_only=False)
+    """Row numbers and adjacency stacks (rows, n, n) of one batch, by size; rows whose n
+    is NULL are in none."""
+    n_all = batch.column(batch.schema.get_field_index("n")).fill_null(-1).to_numpy(zero_copy_only=False)
     words = batch.column(batch.schema.get_field_index("tri"))
     starts = words.offsets.to_numpy()
     flat = words.values.to_numpy(zero_copy_only=False).astype(np.uint64)
-    for n in np.unique(n_all):
+    for n in np.unique(n_all[n_all >= 0]):
         rows_n = np.flatnonzero(n_all == n)
         step = max(1, STACK_BYTES // max(1, int(n) * int(n) * bytes_per_cell))
         v, u = np.tril_indices(int(n), -1)
@@ -68,6 +70,8 @@ SPECTRA = ("lap", "adj", "nlap")
 
 def _spectra(stack: np.ndarray, kinds: tuple[str, ...]):
     n = stack.shape[1]
+    if not n:
+        return [[None] * len(stack) for _ in kinds]
     degree = stack.sum(axis=2)
     laplacian = -stack.copy()
     laplacian[:, range(n), range(n)] += degree
@@ -82,8 +86,7 @@ def spectra(packed: DataFrame, kinds: tuple[str, ...] = SPECTRA) -> DataFrame:
     normalised Laplacian (isolated vertices scaled by 0): `lap`, `adj`, `nlap`, or
     those of them in `kinds`. Graphs without vertices get NULL."""
     out = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in kinds]
-    done = _map_batches(packed.where("n > 0"), out, lambda stack: _spectra(stack, kinds), 8 * 6)
-    return done.unionByName(packed.where("n is null or n <= 0"), allowMissingColumns=True)
+    return _map_batches(packed, out, lambda stack: _spectra(stack, kinds), 8 * 6)
 
 
 def _weight_sums(stack: np.ndarray):
@@ -114,6 +117,58 @@ def pauli_sums(packed: DataFrame) -> DataFrame:
     return _map_batches(packed, out, _weight_sums, 8 * 4)
 
 
+def _walks(stack: np.ndarray):
+    """Degrees, twice the triangles at each vertex, components, whether two colours
+    suffice, and the diameter. Neighbours and reached vertices are sets of 64-bit words;
+    a round lets every vertex take over what its neighbours reach."""
+    b, n, _ = stack.shape
+    if not n:
+        return [[]] * b, [[]] * b, [0] * b, [1] * b, [None] * b
+    bits = np.packbits(stack > 0, axis=2, bitorder="little")
+    near = np.zeros((b, n, -(-n // 64) * 8), np.uint8)
+    near[:, :, : bits.shape[2]] = bits
+    near = near.view(np.uint64).reshape(b * n, -1)
+    degree = np.bitwise_count(near).sum(axis=1, dtype=np.int64)
+    own = np.arange(b * n)
+    unit = np.zeros_like(near)  # of each vertex, the set that holds only itself
+    unit[own, own % n // 64] = np.uint64(1) << (own % n % 64).astype(np.uint64)
+    # Each vertex counts as its own neighbour, so that no vertex is without one.
+    g, i, j = np.nonzero(stack + np.eye(n))
+    at, to = g * n + i, g * n + j
+    starts = np.searchsorted(at, own)
+    common = np.bitwise_count(near[at] & near[to]).sum(axis=1, dtype=np.int64)
+    corners = np.add.reduceat(common, starts) - degree
+    reach, rounds = unit, np.zeros(b, np.int64)
+    while True:
+        further = np.bitwise_or.reduceat(reach[to], starts, axis=0)
+        grown = (further != reach).reshape(b, -1).any(axis=1)
+        if not grown.any():
+            break
+        reach, rounds = further, rounds + grown
+    # The lowest vertex of a component stands for it; links between equal distances from
+    # it (modulo 2) are odd cycles.
+    below = np.zeros_like(unit[:n])
+    below[1:] = np.bitwise_or.accumulate(unit[: n - 1], axis=0)
+    lowest = ~(reach.reshape(b, n, -1) & below).any(axis=2)
+    parts = lowest.sum(axis=1)
+    seen, odd = lowest.ravel(), np.zeros(b * n, bool)
+    while not seen.all():
+        odd ^= ~seen
+        seen = np.logical_or.reduceat(seen[to], starts)
+    equal = np.zeros(b, bool)
+    equal[g[(i != j) & (odd[at] == odd[to])]] = True
+    diameter = [int(r) if one else None for r, one in zip(rounds, parts == 1)]
+    return degree.reshape(b, n), corners.reshape(b, n), parts, 1 - equal.astype(np.int64), diameter
+
+
+def walks(packed: DataFrame) -> DataFrame:
+    """Adds `deg` and `tri2` (by vertex), `n_components`, `is_bipartite` and `diameter`
+    (NULL unless connected), as the expressions of `topology` do."""
+    kinds = {"deg": "array<int>", "tri2": "array<bigint>", "n_components": "int", "is_bipartite": "int", "diameter": "int"}
+    out = [T.StructField(c, T.ArrayType(T.LongType()) if k.startswith("array") else T.LongType()) for c, k in kinds.items()]
+    return _map_batches(packed, out, _walks, 8 * 6).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+
+
 _PRIME = 2_147_483_647
 
 
@@ -179,10 +234,36 @@ def _matching(stack: np.ndarray):
     return (best,)
 
 
+def _small_matching(stack: np.ndarray):
+    """Largest matching, exact, for few vertices: that of every set of the first vertices,
+    one vertex more at a time. The next vertex is left alone or joined to one of the set."""
+    b, n, _ = stack.shape
+    link = np.ascontiguousarray(np.moveaxis(stack, 0, -1), dtype=np.int8)
+    best = np.zeros((1, b), np.int8)  # by set, its vertices as bits
+    for v in range(n):
+        joined = best.copy()
+        for u in range(v):
+            halves = (-1, 2, 1 << u, b)  # sets without and with u
+            out = joined.reshape(halves)[:, 1]
+            np.maximum(out, best.reshape(halves)[:, 0] + link[u, v], out=out)
+        best = np.concatenate([best, joined])
+    return (best[-1].astype(np.int64),)
+
+
 def large_matching(packed: DataFrame) -> DataFrame:
     """Adds `max_matching_size` for graphs of any size."""
-    out = [T.StructField("max_matching_size", T.LongType())]
-    done = _map_batches(packed, out, _matching, 8 * 6)
+    return _matched(packed, _matching, 8 * 6)
+
+
+def max_matching(packed: DataFrame, exact_to: int) -> DataFrame:
+    """Adds `max_matching_size`: exact up to `exact_to` vertices, matrix rank beyond."""
+    # For each graph there are 2^n bytes of sets, twice.
+    cells = max(8 * 6, -(-(2 << exact_to) // max(1, exact_to) ** 2))
+    return _matched(packed, lambda stack: _small_matching(stack) if stack.shape[1] <= exact_to else _matching(stack), cells)
+
+
+def _matched(packed: DataFrame, kernel, cell_bytes: int) -> DataFrame:
+    done = _map_batches(packed, [T.StructField("max_matching_size", T.LongType())], kernel, cell_bytes)
     return done.withColumn("max_matching_size", F.col("max_matching_size").cast("int"))
 
 

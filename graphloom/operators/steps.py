@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.operators import dense, pauli, spectral, topology
 from graphloom.operators.packed import by_width, with_adjacency, with_around
@@ -110,12 +111,15 @@ def _spectra(df: DataFrame, wide: bool) -> DataFrame:
 FEATURES = Registry([
     GraphFeature(("adj",), ("n", "tri"), with_adjacency),
     GraphFeature(("around",), ("n", "adj"), with_around),
-    GraphFeature(("deg", "m"), ("adj",), topology.degrees),
+    GraphFeature(("deg",), ("adj",), topology.degrees),
+    GraphFeature(("m",), ("deg",), lambda df, wide: topology.link_count(df)),
     GraphFeature(("edge_density",), ("n", "m"), lambda df, wide: topology.size_columns(df)),
     GraphFeature(("max_degree", "min_degree", "avg_degree", "degree_variance", "is_regular", "chromatic_index_lower_bound"),
                  ("n", "deg", "m"), lambda df, wide: topology.degree_columns(df)),
-    GraphFeature(("tri2", "triangle_count", "avg_clustering"), ("n", "adj", "around", "deg"), topology.triangle_columns),
-    GraphFeature(("n_components", "is_connected", "is_bipartite"), ("n", "adj"), topology.component_columns),
+    GraphFeature(("tri2",), ("adj", "around"), topology.corner_column),
+    GraphFeature(("triangle_count", "avg_clustering"), ("n", "deg", "tri2"), lambda df, wide: topology.triangle_totals(df)),
+    GraphFeature(("n_components", "is_bipartite"), ("n", "adj"), topology.component_columns),
+    GraphFeature(("is_connected",), ("n_components",), lambda df, wide: df.withColumn("is_connected", F.expr("cast(n_components = 1 as int)"))),
     GraphFeature(("is_tree", "cycle_count"), ("n", "m", "is_connected"), lambda df, wide: topology.cycle_columns(df)),
     GraphFeature(("diameter",), ("n", "around"), topology.distance_columns),
     GraphFeature(("clique_number",), ("n", "adj"), topology.clique_column),
@@ -124,5 +128,17 @@ FEATURES = Registry([
     GraphFeature(pauli.COLUMNS, ("n", "tri"), lambda df, wide: pauli.pauli_columns(df), True),
 ])
 
+#: Gives in one pass over stacked graphs what those steps give one by one as expressions.
+WALKS = GraphFeature(("deg", "tri2", "n_components", "is_bipartite", "diameter"), ("n", "tri"), lambda df, wide: dense.walks(df))
+
+
+def with_walks(features: Registry) -> Registry:
+    """A copy in which WALKS takes over from the library's own steps; pays where most of
+    its columns are wanted."""
+    out = features.copy()
+    out._of.update({c: WALKS for c in WALKS.gives if features._of.get(c) is FEATURES._of[c]})
+    return out
+
+
 SHAPE = ("m", "edge_density", "max_degree", "min_degree", "avg_degree", "degree_variance", "is_regular", "chromatic_index_lower_bound",
          "triangle_count", "avg_clustering", "n_components", "is_connected", "is_bipartite", "is_tree", "cycle_count", "diameter")

@@ -13,11 +13,13 @@ from graphloom.operators.packed import bind, by_width, with_adjacency, with_arou
 SMALL_MATCHING = 16
 
 
+def link_count(df: DataFrame) -> DataFrame:
+    return df.withColumn("m", F.expr("cast(aggregate(deg, 0L, (acc, d) -> acc + d) div 2 as bigint)"))
+
+
 def degrees(df: DataFrame, wide: bool) -> DataFrame:
     s = sets(wide)
-    return df.withColumn("deg", F.expr(f"transform(adj, a -> {s.size('a')})")).withColumn(
-        "m", F.expr("cast(aggregate(deg, 0L, (acc, d) -> acc + d) div 2 as bigint)")
-    )
+    return link_count(df.withColumn("deg", F.expr(f"transform(adj, a -> {s.size('a')})")))
 
 
 def size_columns(df: DataFrame) -> DataFrame:
@@ -44,14 +46,18 @@ def degree_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def triangle_columns(df: DataFrame, wide: bool) -> DataFrame:
-    """Triangles, and the mean over all vertices of 2T(v) / d(d-1)."""
+def corner_column(df: DataFrame, wide: bool) -> DataFrame:
+    """`tri2`, twice the triangles at each vertex: common neighbours over its own
+    neighbours."""
     s = sets(wide)
-    # Twice the triangles at each vertex: common neighbours over its own neighbours.
     at_vertex = f"""transform(adj, (a, i) -> aggregate(around[i], 0L, (acc, j) -> acc + {s.size(s.meet('a', 'adj[j]'))}))"""
+    return df.withColumn("tri2", F.expr(bind("adj", bind("around", at_vertex))))
+
+
+def triangle_totals(df: DataFrame) -> DataFrame:
+    """Triangles, and the mean over all vertices of 2T(v) / d(d-1)."""
     return (
-        df.withColumn("tri2", F.expr(bind("adj", bind("around", at_vertex))))
-        .withColumn("triangle_count", F.expr("cast(aggregate(tri2, 0L, (acc, t) -> acc + t) div 6 as bigint)"))
+        df.withColumn("triangle_count", F.expr("cast(aggregate(tri2, 0L, (acc, t) -> acc + t) div 6 as bigint)"))
         .withColumn(
             "avg_clustering",
             F.expr(
@@ -62,6 +68,10 @@ def triangle_columns(df: DataFrame, wide: bool) -> DataFrame:
     )
 
 
+def triangle_columns(df: DataFrame, wide: bool) -> DataFrame:
+    return triangle_totals(corner_column(df, wide))
+
+
 def component_columns(df: DataFrame, wide: bool) -> DataFrame:
     """Number of components and whether two colours suffice.
 

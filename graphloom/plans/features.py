@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import dense, prep, topology
-from graphloom.operators.packed import with_adjacency
 from graphloom.operators.pauli import COLUMNS as PAULI
-from graphloom.operators.steps import FEATURES, SHAPE, SPECTRA, Registry
+from graphloom.operators.steps import FEATURES, SHAPE, SPECTRA, Registry, with_walks
 from graphloom.sources import g6
 from graphloom.functions.graph6 import graph_key, pack_text
 from graphloom.session import counted_in, written
@@ -20,14 +19,13 @@ ROUNDED = ["edge_density", "avg_degree", "degree_variance", "avg_clustering", "s
 
 
 def max_matching(packed: DataFrame) -> DataFrame:
-    """Exact expressions up to 16 vertices, matrix rank beyond."""
-    limit = topology.SMALL_MATCHING
-    small = topology.small_matching_column(with_adjacency(packed.where(F.col("n") <= limit))).drop("adj")
-    return small.unionByName(dense.large_matching(packed.where(F.col("n") > limit)))
+    """Exact up to 16 vertices, matrix rank beyond."""
+    return dense.max_matching(packed, topology.SMALL_MATCHING)
 
 
 def shaped(packed: DataFrame, extra: Sequence[str] = (), features: Registry = FEATURES) -> DataFrame:
     """Shape columns, those in `extra` and the matching of connected graphs."""
+    features = with_walks(features)
     more = [c for c in extra if c not in SHAPE]
     late = [c for c in more if features.order([c])[-1].whole]  # beside the matching, on connected graphs only
     early = [c for c in more if c not in late]
@@ -42,7 +40,8 @@ def feature_table(lines: DataFrame, existing: DataFrame | None = None, with_gap:
 
     Copies of a text are one graph. Graphs already in `existing` are dropped before
     anything is computed. After the one shuffle that merges copies all work is
-    narrow; only the spectral gap passes through Python, in Arrow batches."""
+    narrow: walks, matchings and the spectral gap on stacked graphs in Arrow batches, the
+    rest as expressions."""
     graphs = g6.distinct_packed(lines).drop("copies")
     if existing is not None:
         graphs = prep.unlabelled(graphs, existing)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import graph6
 from graphloom.operators import dense, generate, pauli, refinement, spectral, topology
 from graphloom.operators.packed import pack_edges, unpack_edges, with_adjacency, with_around
-from graphloom.operators.steps import FEATURES, SHAPE, GraphFeature, Registry
+from graphloom.operators.steps import FEATURES, SHAPE, GraphFeature, Registry, with_walks
 from graphloom.plans import features
 from graphloom.sources import g6
 
@@ -134,6 +134,30 @@ def test_matching_two_ways(spark):
     assert {k: r[1] for k, r in a.items()} == {k: r[1] for k, r in b.items()}
 
 
+def test_stacked_walks_are_the_expressions(spark):
+    """Graphs of no vertex, one, several words and several parts, in one batch."""
+    graphs = random_graphs([2, 3, 8, 16, 64, 65, 130], 8) | GOLDEN | {"none": (0, []), "one": (1, []), "apart": (70, [(0, 69), (3, 5), (5, 9), (3, 9)])}
+    p = packed_of(spark, graphs).coalesce(1)
+    names = ["n_components", "is_bipartite", "diameter", "m", "is_connected", "triangle_count", "avg_clustering", "degree_variance"]
+    want, got = (by_id(f.columns(p, [*names, "deg", "tri2"])) for f in (FEATURES, with_walks(FEATURES)))
+    assert set(got) == set(graphs) and got == want
+    gap = by_id(FEATURES.columns(p, ["spectral_gap"]))
+    assert set(gap) == set(graphs) and gap["apart"].spectral_gap == pytest.approx(0)
+
+
+def test_the_table_takes_graphs_as_stacks(spark):
+    """No walk is done by lambdas, and no graph goes through Python twice."""
+    lines = packed_of(spark, GOLDEN).select(graph6.to_text().alias("g6"))
+    plan = features.feature_table(lines, with_gap=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "bit_count" not in plan  # walks by width, matching
+
+
+def test_exact_matching_of_stacks(spark):
+    p = packed_of(spark, random_graphs([1, 2, 5, 9, 15, 16], 20) | {"none": (0, [])})
+    got = by_id(dense.max_matching(p, 16).select("graph_id", "max_matching_size"))
+    assert got == by_id(topology.small_matching_column(with_adjacency(p)).select("graph_id", "max_matching_size"))
+
+
 def test_pauli_two_ways_and_dense_traces(spark):
     graphs = random_graphs([4, 8, 16, 32], 4)
     p = packed_of(spark, graphs)

@@ -86,8 +86,8 @@ _AGAIN = _ER_OUT.replace(" fi as (", """ ex as (select distinct st.n, st.k from
 
 
 def _accepted_again(spark, sf_dir):
-    attempts = _er_attempts(spark, sf_dir)
-    existing = generate.judged(attempts.where("seq % 3 = 0")).where("outcome is null").select("n", "wl_key").distinct()
+    attempts = written(generate.judged(_er_attempts(spark, sf_dir)), "attempts")
+    existing = attempts.where("seq % 3 = 0 and outcome is null").select("n", "wl_key").distinct()
     return generate.accept(attempts, ["n", "tenths"], "seq", "want", existing=written(existing, "existing"))
 
 

@@ -113,8 +113,9 @@ def attempts(graphs: DataFrame, cell: list[str], seq: str, want: str,
     Kept (`generated`) are the first `want` new graphs of each cell in the order of
     `seq`. Empty, disconnected (if asked) and repeated graphs (equal refinement key
     within the cell, first wins) are passed over, and so are those in `existing
-    (n, wl_key)`. `want` is a column of `graphs`."""
-    known = written(judged(graphs, require_connected), "attempts")
+    (n, wl_key)`. `want` is a column of `graphs`; a table of graphs that are `judged`
+    already is taken as it is."""
+    known = graphs if "outcome" in graphs.columns else written(judged(graphs, require_connected), "attempts")
     fine = known.where("outcome is null")
     if existing is not None:  # known graphs count as duplicates and take no place
         fine = refinement.drop_existing(fine, existing, ["n", "wl_key"])

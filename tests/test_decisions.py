@@ -333,3 +333,17 @@ def test_shared_folder_needs_a_name_on_a_cluster(spark, monkeypatch):
         session.shared_folder(cluster)
     cluster.sparkContext.getCheckpointDir = lambda: "hdfs://x/y"
     assert session.shared_folder(cluster) == "hdfs://x/y"
+
+
+def test_a_second_run_judges_its_attempts_once(spark, monkeypatch):
+    from graphloom.catalog import generated
+
+    asked, judged = [], generate.judged
+
+    def seen(*given):
+        asked.append(given)
+        return judged(*given)
+
+    monkeypatch.setattr(generate, "judged", seen)
+    kept, counters = generated._accepted_again(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and kept.count() == counters.where("outcome = 'generated'").agg(F.sum("n_graphs")).first()[0]

@@ -42,8 +42,18 @@ def _stacks(batch: pa.RecordBatch, bytes_per_cell: int) -> Iterator[tuple[np.nda
             yield rows, stack
 
 
-def _map_batches(df: DataFrame, out: list[T.StructField], kernel, cell_bytes: int) -> DataFrame:
-    """`kernel(stack)` gives one array per new column; other columns pass through."""
+def _chosen(batch: pa.RecordBatch, name: str, rows: np.ndarray, n: int) -> np.ndarray:
+    """Which of n vertices the lists of these rows name (rows, n)."""
+    lists = batch.column(batch.schema.get_field_index(name)).take(pa.array(rows))
+    owner = lists.value_parent_indices().to_numpy()
+    mask = np.zeros((len(rows), n), bool)
+    mask[owner, lists.flatten().to_numpy()] = True
+    return mask
+
+
+def _map_batches(df: DataFrame, out: list[T.StructField], kernel, cell_bytes: int, given: str | None = None) -> DataFrame:
+    """`kernel(stack)`, or `kernel(stack, mask)` for the vertices the lists `given` name,
+    gives one array per new column; other columns pass through."""
     schema = T.StructType(df.schema.fields + out)
 
     def run(batches):
@@ -54,7 +64,8 @@ def _map_batches(df: DataFrame, out: list[T.StructField], kernel, cell_bytes: in
         for batch in batches:
             values: list[list] = [[None] * batch.num_rows for _ in out]
             for rows, stack in _stacks(batch, cell_bytes):
-                for column, result in zip(values, kernel(stack)):
+                masks = [_chosen(batch, given, rows, stack.shape[1])] if given else []
+                for column, result in zip(values, kernel(stack, *masks)):
                     for r, x in zip(rows, result):
                         column[r] = x
             arrays = [pa.array(c, type=t) for c, t in zip(values, arrow_types)]
@@ -296,15 +307,77 @@ def _kernel_support(stack: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarra
     return rank, free | (np.take_along_axis(mixed, np.maximum(pivot_of, 0), 1) & ~free)
 
 
+def _regular(stack: np.ndarray) -> np.ndarray:
+    """Where a random real skew-symmetric matrix on the links surely has an inverse, so that
+    a matching takes in all vertices: I - A X is below 1 for a computed X, by far more than
+    rounding can move it. The others may have one too."""
+    b, n, _ = stack.shape
+    sure = np.zeros(b, bool)
+    if not n or n % 2:
+        return sure
+    rng = np.random.default_rng(0)
+    draw = np.triu(rng.uniform(0.5, 1.5, size=(n, n)) * rng.choice([-1.0, 1.0], size=(n, n)), 1)
+    a = stack * (draw - draw.T)
+    some = np.flatnonzero(np.linalg.slogdet(a)[0] != 0)
+    a = a[some]
+    try:
+        x = np.linalg.inv(a)
+    except np.linalg.LinAlgError:
+        return sure
+
+    def norm(m):
+        return np.abs(m).sum(axis=2).max(axis=1, initial=0)
+
+    with np.errstate(all="ignore"):  # numbers that overflow prove nothing
+        sure[some] = (norm(np.eye(n) - a @ x) < 1e-2) & (norm(a) * norm(x) * n < 1e12)
+    return sure
+
+
+def missing(stack: np.ndarray, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sizes of largest matchings, and the vertices that some of them leave out. Only graphs
+    that aren't surely regular are eliminated, which takes far longer."""
+    b, n, _ = stack.shape
+    rank, free = np.full(b, n), np.zeros((b, n), bool)
+    rest = np.flatnonzero(~_regular(stack))
+    if len(rest):
+        rank[rest], free[rest] = _kernel_support(stack[rest], seed)
+    return rank // 2, [np.flatnonzero(x) for x in free]
+
+
 def missable(packed: DataFrame, seed: int = 1) -> DataFrame:
     """Adds `max_matching_size` and `missable`, the vertices that some largest matching
     leaves out: those where the kernel of the random skew matrix isn't zero. Both hold
     but for a chance below n^2 / 2^31; `matching.certified` tells."""
     out = [T.StructField("max_matching_size", T.LongType()), T.StructField("missable", T.ArrayType(T.LongType()))]
 
-    def kernel(stack):
-        rank, free = _kernel_support(stack, seed)
-        return rank // 2, [np.flatnonzero(x) for x in free]
-
-    done = _map_batches(packed, out, kernel, 8 * 6)
+    done = _map_batches(packed, out, lambda stack: missing(stack, seed), 8 * 6)
     return done.withColumns({"max_matching_size": F.col("max_matching_size").cast("int"), "missable": F.col("missable").cast("array<int>")})
+
+
+def _barrier(stack: np.ndarray, missed: np.ndarray):
+    """The neighbours of the vertices missed, without those, and how many components of
+    odd size are left without them. A component goes by its lowest vertex."""
+    b, n, _ = stack.shape
+    if not n:
+        return [[]] * b, [0] * b
+    near = ((stack @ missed[:, :, None].astype(float))[:, :, 0] > 0) & ~missed
+    kept = ~near
+    # Each vertex counts as its own neighbour, so that no vertex is without one.
+    g, i, j = np.nonzero((stack > 0) & kept[:, :, None] & kept[:, None, :] | np.eye(n, dtype=bool))
+    own = np.arange(b * n)
+    starts, to, part = np.searchsorted(g * n + i, own), g * n + j, own
+    while True:
+        low = np.minimum.reduceat(part[to], starts)
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    sizes = np.bincount(part[kept.ravel()], minlength=b * n)
+    return [np.flatnonzero(x) for x in near], (sizes % 2).reshape(b, n).sum(axis=1)
+
+
+def barriers(df: DataFrame) -> DataFrame:
+    """Adds `barrier` (vertices) and `odd_parts` to packed graphs with `missable`."""
+    out = [T.StructField("barrier", T.ArrayType(T.LongType())), T.StructField("odd_parts", T.LongType())]
+    done = _map_batches(df, out, _barrier, 8 * 6, "missable")
+    return done.withColumns({"barrier": F.col("barrier").cast("array<int>"), "odd_parts": F.col("odd_parts").cast("int")})

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.bitset import sets
 from graphloom.operators import dense
-from graphloom.operators.packed import bind, by_width, with_adjacency
+from graphloom.operators.packed import bind, by_width
 
 
 def odd_parts_column(df: DataFrame, wide: bool) -> DataFrame:
-    """`odd_parts`: components of odd size among the vertices outside `barrier`. A
+    """`odd_parts` by expressions, as `dense.barriers` gives them by stacks: components of
+    odd size among the vertices outside `barrier`. A
     component grows until it is stable, then the lowest vertex not yet seen starts
     the next one; n + 2 rounds are enough."""
     s = sets(wide)
@@ -45,14 +46,7 @@ def certified(packed: DataFrame, seed: int = 1) -> DataFrame:
     seed. Rows whose n is NULL are left out."""
 
     def compute(df: DataFrame, wide: bool) -> DataFrame:
-        s = sets(wide)
-        df = with_adjacency(dense.missable(df, seed), wide)
-        missed = f"aggregate(missable, {s.empty}, (acc, v) -> {s.union('acc', s.single('v'))})"
-        near = f"aggregate(missable, {s.empty}, (acc, v) -> {s.union('acc', 'adj[v]')})"
-        found = f"""transform(array({missed}), missed -> transform(array({near}), near ->
-            filter(sequence(0, n - 1), v -> {s.has('near', 'v')} and not {s.has('missed', 'v')}))[0])[0]"""
-        df = df.withColumn("barrier", F.expr(bind("adj", bind("missable", f"if(n < 1, cast(array() as array<int>), {found})"))))
-        return odd_parts_column(df, wide).drop("adj", "missable")
+        return dense.barriers(dense.missable(df, seed)).drop("missable")
 
     bound = F.expr("cast((n + size(barrier) - odd_parts) div 2 as int)")
     out = by_width(packed, compute).withColumn("matching_bound", bound)

@@ -65,6 +65,31 @@ def test_odd_parts_and_bound_of_a_given_barrier(spark):
     assert got == {"star": 7, "P8": 1, "K8": 1}
 
 
+def test_barriers_on_stacks_are_those_of_expressions(spark):
+    graphs = random_graphs([7, 16, 31, 40, 128], 5) | {k: GOLDEN[k] for k in ("star", "P8", "K8")}
+    found = dense.barriers(dense.missable(packed_of(spark, graphs)))
+    assert any(len(r.barrier) > 1 for r in found.collect())
+    plain = with_adjacency(found.drop("odd_parts"), True)
+    want = {k: r.odd_parts for k, r in by_id(matching.odd_parts_column(plain, True)).items()}
+    assert {k: r.odd_parts for k, r in by_id(found).items()} == want
+
+
+def test_graphs_with_a_matching_of_all_vertices_need_no_elimination(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = np.triu(rng.random((60, 24, 24)) < 0.4, 1)
+    stack = np.ascontiguousarray((a | a.transpose(0, 2, 1)).astype(float))
+    stack[:5, 0], stack[:5, :, 0] = 0, 0  # a vertex alone
+    rank, _ = dense._kernel_support(stack, 1)
+    sure = dense._regular(stack)
+    assert not sure[:5].any() and (rank[sure] == 24).all() and sure.sum() == (rank == 24).sum() > 50
+    assert not dense._regular(stack[:, :23, :23]).any() and not dense._regular(np.zeros((2, 4, 4))).any()
+    asked = []
+    slow = dense._kernel_support
+    monkeypatch.setattr(dense, "_kernel_support", lambda x, seed: asked.append(len(x)) or slow(x, seed))
+    got = dense.missing(stack, 1)
+    assert sum(asked) == (~sure).sum() and (got[0] == rank // 2).all() and [len(x) > 0 for x in got[1]] == [r < 24 for r in rank]
+
+
 def test_unlucky_ranks_are_told(spark, monkeypatch):
     """A rank that falls short leaves the bound above the size."""
     short = spark.createDataFrame([("a", 4, 2)], "graph_id string, n int, m int")

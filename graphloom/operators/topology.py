@@ -212,12 +212,14 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 
 def degrees_by_grouping(edges: DataFrame, graphs: DataFrame) -> DataFrame:
-    """`(graph_id, n, vertex, d)` with vertices of degree zero, from a link table."""
+    """`(graph_id, n, vertex, d)` with vertices of degree zero, from a link table. The degrees
+    of a graph meet in one row: where both frames are dealt by `graph_id`, as often as
+    their size asks, nothing is dealt again."""
     counted = both_directions(edges).groupBy("graph_id", F.col("src").alias("vertex")).agg(F.count("*").alias("d"))
-    vertices = graphs.select("graph_id", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("vertex"))
-    return vertices.join(counted, ["graph_id", "vertex"], "left").select(
-        "graph_id", "n", "vertex", F.coalesce("d", F.lit(0)).alias("d")
-    )
+    found = counted.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("vertex", "d"))).alias("m"))
+    every = F.expr("if(n < 1, cast(array() as array<bigint>), transform(sequence(0, n - 1), v -> coalesce(m[v], 0L)))")
+    return graphs.select("graph_id", "n").join(found, "graph_id", "left").select(
+        "graph_id", "n", F.posexplode(every).alias("vertex", "d"))
 
 
 def triangles_by_joins(edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -307,3 +308,18 @@ def test_features_are_planned_once_and_checked():
         own.order(["c"])
     with pytest.raises(ValueError, match="already"):
         own.register(GraphFeature(("a",), (), lambda df, wide: df))
+
+
+def test_degrees_by_grouping_deal_the_links_once(spark, monkeypatch):
+    from graphloom import session
+
+    links = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 0, 1), (2, 0, 3)], "graph_id long, u int, v int")
+    graphs = spark.createDataFrame([(1, 4), (2, 4), (3, 2), (4, 0)], "graph_id long, n int")
+    got = {(r.graph_id, r.vertex): r.d for r in topology.degrees_by_grouping(links.distinct(), graphs).collect()}
+    want = {1: [1, 2, 1, 0], 2: [1, 0, 0, 1], 3: [0, 0]}
+    assert got == {(k, v): d for k, ds in want.items() for v, d in enumerate(ds)}
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    edges = session.dealt(links, 30, "graph_id").distinct()  # 15 tasks for 30 rows
+    assert edges.rdd.getNumPartitions() == 15
+    plan = topology.degrees_by_grouping(edges, edges.select("graph_id").distinct().withColumn("n", F.lit(4)))._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(([^)]*)\)", re.sub(r"#\d+L?", "", plan))) == {"graph_id, 15"}

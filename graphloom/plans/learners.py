@@ -33,8 +33,15 @@ from graphloom.session import written
 
 #: Trees of forests grow until their leaves are pure, or to the depth Spark allows.
 DEPTH = 30
-#: Leaves a batch of trees may have together; the driver holds one batch of a forest.
+#: Leaves that the upper parts of a batch of trees may have together: the driver holds one batch.
 LEAVES = 400_000
+#: Levels of the upper part of a tree, or more where nodes below would have over TWIG points.
+TOP, TWIG = 6, 4096
+#: Votes of a batch of trees; pairs of a tree and a point or a row in a task.
+PAIRS, TASK_PAIRS = 100_000_000, 250_000
+#: Bins of a feature in a forest.
+BINS = 32
+STEP = np.uint64(0x9E3779B97F4A7C15)
 Learner = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -53,6 +60,10 @@ def _scored(model, rows: DataFrame) -> DataFrame:
         "rawPrediction", "probability", "prediction", "features")
 
 
+def _width(df: DataFrame) -> int:
+    return df.schema["features"].metadata["ml_attr"]["num_attrs"]
+
+
 def _common(train: DataFrame) -> dict:
     given = {"labelCol": "y", "featuresCol": "features"}
     if "weight" in train.columns:
@@ -74,31 +85,166 @@ def tree(depth: int) -> Learner:
     return lambda train, rows: _scored(DecisionTreeClassifier(maxDepth=depth, seed=0, **_common(train)).fit(train), rows)
 
 
-def batches(train: DataFrame, trees: int) -> list[int]:
-    """Trees per batch. A tree has at most one leaf per different point, so whatever the
-    number of rows and trees, a batch stays near LEAVES leaves (or is one tree)."""
-    points = train.agg(F.approx_count_distinct(F.xxhash64(vector_to_array("features")))).first()[0]
-    most = max(1, min(trees, LEAVES // max(1, points)))
+def batches(points: int, rows: int, trees: int) -> list[int]:
+    """Trees per batch. A tree has at most one leaf per different point in its upper part,
+    so whatever the number of rows and trees, a batch stays near LEAVES leaves in the
+    driver and near PAIRS votes in the folder (or is one tree)."""
+    leaves = min(points, 2 ** top_depth(points))
+    most = max(1, min(trees, LEAVES // max(1, leaves), PAIRS // max(1, rows)))
     return [min(most, trees - at) for at in range(0, trees, most)]
 
 
-def grown(train: DataFrame, rows: DataFrame, trees: int, fit: Callable, value: Callable) -> DataFrame:
-    """`rows` with `__mean`, the mean of the trees: batch after batch is fitted by
-    `fit(trees, seed)`, adds its `value(model, rows)` to a table of the rows and goes."""
-    columns, out = rows.columns, rows.withColumn("__sum", F.lit(0.0))
-    for seed, some in enumerate(batches(train, trees)):
-        one = value(fit(some, seed), out)
-        out = written(one.select(*columns, (F.col("__sum") + F.col("__value") * some).alias("__sum")), "forest")
-    return out.withColumn("__mean", F.col("__sum") / trees).drop("__sum")
+def top_depth(points: int) -> int:
+    """Levels of the upper part of a tree: below, a node has about TWIG points."""
+    return min(DEPTH, max(TOP, (points // TWIG).bit_length()))
+
+
+def bin_ends(train: DataFrame) -> list[list[float]]:
+    """The upper ends of the bins of each feature but the last bin's: its values where
+    there are at most BINS of them, else quantiles."""
+    long = train.select(F.posexplode(vector_to_array("features")).alias("f", "v"))
+    share = [i / BINS for i in range(1, BINS)]
+    found = {r["f"]: r for r in long.groupBy("f").agg(F.percentile_approx("v", share, 10_000).alias("q"), F.approx_count_distinct("v").alias("n")).collect()}
+    few = [f for f, r in found.items() if r["n"] <= 2 * BINS]
+    values: dict[int, list[float]] = {}
+    for r in long.where(F.col("f").isin(few)).distinct().collect():  # about 2 * BINS values of a feature
+        values.setdefault(r["f"], []).append(r["v"])
+    return [sorted(values[f])[:-1] if len(values.get(f, ())) in range(1, BINS + 1) else sorted(set(found[f]["q"])) for f in sorted(found)]
+
+
+def binned(df: DataFrame, ends: list[list[float]]) -> DataFrame:
+    """df with `__code`, the bins of its features."""
+    def run(x: pa.Array) -> pa.Array:
+        rows = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(ends))
+        codes = np.column_stack([np.searchsorted(e, rows[:, f]) for f, e in enumerate(ends)]).astype(np.int8)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(ends), pa.int32()), pa.array(codes.ravel()))
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return df.withColumn("__code", F.arrow_udf(run, T.ArrayType(T.ByteType()))(vector_to_array("features")))
+
+
+def spread_bits(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def poisson(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson numbers of the given means for uniform numbers u."""
+    out = np.zeros(len(u))
+    for m in np.unique(mean):
+        k = np.arange(1, int(m + 12 * m**0.5 + 24))
+        log = np.concatenate([[0.0], np.cumsum(np.log(m / k))]) - m
+        at = mean == m
+        out[at] = np.searchsorted(np.cumsum(np.exp(log)), u[at], side="right")
+    return out
+
+
+def twigs(at: np.ndarray, codes: np.ndarray, y: np.ndarray, w: np.ndarray, ident: np.ndarray, to: np.ndarray, asked: np.ndarray,
+          features: int, depth: int) -> np.ndarray:
+    """The votes for the rows `asked` (bins) in the nodes `to`. Each node is grown to pure
+    leaves from the points in it, (bins, y, weight w) in the nodes `at`: all nodes a level
+    at a time, by the largest drop of the variance (for y of 0 and 1 that of Gini) over
+    `features` features drawn by the node's hash. Nodes without rows aren't grown."""
+    out, row = np.zeros(len(asked)), np.arange(len(asked))
+    for level in range(depth + 1):
+        used, to = np.unique(to, return_inverse=True)
+        place = np.full(len(ident), -1)
+        place[used] = np.arange(len(used))
+        kept = place[at] >= 0
+        at, codes, y, w, ident = place[at[kept]], codes[kept], y[kept], w[kept], ident[used]
+        k, every = len(used), np.arange(len(at))
+        total = np.bincount(at, w, k)
+        mean = np.bincount(at, w * y, k) / total
+        away = w * (y - mean[at])
+        drawn = np.argsort(spread_bits(ident[:, None] + np.arange(1, codes.shape[1] + 1, dtype=np.uint64) * STEP), axis=1)[:, :features]
+        best, feature, end = np.zeros(k), np.zeros(k, int), np.zeros(k, int)
+        for j in range(features if level < depth else 0):
+            cell = at * BINS + codes[every, drawn[at, j]]
+            left = np.bincount(cell, w, k * BINS).reshape(k, BINS).cumsum(axis=1)[:, :-1]
+            gap = np.bincount(cell, away, k * BINS).reshape(k, BINS).cumsum(axis=1)[:, :-1]
+            right = total[:, None] - left
+            some = (left > 1e-9 * total[:, None]) & (right > 1e-9 * total[:, None])
+            gain = np.where(some, gap**2 * total[:, None], 0.0) / np.where(some, left * right, 1.0)
+            cut = gain.argmax(axis=1)
+            gain = gain[np.arange(k), cut]
+            more = gain > best
+            best[more], feature[more], end[more] = gain[more], drawn[more, j], cut[more]
+        inner = best > 1e-20 * total * (1 + mean**2)
+        out[row[~inner[to]]] = mean[to[~inner[to]]]
+        stay, kept = inner[to], inner[at]
+        if not stay.any():
+            return out
+        row, to, asked = row[stay], to[stay], asked[stay]
+        at, codes, y, w = at[kept], codes[kept], y[kept], w[kept]
+        to = 2 * to + (asked[np.arange(len(to)), feature[to]] > end[to])
+        at = 2 * at + (codes[np.arange(len(at)), feature[at]] > end[at])
+        ident = spread_bits(np.repeat(ident, 2) + np.tile(np.arange(1, 3, dtype=np.uint64), k) * STEP)
+    return out
+
+
+def _bins_of(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def grown(train: DataFrame, rows: DataFrame, trees: int, top: Callable, target: str, features: int) -> DataFrame:
+    """`rows` with `__mean`, the mean of the trees. Spark ML's forest `top(trees, depth, seed)`
+    grows the upper levels over the bins of all rows; below, the points of each of its leaves
+    meet the rows that land there, many leaves in a task, and are grown to the end (`twigs`)
+    on a bag of their own: a point of n rows counts as often as a Poisson number of mean n
+    says, drawn by the hash of point and tree. Equal points are one; the driver sees only
+    upper levels."""
+    extra = [c for c in ("weight",) if c in train.columns]
+    ends = bin_ends(train)
+    vector = array_to_vector(F.col("__code").cast("array<double>")).alias("features")
+    held = written(binned(train, ends).select("__code", F.col(target).cast("double").alias(target), *extra), "forest-train")
+    points = held.groupBy("__code", target, *extra).agg(F.count("*").cast("double").alias("__m"))
+    points = written(points.withColumn("__h", F.xxhash64("__code", target)), "forest-points")
+    asked = written(binned(rows, ends), "forest-rows")
+    codes = written(asked.select("__code").distinct(), "forest-codes")
+    n, most = points.count(), codes.count()
+    fitted, depth, votes = held.select(vector, target, *extra), top_depth(n), None
+    schema = T.StructType([T.StructField("__code", T.ArrayType(T.ByteType())), T.StructField("__vote", T.DoubleType())])
+
+    def run(known: pa.Table, open_: pa.Table) -> pa.Table:
+        if not len(open_):
+            return pa.table({"__code": pa.array([], pa.list_(pa.int8())), "__vote": pa.array([], pa.float64())})
+        tree, leaf, h = (known.column(c).to_numpy().astype(np.int64) for c in ("__tree", "__leaf", "__h"))
+        node, at = np.unique(tree << 32 | leaf, return_inverse=True)
+        u = spread_bits(h.view(np.uint64) + (tree + 1).astype(np.uint64) * STEP)
+        m, w = known.column("__m").to_numpy(), known.column("__w").to_numpy()
+        bag = poisson(((u >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53, m)
+        bag = np.where(np.bincount(at, bag)[at] > 0, bag, m) * w  # a node out of the bag takes its points as they are
+        into, some = np.searchsorted(node, open_.column("__tree").to_numpy().astype(np.int64) << 32 | open_.column("__leaf").to_numpy()), bag > 0
+        got = twigs(at[some], _bins_of(known.column("__code"))[some], known.column("__y").to_numpy()[some], bag[some],
+                    spread_bits(node.view(np.uint64) * STEP), into, _bins_of(open_.column("__code")), features, DEPTH - depth)
+        return pa.table({"__code": open_.column("__code"), "__vote": pa.array(got)})
+
+    first = 0
+    for seed, some in enumerate(batches(n, most, trees)):
+        model = top(some, depth, seed).setLeafCol("__at").fit(fitted)
+        parts = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(n + most) * some // TASK_PAIRS))
+
+        def placed(df: DataFrame, *columns) -> DataFrame:
+            leaves = model.transform(df.withColumn("features", vector)).select(F.posexplode(vector_to_array("__at")).alias("__tree", "__leaf"), "__code", *columns)
+            leaves = leaves.withColumns({"__tree": F.col("__tree") + first, "__leaf": F.col("__leaf").cast("int")})
+            return leaves.withColumn("__task", F.pmod(F.xxhash64("__tree", "__leaf"), F.lit(parts)).cast("int")).groupBy("__task")
+
+        known = placed(points, "__h", "__m", F.col(target).alias("__y"), (F.col("weight").cast("double") if extra else F.lit(1.0)).alias("__w"))
+        one = known.cogroup(placed(codes)).applyInArrow(run, schema).groupBy("__code").agg(F.sum("__vote").alias("__vote"))
+        one, first = written(one, "forest"), first + some
+        votes = one if votes is None else votes.unionByName(one)
+    votes = votes.groupBy("__code").agg((F.sum("__vote") / trees).alias("__mean"))
+    return asked.join(votes, "__code").drop("__code")
 
 
 def forest(trees: int = 200) -> Learner:
     def run(train: DataFrame, rows: DataFrame) -> DataFrame:
-        def fit(some: int, seed: int):
-            return RandomForestClassifier(numTrees=some, maxDepth=DEPTH, seed=seed, **_common(train)).fit(train)
+        def top(some: int, depth: int, seed: int):
+            return RandomForestClassifier(numTrees=some, maxDepth=depth, maxBins=BINS, seed=seed, **_common(train))
 
-        out = grown(train, rows, trees, fit, lambda model, df: _scored(model, df.withColumn("__kept", F.col("features"))).withColumnsRenamed(
-            {"__kept": "features", "score": "__value"}))
+        out = grown(train, rows, trees, top, "y", int(np.ceil(_width(train) ** 0.5)))
         return out.withColumnRenamed("__mean", "score").withColumn("pred", (F.col("score") > 0.5).cast("int")).drop("features")
 
     return run
@@ -113,7 +259,7 @@ def network(hidden: list[int]) -> Learner:
     def run(train: DataFrame, rows: DataFrame) -> DataFrame:
         if "weight" in train.columns:
             raise ValueError("the network takes no weights: resample the rows instead")
-        width = train.schema["features"].metadata["ml_attr"]["num_attrs"]
+        width = _width(train)
         model = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=100, seed=0, labelCol="y",
                                                featuresCol="features").fit(train)
         return _scored(model, rows)
@@ -199,7 +345,7 @@ class KernelMachine(Estimator):
 
 def as_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """The vector's numbers as columns __f0, __f1, ..."""
-    width = df.schema["features"].metadata["ml_attr"]["num_attrs"]
+    width = _width(df)
     names = [f"__f{i}" for i in range(width)]
     x = df.withColumn("__x", vector_to_array("features"))
     return x.withColumns({name: F.col("__x")[i] for i, name in enumerate(names)}).drop("__x"), names
@@ -400,8 +546,10 @@ def objective_history(train: DataFrame) -> list[float]:
 
 def cost_forest(train: DataFrame, rows: DataFrame, target: str = "delta_cx", trees: int = 200) -> DataFrame:
     """Random forest regression of the cost gap: `rows` with `predicted`."""
-    out = grown(train, rows, trees, lambda some, seed: RandomForestRegressor(numTrees=some, maxDepth=DEPTH, seed=seed, labelCol=target).fit(train),
-                lambda model, df: model.transform(df).withColumnRenamed("prediction", "__value"))
+    def top(some: int, depth: int, seed: int):
+        return RandomForestRegressor(numTrees=some, maxDepth=depth, maxBins=BINS, seed=seed, labelCol=target, **({"weightCol": "weight"} if "weight" in train.columns else {}))
+
+    out = grown(train, rows, trees, top, target, int(np.ceil(_width(train) / 3)))
     return out.withColumnRenamed("__mean", "predicted").drop("features")
 
 

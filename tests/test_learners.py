@@ -98,3 +98,40 @@ def test_feature_sets_read_one_seed_and_share_moments(spark, monkeypatch):
     table = experiments.drop_one(df, ["a", "b"], [0, 1, 2])
     assert len(asked) == 3 and all("PartitionFilters: [isnotnull(seed" in plan for plan in asked)
     assert {r["dropped"] for r in table.select("dropped").distinct().collect()} == {"(none)", "a", "b"}
+
+
+def test_forests_leave_the_lower_levels_to_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 4))
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(0, 0.8, 3000) > 0.8).astype(int)
+    rows = [(i, int(y[i]), *map(float, x[i])) for i in range(3000)]
+    df = learners.vectors(spark.createDataFrame(rows, "graph_id long, y int, a double, b double, c double, d double"), list("abcd"))
+    train, test = df.where("graph_id % 3 > 0"), df.where("graph_id % 3 = 0")
+    nodes, fitted = [], learners.RandomForestClassifier.fit
+
+    def seen(self, *given):
+        model = fitted(self, *given)
+        nodes.append(model.totalNumNodes / self.getNumTrees())
+        return model
+
+    monkeypatch.setattr(learners.RandomForestClassifier, "fit", seen)
+    got = {r["graph_id"]: r["score"] for r in learners.forest(40)(train, test).collect()}
+    assert max(nodes) <= 2 ** (learners.TOP + 1)  # the driver held whole trees before
+    monkeypatch.undo()
+    whole = learners.RandomForestClassifier(numTrees=40, maxDepth=learners.DEPTH, seed=5, labelCol="y").fit(train).transform(test)
+    want = {r["graph_id"]: r["probability"][1] for r in whole.select("graph_id", "probability").collect()}
+    a, b, truth = np.array([got[i] for i in want]), np.array(list(want.values())), y[list(want)]
+    assert np.corrcoef(a, b)[0, 1] >= 0.93 and abs(((a > 0.5) == truth).mean() - ((b > 0.5) == truth).mean()) <= 0.04
+
+
+def test_twigs_grow_to_pure_leaves():
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 32, (400, 3)).astype(np.int8), axis=0)
+    y, n = rng.normal(size=len(codes)), len(codes)
+    at = rng.integers(0, 3, n)
+    got = learners.twigs(at, codes, y, np.ones(n), np.arange(3, dtype=np.uint64), at, codes, 3, 24)
+    assert got == pytest.approx(y)
+    once = learners.twigs(at, codes, y, np.ones(n), np.arange(3, dtype=np.uint64), at, codes, 3, 0)
+    assert once == pytest.approx([y[at == i].mean() for i in at])
+    many = learners.poisson(rng.random(20000), np.repeat([1.0, 50.0], 10000)).reshape(2, -1)
+    assert many.mean(axis=1) == pytest.approx([1, 50], rel=0.03) and many.var(axis=1) == pytest.approx([1, 50], rel=0.06)

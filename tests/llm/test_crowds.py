@@ -116,3 +116,26 @@ def test_pairs_of_two_classes_are_made_once(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(frame(spark, texts), crowd=32).collect()}
     assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
     assert made.count("near-across") == 1 and made.count("near-links") == 2  # pairs across classes joined some
+
+
+def test_bands_over_the_crowd_lose_no_link(spark, monkeypatch):
+    # Texts of such a band met only under a deep key that both had.
+    monkeypatch.setattr(probminhash, "deep_keys", lambda sketch, *_: np.arange(len(sketch))[:, None] + (sketch[:, :1] >> 8 << 8))
+    texts = crowd(400, 0.04)
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(frame(spark, texts), crowd=8).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+
+
+def test_pairs_across_classes_stay_few_in_a_crowd(spark, monkeypatch):
+    assert compared(spark, monkeypatch, crowd(2000, 0.04)) <= 2 * 2000  # 13,471 before, 9,724 of them across classes
+
+
+def test_parities_are_a_bound():
+    rng = np.random.default_rng(9)
+    for size in (4, 30, 300, 6000):
+        for gone in (0, 1, size // 9, size // 2):
+            h = rng.integers(1, 1 << 63, size + gone, dtype=np.uint64)
+            doc = np.repeat([0, 1], size)
+            x, y = probminhash.parities(doc, np.concatenate([h[:size], h[gone:]]), 2).view(np.uint64)
+            differ = sum(bin(int(v)).count("1") for v in x ^ y)
+            assert differ <= 2 * gone and (size > 300 or differ >= 1.5 * gone)

@@ -347,3 +347,23 @@ def test_a_second_run_judges_its_attempts_once(spark, monkeypatch):
     monkeypatch.setattr(generate, "judged", seen)
     kept, counters = generated._accepted_again(spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and kept.count() == counters.where("outcome = 'generated'").agg(F.sum("n_graphs")).first()[0]
+
+
+def test_few_open_leaves_are_visited_in_one_round(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame([(i, 0, *map(float, r)) for i, r in enumerate(x)], "id long, y int, a double, b double, c double")
+    made, kept = [], neighbors.written
+
+    def watch(rows, name="stage", *parts):
+        made.append(name)
+        return kept(rows, name, *parts)
+
+    monkeypatch.setattr(neighbors, "written", watch)
+    found = neighbors.nearest(df, df, [], "id", neighbors.feature_point(["a", "b", "c"]), 3, skip_self=True, fan=8, leaf=400).collect()
+    assert made.count("tree-found") == 2  # one for the leaves at home; rounds of 2, 4, ... leaves before
+    got = {(r["qid"], r["rank"]): r["nid"] for r in found}
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(np.round(np.sqrt(d), 9), axis=1, kind="stable")[:, :3]
+    assert all(got[i, k + 1] == near[i, k] for i in range(3000) for k in range(3))
